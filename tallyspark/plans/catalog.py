@@ -222,3 +222,24 @@ def q_last_business_day(spark: SparkSession, sf: str) -> DataFrame:
                     F.date_format(b, "yyyy-MM-dd").alias("last_business_day"),
                     ddmmyyyy(b).alias("business_date_text"),
                     F.concat(F.lit(LINEAR_REPORT_BASE + " ("), ddmmyyyy(b), F.lit(")")).alias("output_name"))
+
+
+# --- duplicate files and cross-pile checks -----------------------------------------
+
+from tallyspark.operators import dupfiles as dfl  # noqa: E402
+
+
+@register("intra_file_pairs")
+def q_intra_file_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return dfl.file_pairs(fx.f3(spark, sf))
+
+
+def _cross(spark, sf, check):
+    d = fx.f1(spark, sf, "DEBT")
+    scen = {"clean": (d, fx.f1(spark, sf, "CREDIT")), "self": (d, fx.f1(spark, sf, "DEBT"))}
+    return _union([dfl.cross_checks(a, b)[check].select(F.lit(s).alias("scenario"), "*")
+                   for s, (a, b) in scen.items()])
+
+
+for _chk in ("exact", "overlap", "fingerprint", "types"):
+    register(f"cross_{_chk}")(lambda spark, sf, _c=_chk: _cross(spark, sf, _c))

@@ -270,3 +270,88 @@ SELECT strftime(d, '%Y-%m-%d') AS order_date,
        'BASE 1 PENDIENTES DE CONCILIAR LINEALIZADO (' || strftime(b, '%d-%m-%Y') || ')' AS output_name
 FROM (SELECT d, d - CAST(CASE isodow(d) WHEN 1 THEN 3 WHEN 7 THEN 2 ELSE 1 END AS INTEGER) AS b
       FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders) x) y"""
+
+
+# --- duplicate files (F3) and cross-pile checks ----------------------------------
+
+def raw_f3(name: str) -> str:
+    m = money_text("price")
+    m1 = money_text("price + 1")
+    return f"""sizes AS (SELECT m, count(*) AS n FROM base GROUP BY m),
+big AS (SELECT b.* FROM base b WHERE b.m = (SELECT m FROM sizes ORDER BY n DESC, m ASC LIMIT 1)),
+{name} AS (
+  SELECT card AS "Card", op AS "Operation Number", {m} AS "Original Amount", 'm2d-recu ' || m || '.xlsx' AS source_file FROM base
+  UNION ALL SELECT card, op, {m}, 'm2d-recu ' || m || ' copy-a.xlsx' FROM big
+  UNION ALL SELECT card, op, {m1}, 'm2d-recu ' || m || ' copy-b.xlsx' FROM big
+  UNION ALL SELECT card, CASE WHEN pk % 20 = 0 THEN op || 'W' ELSE op END, {m}, 'm2d-recu ' || m || ' copy-c.xlsx' FROM big)"""
+
+
+_NUL = "'<N>'"
+
+
+def _r(c: str) -> str:
+    return f"coalesce({c}, {_NUL})"
+
+
+SQL["intra_file_pairs"] = with_(raw_f3("f3_raw"), clean("pile", "f3_raw")) + f"""
+, fk AS (SELECT DISTINCT source_file AS f, "Card" AS c, "Operation Number" AS o FROM pile)
+, ks AS (SELECT f, count(*) AS n_keys,
+                string_agg({_r('c')} || chr(1) || {_r('o')}, chr(2) ORDER BY {_r('c')}, {_r('o')}) AS kset
+         FROM fk GROUP BY f)
+, rr AS (SELECT source_file AS f, {_r('"Card"')} || chr(1) || {_r('"Operation Number"')} || chr(1)
+                || {_r('"Original Amount"')} || chr(1) || {_r('CAST("Amt_Float" AS VARCHAR)')} AS rep FROM pile)
+, rs AS (SELECT f, count(*) AS n_rows, string_agg(rep, chr(2) ORDER BY rep) AS rset FROM rr GROUP BY f)
+, files AS (SELECT rs.f, n_rows, n_keys, kset, rset FROM rs JOIN ks ON rs.f = ks.f)
+, cls AS (SELECT f, n_rows, n_keys,
+                 min(f) OVER (PARTITION BY n_rows, kset) AS key_rep,
+                 min(f) OVER (PARTITION BY n_rows, kset, rset) AS row_rep FROM files)
+, reps AS (SELECT f, n_rows, n_keys FROM cls WHERE f = key_rep)
+, ov AS (SELECT a.f AS a, b.f AS b, a.n_rows, a.n_keys AS na, count(*) AS n_overlap
+         FROM reps a JOIN reps b ON a.n_rows = b.n_rows AND a.f < b.f
+         JOIN fk x ON x.f = a.f
+         JOIN fk y ON y.f = b.f AND x.c IS NOT DISTINCT FROM y.c AND x.o IS NOT DISTINCT FROM y.o
+         GROUP BY ALL)
+SELECT row_rep AS file1, f AS file2, 'DUPLICATE' AS verdict, CAST(100.0 AS DOUBLE) AS overlap_pct, n_rows
+FROM cls WHERE f <> row_rep
+UNION ALL
+SELECT key_rep, f, 'SUSPICIOUS', CAST(100.0 AS DOUBLE), n_rows FROM cls WHERE f = row_rep AND row_rep <> key_rep
+UNION ALL
+SELECT a, b, 'WARNING', round(n_overlap / greatest(na, 1) * 100.0, 6), n_rows FROM ov
+WHERE n_overlap / greatest(na, 1) * 100.0 > 90"""
+
+_CMP = '"Card", "Operation Number", "Original Amount"'
+
+
+def _scen(body) -> str:
+    """Both scenarios: clean = F1 DEBT vs F1 CREDIT; self = DEBT vs DEBT."""
+    return with_(*F1) + "\n" + body("clean", "debt", "credit") + "\nUNION ALL\n" + body("self", "debt", "debt")
+
+
+SQL["cross_exact"] = _scen(lambda s, a, b: f"""SELECT '{s}' AS scenario, true AS same_columns,
+  (SELECT count(*) FROM {a}) AS n_debt, (SELECT count(*) FROM {b}) AS n_credit,
+  ((SELECT count(*) FROM {a}) = (SELECT count(*) FROM {b})
+   AND NOT EXISTS (SELECT {_CMP} FROM {a} EXCEPT ALL SELECT {_CMP} FROM {b})
+   AND NOT EXISTS (SELECT {_CMP} FROM {b} EXCEPT ALL SELECT {_CMP} FROM {a})) AS exact_match""")
+
+SQL["cross_overlap"] = _scen(lambda s, a, b: f"""SELECT '{s}' AS scenario, nd AS n_debt_keys, nc AS n_credit_keys,
+  nov AS n_overlap, round(nov / greatest(nd, 1) * 100.0, 6) AS overlap_pct,
+  (nov / greatest(nd, 1) * 100.0 > 95 AND nd = nc) AS flagged
+FROM (SELECT (SELECT count(*) FROM (SELECT DISTINCT {K} FROM {a})) AS nd,
+             (SELECT count(*) FROM (SELECT DISTINCT {K} FROM {b})) AS nc,
+             (SELECT count(*) FROM (SELECT {K} FROM {a} INTERSECT SELECT {K} FROM {b})) AS nov) t""")
+
+SQL["cross_fingerprint"] = _scen(lambda s, a, b: f"""SELECT '{s}' AS scenario, nd AS n_debt, nc AS n_credit,
+  sd AS debt_sum, sc AS credit_sum, round(sd / nd, 6) AS debt_mean, round(sc / nc, 6) AS credit_mean,
+  (abs(sd - sc) < 0.01 AND abs(sd / nd - sc / nc) < 0.01 AND nd = nc) AS flagged
+FROM (SELECT (SELECT count(*) FROM {a}) AS nd, (SELECT count(*) FROM {b}) AS nc,
+             (SELECT CAST(sum(CAST("Amt_Float" AS {MONEY})) AS DOUBLE) FROM {a}) AS sd,
+             (SELECT CAST(sum(CAST("Amt_Float" AS {MONEY})) AS DOUBLE) FROM {b}) AS sc) t""")
+
+
+def _types(src: str) -> str:
+    return ("(SELECT string_agg(t, ',' ORDER BY t) FROM (SELECT DISTINCT "
+            + r"""regexp_extract("Accounting_Ref", '^\s*(\S+)', 1) AS t FROM """ + src + ") x)")
+
+
+SQL["cross_types"] = _scen(lambda s, a, b: f"""SELECT '{s}' AS scenario, {_types(a)} AS debt_types,
+  {_types(b)} AS credit_types, ({_types(a)} = {_types(b)}) AS flagged""")
