@@ -243,3 +243,38 @@ def _cross(spark, sf, check):
 
 for _chk in ("exact", "overlap", "fingerprint", "types"):
     register(f"cross_{_chk}")(lambda spark, sf, _c=_chk: _cross(spark, sf, _c))
+
+
+# --- report linearization (F4) ---------------------------------------------------------
+
+from tallyspark.operators import linearize as lz  # noqa: E402
+from tallyspark.operators.layout import DEFAULT_LAYOUT, DELIMITER_LAYOUT  # noqa: E402
+
+
+@register("linearize_fixed")
+def q_linearize_fixed(spark: SparkSession, sf: str) -> DataFrame:
+    """One segment per report file."""
+    return lz.linearize(fx.f4_lines(spark, sf, "fixed"), DEFAULT_LAYOUT, mode="file")
+
+
+@register("linearize_split")
+def q_linearize_split(spark: SparkSession, sf: str) -> DataFrame:
+    """Split-parallel form (W4): state carried across split boundaries."""
+    return lz.linearize(fx.f4_lines(spark, sf, "fixed"), DEFAULT_LAYOUT, mode="split")
+
+
+@register("linearize_delim")
+def q_linearize_delim(spark: SparkSession, sf: str) -> DataFrame:
+    return lz.linearize(fx.f4_lines(spark, sf, "delimiter"), DELIMITER_LAYOUT, mode="split")
+
+
+@register("line_counts")
+def q_line_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines per report file."""
+    return fx.f4_lines(spark, sf, "fixed").groupBy(F.col("file").alias("report_file")).agg(
+        F.count(F.lit(1)).alias("n_lines"))
+
+
+@register("report_holders")
+def q_report_holders(spark: SparkSession, sf: str) -> DataFrame:
+    return lz.card_headers(fx.f4_lines(spark, sf, "fixed"), DEFAULT_LAYOUT, mode="split")

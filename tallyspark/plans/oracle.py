@@ -355,3 +355,57 @@ def _types(src: str) -> str:
 
 SQL["cross_types"] = _scen(lambda s, a, b: f"""SELECT '{s}' AS scenario, {_types(a)} AS debt_types,
   {_types(b)} AS credit_types, ({_types(a)} = {_types(b)}) AS flagged""")
+
+
+# --- linearized report (F4 round trip) ----------------------------------------------
+
+_F4J = """f4 AS (SELECT l.*, o.o_orderdate, c.c_custkey, c.c_name,
+    'tarjetas_' || lpad(CAST(c.c_nationkey AS VARCHAR), 2, '0') || '.txt' AS report_file,
+    ((l.l_orderkey + l.l_linenumber + l.l_partkey) % 5 = 0) AS sel5,
+    ((l.l_orderkey + l.l_partkey) % 7 = 0) AS sel7,
+    ((l.l_partkey + l.l_suppkey) % 11 = 0) AS sel11,
+    ((l.l_orderkey + l.l_suppkey) % 13 = 0) AS sel13,
+    (l.l_partkey % 17 = 0) AS sel17
+  FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey)"""
+
+_CUSTF = """cf AS (SELECT c_custkey, c_name,
+    'tarjetas_' || lpad(CAST(c_nationkey AS VARCHAR), 2, '0') || '.txt' AS report_file FROM customer)"""
+
+
+def _records(blank_amount: bool) -> str:
+    afect = ("CASE WHEN sel17 THEN NULL ELSE CAST(CAST(l_extendedprice AS DECIMAL(18,2)) + 1 AS DOUBLE) END"
+             if blank_amount else "CAST(CAST(l_extendedprice AS DECIMAL(18,2)) + 1 AS DOUBLE)")
+    return "WITH " + _F4J + f"""
+SELECT report_file, lpad(CAST(c_custkey AS VARCHAR), 16, '0') AS "TARJETA",
+  CASE WHEN c_custkey % 13 = 0 THEN 'UNKNOWN' ELSE c_name END AS "NOMBRE",
+  lpad(CAST((l_orderkey * 8 + l_linenumber) % 1000000 AS VARCHAR), 6, '0') AS "OPERAC",
+  '01' AS "RS", l_returnflag || l_linestatus || 'MV' AS "MOVIM", '604' AS "MONEDA ORIGINAL",
+  CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS DOUBLE) AS "IMPORTE ORIGINAL", 'SOL' AS "MONEDA VISA",
+  CAST(CAST(l_quantity AS DECIMAL(18,2)) AS DOUBLE) AS "IMPORT VISA", 'USD' AS "MONEDA AFECTADO",
+  {afect} AS "IMPORTE AFECTADO", 'AHO' AS "TIPO CUENTA",
+  '194-' || CAST(l_partkey AS VARCHAR) || '-0-' || CAST(l_suppkey AS VARCHAR) AS "CUENTA AFECTADA",
+  strftime(l_shipdate, '%d%m%Y') AS "FECOPE", '234248' AS "HORA", strftime(o_orderdate, '%d%m%Y') AS "FBASE1",
+  '06-27' AS "EXPIRACION",
+  'T' || CAST(l_suppkey AS VARCHAR) AS "TERMINAL", l_returnflag AS "TIPO",
+  CAST(l_orderkey AS VARCHAR) AS "IDENTIFICACION", 'SUPP ' || CAST(l_suppkey AS VARCHAR) AS "ESTABLECIMIENTO",
+  'LIMA' AS "CIUDAD", 'PE' AS "PAIS", CAST(l_partkey AS VARCHAR) AS "BIN ADQUIR.", 'N' AS "PIN",
+  CAST(l_linenumber AS VARCHAR) AS "VIS.REFER",
+  CASE WHEN sel13 THEN '' ELSE '05' END AS "TRNX", CASE WHEN sel13 THEN '' ELSE '7' END AS "CAVV",
+  CASE WHEN sel13 THEN '' ELSE CAST(CAST(l_tax AS DECIMAL(18,2)) AS VARCHAR) END AS "POS.C.CODE"
+FROM f4"""
+
+
+SQL["linearize_fixed"] = _records(True)
+SQL["linearize_split"] = _records(True)
+SQL["linearize_delim"] = _records(False)
+
+SQL["line_counts"] = "WITH " + _F4J + ", " + _CUSTF + """
+SELECT report_file, CAST(sum(n) AS BIGINT) AS n_lines FROM (
+  SELECT report_file, 2 AS n FROM cf
+  UNION ALL
+  SELECT report_file, 2 + CAST(sel7 AS INTEGER) + CAST(sel11 AS INTEGER) + 5 * CAST(sel5 AS INTEGER) FROM f4) t
+GROUP BY report_file"""
+
+SQL["report_holders"] = "WITH " + _CUSTF + """
+SELECT report_file, lpad(CAST(c_custkey AS VARCHAR), 16, '0') AS "TARJETA",
+  CASE WHEN c_custkey % 13 = 0 THEN 'UNKNOWN' ELSE c_name END AS "NOMBRE" FROM cf"""

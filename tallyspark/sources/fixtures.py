@@ -123,3 +123,120 @@ def f3_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def f3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean_pile(f3_raw(spark, sf_dir))
+
+
+# --- F4: rendered report lines -------------------------------------------------------
+# Fixed values of the report rendering: file name pattern, the text of the
+# page header lines, constant field values, and the key arithmetic that
+# chooses where headers, blank and noise lines, truncated lines and blank
+# amounts go (same rules in the SQL oracle).
+F4_PAGE_STAR = "***** PAGINA "
+F4_TITLE = "   REPORTE DE MOVIMIENTOS PENDIENTES"
+F4_RULE = " " + "-" * 60
+F4_HEADING = "OPERAC  RS  MOVIM  MONEDA IMPORTE"
+F4_NOISE = "TOTAL MOVIMIENTOS "
+F4_PREAMBLE = "0000 INICIO DE TARJETA"
+F4_TIE = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
+          "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
+
+
+def f4_selectors():
+    """(page header, blank line, noise line, short line 2, blank amount)."""
+    ok, ln, pk, sk = F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey")
+    return ((ok + ln + pk) % 5 == 0, (ok + pk) % 7 == 0, (pk + sk) % 11 == 0, (ok + sk) % 13 == 0, pk % 17 == 0)
+
+
+def _dec2(c: Column) -> Column:
+    return c.cast("decimal(18,2)").cast("string")
+
+
+def _lpad(c, n):
+    return F.lpad(c.cast("string"), n, " ")
+
+
+def _rpad(c, n):
+    return F.rpad(c.cast("string"), n, " ")
+
+
+def f4_lines(spark: SparkSession, sf_dir: str, mode: str = "fixed") -> DataFrame:
+    """(file, split_start, pos, value) of a card report per nation.
+
+    Per customer: a digit-first preamble line (ignored before the first card
+    of a file, a dropped line 1 after it) and a ``- TARJETA`` header. Per
+    lineitem: line 1, optional blank / noise line, optional 5-line page
+    header, line 2. Every lineitem is cut by a split boundary: inside the
+    page header when there is one, else between line 1 and line 2.
+    """
+    li = read_table(spark, sf_dir, "lineitem")
+    od = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    cu = read_table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
+    j = li.join(od, li.l_orderkey == od.o_orderkey).join(cu, od.o_custkey == cu.c_custkey)
+    sel5, sel7, sel11, sel13, sel17 = f4_selectors()
+    ck = F.col("c_custkey")
+    file = F.concat(F.lit("tarjetas_"), F.lpad(F.col("c_nationkey").cast("string"), 2, "0"), F.lit(".txt"))
+    tie = [F.col(c) for c in F4_TIE]
+    price = F.col("l_extendedprice")
+    operac = F.lpad(((F.col("l_orderkey") * 8 + F.col("l_linenumber")) % 1000000).cast("string"), 6, "0")
+    movim = F.concat(F.col("l_returnflag"), F.col("l_linestatus"), F.lit("MV"))
+    cuenta = F.concat(F.lit("194-"), F.col("l_partkey").cast("string"), F.lit("-0-"), F.col("l_suppkey").cast("string"))
+    fecope = F.date_format("l_shipdate", "ddMMyyyy")
+    fbase = F.date_format("o_orderdate", "ddMMyyyy")
+    afect = _dec2(price.cast("decimal(18,2)") + F.lit(1).cast("decimal(18,2)"))
+    tax = _dec2(F.col("l_tax"))
+    l2vals = [F.concat(F.lit("T"), F.col("l_suppkey").cast("string")), F.col("l_returnflag"),
+              F.col("l_orderkey").cast("string"), F.concat(F.lit("SUPP "), F.col("l_suppkey").cast("string")),
+              F.lit("LIMA"), F.lit("PE"), F.col("l_partkey").cast("string"), F.lit("N"),
+              F.col("l_linenumber").cast("string"), F.lit("05"), F.lit("7"), tax]
+    if mode == "fixed":
+        line1 = F.concat(operac, F.lit("  "), F.lit("01"), F.lit("  "), _rpad(movim, 5), F.lit("  "), F.lit("604"),
+                         _lpad(_dec2(price), 15), F.lit("SOL"), _lpad(_dec2(F.col("l_quantity")), 15), F.lit("USD"),
+                         F.when(sel17, F.lit(" " * 15)).otherwise(_lpad(afect, 15)), F.lit("AHO "),
+                         _rpad(cuenta, 20), _rpad(fecope, 9), _rpad(F.lit("234248"), 7), _rpad(fbase, 9),
+                         F.lit("06-27 "))
+        widths = [11, 5, 15, 26, 14, 6, 13, 5, 12, 5, 6, 21]
+        full2 = F.concat(F.lit(" "), *[_rpad(v, w) for v, w in zip(l2vals, widths)])
+        line2 = F.when(sel13, F.substring(full2, 1, 100)).otherwise(full2)
+    else:
+        line1 = F.concat_ws("  ", operac, F.lit("01"), movim, F.lit("604"), _dec2(price), F.lit("SOL"),
+                            _dec2(F.col("l_quantity")), F.lit("USD"), afect, F.lit("AHO"), cuenta, fecope,
+                            F.lit("234248"), fbase, F.lit("06-27"))
+        line2 = F.concat(F.lit(" "), F.when(sel13, F.concat_ws("  ", *l2vals[:9]))
+                                      .otherwise(F.concat_ws("  ", *l2vals)))
+    okey = F.col("l_orderkey").cast("string")
+    sub = [  # (subline, text or null, after the split cut?)
+        (0, line1, F.lit(False)),
+        (1, F.when(sel7, F.lit("")), F.lit(False)),
+        (2, F.when(sel11, F.concat(F.lit(F4_NOISE), okey)), F.lit(False)),
+        (3, F.when(sel5, F.concat(F.lit(F4_PAGE_STAR), okey, F.lit(" *****"))), F.lit(False)),
+        (4, F.when(sel5, F.lit(F4_TITLE)), F.lit(False)),
+        (5, F.when(sel5, F.lit(F4_RULE)), sel5),
+        (6, F.when(sel5, F.lit(F4_HEADING)), sel5),
+        (7, F.when(sel5, F.lit(F4_RULE)), sel5),
+        (8, line2, F.lit(True)),
+    ]
+    arr = F.array(*[F.struct(F.lit(i).alias("sub"), t.alias("value"), h.alias("half")) for i, t, h in sub])
+    items = j.select(file.alias("file"), ck.alias("ck"), *tie, F.explode(arr).alias("x"))
+    items = items.where(F.col("x.value").isNotNull())
+    key = F.struct(F.col("ck").alias("ck"), *[c for c in tie])
+    li_lines = items.select(
+        "file",
+        F.struct(key.alias("k"), F.col("x.half").cast("int").alias("half")).alias("split_start"),
+        F.struct(key.alias("k"), F.col("x.sub").alias("sub")).alias("pos"),
+        F.col("x.value").alias("value"))
+    # customer lines: preamble + card header, before the customer's items
+    holder = (F.when(ck % 13 == 0, F.lit(""))
+               .when(ck % 5 == 0, F.concat(F.lit("  nombre "), F.col("c_name")))
+               .when(ck % 11 == 0, F.concat(F.lit("  "), F.col("c_name")))
+               .otherwise(F.concat(F.lit("  NOMBRE "), F.col("c_name"))))
+    header = F.concat(F.when(ck % 7 == 0, F.lit(" ")).otherwise(F.lit("")), F.lit("- TARJETA "),
+                      F.lpad(ck.cast("string"), 16, "0"), holder)
+    cust = read_table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
+    nul = [F.lit(None).cast(t) for t in ("bigint", "int", "bigint", "bigint", "double", "double", "double",
+                                          "double", "string", "string", "timestamp_ntz")]
+    ckey = F.struct(ck.alias("ck"), *[n.alias(c) for n, c in zip(nul, F4_TIE)])
+    carr = F.array(F.struct(F.lit(0).alias("sub"), F.lit(F4_PREAMBLE).alias("value")),
+                   F.struct(F.lit(1).alias("sub"), header.alias("value")))
+    c_lines = cust.select(file.alias("file"), ckey.alias("k"), F.explode(carr).alias("x")).select(
+        "file", F.struct(F.col("k"), F.lit(0).alias("half")).alias("split_start"),
+        F.struct(F.col("k"), F.col("x.sub").alias("sub")).alias("pos"), F.col("x.value").alias("value"))
+    return c_lines.unionByName(li_lines)
