@@ -14,30 +14,49 @@ AMT = "Amt_Float"
 FILE = "source_file"
 KEYS = (CARD, OP)
 
-# (?U) makes \s Unicode-aware, like str.strip() / re in Python.
-_BLANK = r"(?U)^\s*$"
-_EDGE_WS = r"(?U)^\s+|\s+$"
+# The characters Python's str.strip() / str.isspace() treat
+# as whitespace (tab, LF, VT, FF, CR, the four information separators,
+# space, NEL, NBSP, OGHAM SPACE MARK, EN QUAD .. HAIR SPACE, LINE and
+# PARAGRAPH SEPARATOR, NARROW NBSP, MEDIUM MATHEMATICAL SPACE, IDEOGRAPHIC
+# SPACE). Trimming by this set is linear and needs no regex.
+WHITESPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+              "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+              "\u2028\u2029\u202f\u205f\u3000")
 
 
 def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+WS_CLASS = "[" + "".join(f"\\u{ord(ch):04x}" for ch in WHITESPACE) + "]"
+
+
+def has_text(c) -> Column:
+    """True when the text has a non-whitespace character (stops at the first)."""
+    return _c(c).rlike("[^" + WS_CLASS[1:])
+
+
+def starts_after_ws(c, prefix: str) -> Column:
+    """``strip(c).startswith(prefix)`` without stripping the whole text."""
+    import re
+    return _c(c).rlike("^" + WS_CLASS + "*" + re.escape(prefix).replace("\\ ", " "))
+
+
+def strip_ws(c) -> Column:
+    """Remove all surrounding whitespace (tab, newline, Unicode spaces)."""
+    return F.btrim(_c(c), F.lit(WHITESPACE))
+
+
 def is_blank(c) -> Column:
     """True for null, empty or whitespace-only text."""
     c = _c(c)
-    return c.isNull() | c.rlike(_BLANK)
+    return c.isNull() | (strip_ws(c) == "")
 
 
 def blank_to_null(c) -> Column:
     """Whitespace-only / empty text becomes null."""
     c = _c(c)
-    return F.when(c.rlike(_BLANK), F.lit(None).cast("string")).otherwise(c)
-
-
-def strip_ws(c) -> Column:
-    """Remove all surrounding whitespace (tab, newline, Unicode spaces)."""
-    return F.regexp_replace(_c(c), _EDGE_WS, "")
+    return F.when(strip_ws(c) == "", F.lit(None).cast("string")).otherwise(c)
 
 
 def is_empty_or_null(c) -> Column:

@@ -253,13 +253,14 @@ from tallyspark.operators.layout import DEFAULT_LAYOUT, DELIMITER_LAYOUT  # noqa
 
 @register("linearize_fixed")
 def q_linearize_fixed(spark: SparkSession, sf: str) -> DataFrame:
-    """One segment per report file."""
-    return lz.linearize(fx.f4_lines(spark, sf, "fixed"), DEFAULT_LAYOUT, mode="file")
+    """Fixed-width layout; one split per customer block."""
+    return lz.linearize(fx.f4_lines(spark, sf, "fixed", splits="customer"), DEFAULT_LAYOUT, mode="split")
 
 
 @register("linearize_split")
 def q_linearize_split(spark: SparkSession, sf: str) -> DataFrame:
-    """Split-parallel form (W4): state carried across split boundaries."""
+    """Split-parallel form (W4) with a split boundary inside every line pair
+    or page header, so all state crosses splits."""
     return lz.linearize(fx.f4_lines(spark, sf, "fixed"), DEFAULT_LAYOUT, mode="split")
 
 

@@ -158,7 +158,7 @@ def _rpad(c, n):
     return F.rpad(c.cast("string"), n, " ")
 
 
-def f4_lines(spark: SparkSession, sf_dir: str, mode: str = "fixed") -> DataFrame:
+def f4_lines(spark: SparkSession, sf_dir: str, mode: str = "fixed", splits: str = "fine") -> DataFrame:
     """(file, split_start, pos, value) of a card report per nation.
 
     Per customer: a digit-first preamble line (ignored before the first card
@@ -217,11 +217,20 @@ def f4_lines(spark: SparkSession, sf_dir: str, mode: str = "fixed") -> DataFrame
     arr = F.array(*[F.struct(F.lit(i).alias("sub"), t.alias("value"), h.alias("half")) for i, t, h in sub])
     items = j.select(file.alias("file"), ck.alias("ck"), *tie, F.explode(arr).alias("x"))
     items = items.where(F.col("x.value").isNotNull())
-    key = F.struct(F.col("ck").alias("ck"), *[c for c in tie])
+    # compact order key (valid while custkey < 2^31 and orderkey < 2^32):
+    # a = custkey, orderkey; b = line number, a hash of the whole lineitem
+    # (tie-break only), sub-line
+    a = F.shiftleft(F.col("ck"), 32) + F.col("l_orderkey")
+    item = (F.shiftleft(F.col("l_linenumber").cast("long"), 54)
+            + F.pmod(F.xxhash64(*[F.col(c) for c in F4_TIE]), F.lit(1 << 54)))
+    if splits == "fine":
+        split = F.struct(a.alias("a"), item.alias("i"), F.col("x.half").cast("int").alias("half"))
+    else:
+        split = F.col("ck")
     li_lines = items.select(
         "file",
-        F.struct(key.alias("k"), F.col("x.half").cast("int").alias("half")).alias("split_start"),
-        F.struct(key.alias("k"), F.col("x.sub").alias("sub")).alias("pos"),
+        split.alias("split_start"),
+        F.struct(a.alias("a"), (F.shiftleft(item, 4) + F.col("x.sub")).alias("b")).alias("pos"),
         F.col("x.value").alias("value"))
     # customer lines: preamble + card header, before the customer's items
     holder = (F.when(ck % 13 == 0, F.lit(""))
@@ -231,12 +240,16 @@ def f4_lines(spark: SparkSession, sf_dir: str, mode: str = "fixed") -> DataFrame
     header = F.concat(F.when(ck % 7 == 0, F.lit(" ")).otherwise(F.lit("")), F.lit("- TARJETA "),
                       F.lpad(ck.cast("string"), 16, "0"), holder)
     cust = read_table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
-    nul = [F.lit(None).cast(t) for t in ("bigint", "int", "bigint", "bigint", "double", "double", "double",
-                                          "double", "string", "string", "timestamp_ntz")]
-    ckey = F.struct(ck.alias("ck"), *[n.alias(c) for n, c in zip(nul, F4_TIE)])
+    # customer lines sort before the customer's items: orderkey slot -1
+    ca = F.shiftleft(ck, 32) - F.lit(1)
+    if splits == "fine":
+        csplit = F.struct(ca.alias("a"), F.lit(0).cast("long").alias("i"), F.lit(0).alias("half"))
+    else:
+        csplit = ck
     carr = F.array(F.struct(F.lit(0).alias("sub"), F.lit(F4_PREAMBLE).alias("value")),
                    F.struct(F.lit(1).alias("sub"), header.alias("value")))
-    c_lines = cust.select(file.alias("file"), ckey.alias("k"), F.explode(carr).alias("x")).select(
-        "file", F.struct(F.col("k"), F.lit(0).alias("half")).alias("split_start"),
-        F.struct(F.col("k"), F.col("x.sub").alias("sub")).alias("pos"), F.col("x.value").alias("value"))
+    c_lines = cust.select(file.alias("file"), ca.alias("a"), csplit.alias("split_start"),
+                          F.explode(carr).alias("x")).select(
+        "file", "split_start", F.struct(F.col("a"), F.col("x.sub").cast("long").alias("b")).alias("pos"),
+        F.col("x.value").alias("value"))
     return c_lines.unionByName(li_lines)

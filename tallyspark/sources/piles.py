@@ -30,7 +30,7 @@ def clean_pile(raw: DataFrame, keys=KEYS, amount: str | None = AMOUNT, file_col:
         df = df.select(*[blank_to_null(c).alias(c) if c in keys else F.col(f"`{c}`")
                          for c in df.columns])
         df = df.na.drop(how="all", subset=list(keys))
-    df = df.withColumn(ref_col, standardized_ref(F.col(file_col)))
+    df = with_file_ref(df, file_col, ref_col)
     for k in keys:
         df = df.withColumn(k, strip_ws(F.col(f"`{k}`")))
     if with_amount and amount is not None:
@@ -38,6 +38,16 @@ def clean_pile(raw: DataFrame, keys=KEYS, amount: str | None = AMOUNT, file_col:
     return df
 
 
+def with_file_ref(df: DataFrame, file_col: str = FILE, ref_col: str = REF) -> DataFrame:
+    """P1 per file, not per row: the standardized name is computed on the
+    distinct file names (one row per input file) and joined back; AQE picks
+    a broadcast join from the runtime size of that small side."""
+    files = (df.select(file_col).distinct()
+               .select(file_col, standardized_ref(F.col(file_col)).alias(ref_col)))
+    cols = [F.col(f"`{c}`") for c in df.columns]
+    return df.join(files, file_col, "left").select(*cols, F.col(ref_col))
+
+
 def minimal_clean(raw: DataFrame, keys=KEYS, file_col: str = FILE) -> DataFrame:
     """Older loader (S2): strip keys, tag ``Origin_File``; no blank handling."""
     df = raw.withColumnRenamed(file_col, "Origin_File")
