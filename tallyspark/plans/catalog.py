@@ -19,7 +19,7 @@ from tallyspark.operators import breakdown as bd
 from tallyspark.operators import match as mt
 from tallyspark.operators import quality as ql
 from tallyspark.operators import setops as so
-from tallyspark.session import read_table
+from tallyspark.session import cut_lineage, read_table
 from tallyspark.sources import fixtures as fx
 from tallyspark.sources.piles import dropped_rows, minimal_clean
 
@@ -251,22 +251,29 @@ from tallyspark.operators import linearize as lz  # noqa: E402
 from tallyspark.operators.layout import DEFAULT_LAYOUT, DELIMITER_LAYOUT  # noqa: E402
 
 
+def _report(spark, sf, mode, splits):
+    """The rendered report, written once to the shared checkpoint folder (as
+    a real report would be read from storage) so the fixture's joins are
+    not recomputed by each consumer."""
+    return cut_lineage(fx.f4_lines(spark, sf, mode, splits=splits))
+
+
 @register("linearize_fixed")
 def q_linearize_fixed(spark: SparkSession, sf: str) -> DataFrame:
     """Fixed-width layout; one split per customer block."""
-    return lz.linearize(fx.f4_lines(spark, sf, "fixed", splits="customer"), DEFAULT_LAYOUT, mode="split")
+    return lz.linearize(_report(spark, sf, "fixed", "customer"), DEFAULT_LAYOUT, mode="split")
 
 
 @register("linearize_split")
 def q_linearize_split(spark: SparkSession, sf: str) -> DataFrame:
     """Split-parallel form (W4) with a split boundary inside every line pair
     or page header, so all state crosses splits."""
-    return lz.linearize(fx.f4_lines(spark, sf, "fixed"), DEFAULT_LAYOUT, mode="split")
+    return lz.linearize(_report(spark, sf, "fixed", "fine"), DEFAULT_LAYOUT, mode="split")
 
 
 @register("linearize_delim")
 def q_linearize_delim(spark: SparkSession, sf: str) -> DataFrame:
-    return lz.linearize(fx.f4_lines(spark, sf, "delimiter"), DELIMITER_LAYOUT, mode="split")
+    return lz.linearize(_report(spark, sf, "delimiter", "fine"), DELIMITER_LAYOUT, mode="split")
 
 
 @register("line_counts")
@@ -278,4 +285,4 @@ def q_line_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("report_holders")
 def q_report_holders(spark: SparkSession, sf: str) -> DataFrame:
-    return lz.card_headers(fx.f4_lines(spark, sf, "fixed"), DEFAULT_LAYOUT, mode="split")
+    return lz.card_headers(_report(spark, sf, "fixed", "fine"), DEFAULT_LAYOUT, mode="split")
