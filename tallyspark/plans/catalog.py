@@ -286,3 +286,20 @@ def q_line_counts(spark: SparkSession, sf: str) -> DataFrame:
 @register("report_holders")
 def q_report_holders(spark: SparkSession, sf: str) -> DataFrame:
     return lz.card_headers(_report(spark, sf, "fixed", "fine"), DEFAULT_LAYOUT, mode="split")
+
+
+# --- run verdicts -------------------------------------------------------------------------
+
+from tallyspark.plans import reconcile as rc  # noqa: E402
+
+
+@register("run_issues")
+def q_run_issues(spark: SparkSession, sf: str) -> DataFrame:
+    """G1-G7 on the dirty piles (F2)."""
+    return rc.run_issues(fx.f2(spark, sf, "DEBT"), fx.f2(spark, sf, "CREDIT"))
+
+
+@register("run_issues_clean")
+def q_run_issues_clean(spark: SparkSession, sf: str) -> DataFrame:
+    """G1-G7 on the clean piles (F1)."""
+    return rc.run_issues(fx.f1(spark, sf, "DEBT"), fx.f1(spark, sf, "CREDIT"))

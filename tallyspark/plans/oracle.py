@@ -293,31 +293,37 @@ def _r(c: str) -> str:
     return f"coalesce({c}, {_NUL})"
 
 
-SQL["intra_file_pairs"] = with_(raw_f3("f3_raw"), clean("pile", "f3_raw")) + f"""
-, fk AS (SELECT DISTINCT source_file AS f, "Card" AS c, "Operation Number" AS o FROM pile)
-, ks AS (SELECT f, count(*) AS n_keys,
+def intra_ctes(p: str, pile: str) -> str:
+    """CTEs (prefixed ``p``) for the exact file-pair verdicts of ``pile``."""
+    return f"""{p}fk AS (SELECT DISTINCT source_file AS f, "Card" AS c, "Operation Number" AS o FROM {pile})
+, {p}ks AS (SELECT f, count(*) AS n_keys,
                 string_agg({_r('c')} || chr(1) || {_r('o')}, chr(2) ORDER BY {_r('c')}, {_r('o')}) AS kset
-         FROM fk GROUP BY f)
-, rr AS (SELECT source_file AS f, {_r('"Card"')} || chr(1) || {_r('"Operation Number"')} || chr(1)
-                || {_r('"Original Amount"')} || chr(1) || {_r('CAST("Amt_Float" AS VARCHAR)')} AS rep FROM pile)
-, rs AS (SELECT f, count(*) AS n_rows, string_agg(rep, chr(2) ORDER BY rep) AS rset FROM rr GROUP BY f)
-, files AS (SELECT rs.f, n_rows, n_keys, kset, rset FROM rs JOIN ks ON rs.f = ks.f)
-, cls AS (SELECT f, n_rows, n_keys,
+         FROM {p}fk GROUP BY f)
+, {p}rr AS (SELECT source_file AS f, {_r('"Card"')} || chr(1) || {_r('"Operation Number"')} || chr(1)
+                || {_r('"Original Amount"')} || chr(1) || {_r('CAST("Amt_Float" AS VARCHAR)')} AS rep FROM {pile})
+, {p}rs AS (SELECT f, count(*) AS n_rows, string_agg(rep, chr(2) ORDER BY rep) AS rset FROM {p}rr GROUP BY f)
+, {p}files AS (SELECT {p}rs.f, n_rows, n_keys, kset, rset FROM {p}rs JOIN {p}ks ON {p}rs.f = {p}ks.f)
+, {p}cls AS (SELECT f, n_rows, n_keys,
                  min(f) OVER (PARTITION BY n_rows, kset) AS key_rep,
-                 min(f) OVER (PARTITION BY n_rows, kset, rset) AS row_rep FROM files)
-, reps AS (SELECT f, n_rows, n_keys FROM cls WHERE f = key_rep)
-, ov AS (SELECT a.f AS a, b.f AS b, a.n_rows, a.n_keys AS na, count(*) AS n_overlap
-         FROM reps a JOIN reps b ON a.n_rows = b.n_rows AND a.f < b.f
-         JOIN fk x ON x.f = a.f
-         JOIN fk y ON y.f = b.f AND x.c IS NOT DISTINCT FROM y.c AND x.o IS NOT DISTINCT FROM y.o
+                 min(f) OVER (PARTITION BY n_rows, kset, rset) AS row_rep FROM {p}files)
+, {p}reps AS (SELECT f, n_rows, n_keys FROM {p}cls WHERE f = key_rep)
+, {p}ov AS (SELECT a.f AS a, b.f AS b, a.n_rows, a.n_keys AS na, count(*) AS n_overlap
+         FROM {p}reps a JOIN {p}reps b ON a.n_rows = b.n_rows AND a.f < b.f
+         JOIN {p}fk x ON x.f = a.f
+         JOIN {p}fk y ON y.f = b.f AND x.c IS NOT DISTINCT FROM y.c AND x.o IS NOT DISTINCT FROM y.o
          GROUP BY ALL)
+, {p}pairs AS (
 SELECT row_rep AS file1, f AS file2, 'DUPLICATE' AS verdict, CAST(100.0 AS DOUBLE) AS overlap_pct, n_rows
-FROM cls WHERE f <> row_rep
+FROM {p}cls WHERE f <> row_rep
 UNION ALL
-SELECT key_rep, f, 'SUSPICIOUS', CAST(100.0 AS DOUBLE), n_rows FROM cls WHERE f = row_rep AND row_rep <> key_rep
+SELECT key_rep, f, 'SUSPICIOUS', CAST(100.0 AS DOUBLE), n_rows FROM {p}cls WHERE f = row_rep AND row_rep <> key_rep
 UNION ALL
-SELECT a, b, 'WARNING', round(n_overlap / greatest(na, 1) * 100.0, 6), n_rows FROM ov
-WHERE n_overlap / greatest(na, 1) * 100.0 > 90"""
+SELECT a, b, 'WARNING', round(n_overlap / greatest(na, 1) * 100.0, 6), n_rows FROM {p}ov
+WHERE n_overlap / greatest(na, 1) * 100.0 > 90)"""
+
+
+SQL["intra_file_pairs"] = (with_(raw_f3("f3_raw"), clean("pile", "f3_raw"), intra_ctes("", "pile"))
+                           + "SELECT * FROM pairs")
 
 _CMP = '"Card", "Operation Number", "Original Amount"'
 
@@ -409,3 +415,76 @@ GROUP BY report_file"""
 SQL["report_holders"] = "WITH " + _CUSTF + """
 SELECT report_file, lpad(CAST(c_custkey AS VARCHAR), 16, '0') AS "TARJETA",
   CASE WHEN c_custkey % 13 = 0 THEN 'UNKNOWN' ELSE c_name END AS "NOMBRE" FROM cf"""
+
+
+# --- run verdicts (gates) ----------------------------------------------------------------
+
+def _iss(gate, check, sev, blocking, pile, subject="NULL", n="NULL", value="NULL") -> str:
+    return (f"'{gate}' AS gate, '{check}' AS \"check\", {sev} AS severity, {blocking} AS blocking, "
+            f"'{pile}' AS pile, CAST({subject} AS VARCHAR) AS subject, CAST({n} AS BIGINT) AS n, "
+            f"CAST({value} AS DOUBLE) AS value")
+
+
+def _quality_issue_rows(label: str, src: str) -> list[str]:
+    q = f"(SELECT * FROM ({_qual(label, src)}) x)"
+    o = f"(SELECT * FROM ({_outl(label, src)}) x)"
+    d = (f"(SELECT count(*) AS g FROM (SELECT \"Card\", \"Operation Number\", \"Accounting_Ref\" FROM {src} WHERE \"Card\" IS NOT NULL AND "
+         f"\"Operation Number\" IS NOT NULL AND \"Accounting_Ref\" IS NOT NULL GROUP BY ALL "
+         f"HAVING count(*) > 1) y)")
+    rows = [
+        f"SELECT {_iss('G4', 'negative_amounts', chr(39) + 'WARN' + chr(39), 'false', label, n='n_negative')} FROM {q} t WHERE n_negative > 0",
+        f"SELECT {_iss('G4', 'zero_amounts', chr(39) + 'WARN' + chr(39), 'false', label, n='n_zero')} FROM {q} t WHERE n_zero > 0",
+        f"SELECT {_iss('G4', 'high_outliers', chr(39) + 'WARN' + chr(39), 'false', label, n='n_outliers', value='max_outlier')} FROM {o} t WHERE n_outliers > 0",
+        f"SELECT {_iss('G4', 'duplicate_keys_in_file', chr(39) + 'WARN' + chr(39), 'false', label, n='g')} FROM {d} t WHERE g > 0",
+        f"SELECT {_iss('G4', 'empty_card', chr(39) + 'ERROR' + chr(39), 'true', label, n='n_empty_card')} FROM {q} t WHERE n_empty_card > 0",
+        f"SELECT {_iss('G4', 'empty_operation', chr(39) + 'ERROR' + chr(39), 'true', label, n='n_empty_op')} FROM {q} t WHERE n_empty_op > 0",
+        f"SELECT {_iss('G4', 'whitespace_card', chr(39) + 'ERROR' + chr(39), 'true', label, n='n_whitespace_card')} FROM {q} t WHERE n_whitespace_card > 0",
+    ]
+    return rows
+
+
+def _run_issues_sql(fixture) -> str:
+    e, w = "'ERROR'", "'WARN'"
+    intra = [f"""SELECT 'G1' AS gate, 'intra_pile_' || lower(verdict) AS "check",
+       CASE WHEN verdict = 'WARNING' THEN 'WARN' ELSE 'ERROR' END AS severity, true AS blocking,
+       '{lab}' AS pile, file1 || ' <> ' || file2 AS subject, CAST(n_rows AS BIGINT) AS n,
+       CAST(overlap_pct AS DOUBLE) AS value FROM {p}pairs""" for p, lab in (("d_", "DEBT"), ("c_", "CREDIT"))]
+    empty = [f"SELECT {_iss('G2', 'empty_pile', e, 'true', lab, n='c')} FROM (SELECT count(*) AS c FROM {src}) t WHERE c = 0"
+             for src, lab in (("debt", "DEBT"), ("credit", "CREDIT"))]
+    ex = _scen_one("cross_exact")
+    ovl = _scen_one("cross_overlap")
+    fpr = _scen_one("cross_fingerprint")
+    typ = _scen_one("cross_types")
+    cross = [
+        f"SELECT {_iss('G3', 'cross_exact_match', e, 'true', 'DEBT/CREDIT', n='n_debt')} FROM ({ex}) t WHERE exact_match",
+        f"SELECT {_iss('G3', 'cross_key_overlap', e, 'true', 'DEBT/CREDIT', n='n_overlap', value='overlap_pct')} FROM ({ovl}) t WHERE flagged",
+        f"SELECT {_iss('G3', 'cross_amount_fingerprint', e, 'true', 'DEBT/CREDIT', n='n_debt', value='debt_sum')} FROM ({fpr}) t WHERE flagged",
+        f"SELECT {_iss('G3', 'cross_same_type', w, 'true', 'DEBT/CREDIT', subject='debt_types')} FROM ({typ}) t WHERE flagged",
+    ]
+    qual = _quality_issue_rows("DEBT", "debt") + _quality_issue_rows("CREDIT", "credit")
+    oc = f"(SELECT c.* FROM credit c WHERE NOT EXISTS (SELECT 1 FROM debt d WHERE {JOIN_NS}))"
+    od = f"(SELECT d.* FROM debt d WHERE NOT EXISTS (SELECT 1 FROM credit c WHERE {JOIN_NS}))"
+    ocs = (f"(SELECT count(DISTINCT ({K})) AS k, CAST(sum(CAST(\"Amt_Float\" AS {MONEY})) AS DOUBLE) AS tot "
+           f"FROM {oc} x)")
+    ods = (f"(SELECT count(DISTINCT ({K})) AS k, CAST(sum(CAST(\"Amt_Float\" AS {MONEY})) AS DOUBLE) AS tot, "
+           f"(SELECT count(DISTINCT ({K})) FROM debt) AS nk FROM {od} x)")
+    rate = "round(100.0 * (nk - k) / greatest(nk, 1), 6)"
+    match = [
+        f"SELECT {_iss('G5', 'no_match', e, 'true', 'DEBT/CREDIT', n='m')} FROM (SELECT count(*) AS m FROM debt d JOIN credit c ON {JOIN_EQ}) t WHERE m = 0",
+        f"SELECT {_iss('G6', 'orphan_credits', e, 'true', 'CREDIT', n='k', value='tot')} FROM {ocs} t WHERE k > 0",
+        f"SELECT {_iss('G7', 'orphan_debts', chr(39) + 'INFO' + chr(39), 'false', 'DEBT', n='k', value='tot')} FROM {ods} t WHERE k > 0",
+        f"SELECT {_iss('G7', 'debt_match_rate', chr(39) + 'INFO' + chr(39), 'false', 'DEBT', n='nk', value=rate)} FROM {ods} t WHERE k > 0",
+    ]
+    body = "\nUNION ALL\n".join(intra + empty + cross + qual + match)
+    return with_(*fixture, intra_ctes("d_", "debt"), intra_ctes("c_", "credit")) + body
+
+
+def _scen_one(name: str) -> str:
+    """The 'clean' scenario body of a cross check (debt vs credit)."""
+    full = SQL[name]
+    body = full[len(with_(*F1)) + 1:]
+    return body.split("\nUNION ALL\n")[0]
+
+
+SQL["run_issues"] = _run_issues_sql(F2)
+SQL["run_issues_clean"] = _run_issues_sql(F1)
