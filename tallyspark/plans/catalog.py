@@ -303,3 +303,49 @@ def q_run_issues(spark: SparkSession, sf: str) -> DataFrame:
 def q_run_issues_clean(spark: SparkSession, sf: str) -> DataFrame:
     """G1-G7 on the clean piles (F1)."""
     return rc.run_issues(fx.f1(spark, sf, "DEBT"), fx.f1(spark, sf, "CREDIT"))
+
+
+# --- workbook piles (S1, S4, S7-S9) ---------------------------------------------------------
+
+import os as _os  # noqa: E402
+import uuid as _uuid  # noqa: E402
+
+from tallyspark.functions.text import CARD, OP  # noqa: E402
+from tallyspark.session import checkpoint_dir  # noqa: E402
+from tallyspark.sources import workbook as wbk  # noqa: E402
+from tallyspark.sources.piles import read_pile  # noqa: E402
+
+WORKBOOK_COLS = (CARD, OP, AMOUNT)
+
+
+def _smallest_file(raw: DataFrame) -> str:
+    """The F1 file with the fewest rows (ties: first name): a one-row aggregate."""
+    r = (raw.groupBy(FILE).agg(F.count(F.lit(1)).alias("n"))
+            .orderBy(F.col("n").asc(), F.col(FILE).asc()).limit(1).collect())
+    return r[0][0]
+
+
+def _workbook_folder(spark: SparkSession, sf: str) -> str:
+    """Write the F1 DEBT pile as one workbook per month under the shared
+    checkpoint folder; the smallest month lacks the Card header and one
+    extra file is not a workbook at all."""
+    raw = fx.f1_raw(spark, sf, "DEBT")
+    bad = _smallest_file(raw)
+    out = _os.path.join(checkpoint_dir(spark), f"workbooks-{_uuid.uuid4().hex}")
+    wbk.write_workbooks(raw, out, WORKBOOK_COLS, renamed={bad: ["Tarjeta", OP, AMOUNT]}) \
+        .write.format("noop").mode("overwrite").save()
+    with open(_os.path.join(wbk.local_dir(out), "m2d-recu corrupt.xlsx"), "wb") as fh:
+        fh.write(b"this is not a workbook")
+    return out
+
+
+@register("workbook_pile")
+def q_workbook_pile(spark: SparkSession, sf: str) -> DataFrame:
+    rows, _ = read_pile(spark, _workbook_folder(spark, sf), "m2d-recu", fmt="xlsx")
+    return rows
+
+
+@register("workbook_file_errors")
+def q_workbook_file_errors(spark: SparkSession, sf: str) -> DataFrame:
+    _, errors = read_pile(spark, _workbook_folder(spark, sf), "m2d-recu", fmt="xlsx")
+    return errors.select("file", "reason")

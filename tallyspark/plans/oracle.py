@@ -488,3 +488,17 @@ def _scen_one(name: str) -> str:
 
 SQL["run_issues"] = _run_issues_sql(F2)
 SQL["run_issues_clean"] = _run_issues_sql(F1)
+
+
+# --- workbook piles ---------------------------------------------------------------------------
+
+_SMALLEST = """smallest AS (SELECT source_file FROM debt_raw GROUP BY source_file
+                 ORDER BY count(*) ASC, source_file ASC LIMIT 1)"""
+
+SQL["workbook_pile"] = with_(*F1, _SMALLEST) + """
+SELECT "Card", "Operation Number", "Original Amount", source_file, "Accounting_Ref", "Amt_Float" FROM debt
+WHERE source_file NOT IN (SELECT source_file FROM smallest)"""
+
+SQL["workbook_file_errors"] = with_(*F1, _SMALLEST) + """
+SELECT source_file AS file, 'missing_key_columns' AS reason FROM smallest
+UNION ALL SELECT 'm2d-recu corrupt.xlsx', 'unreadable'"""
