@@ -349,3 +349,35 @@ def q_workbook_pile(spark: SparkSession, sf: str) -> DataFrame:
 def q_workbook_file_errors(spark: SparkSession, sf: str) -> DataFrame:
     _, errors = read_pile(spark, _workbook_folder(spark, sf), "m2d-recu", fmt="xlsx")
     return errors.select("file", "reason")
+
+
+# --- drop folder and landing (L1, L2, D3) ------------------------------------------------------
+
+from tallyspark.sources.inventory import inventory as _inventory  # noqa: E402
+from tallyspark.streaming import landing as ld  # noqa: E402
+
+
+def _drop_folder(spark: SparkSession, sf: str) -> dict:
+    """The F1 DEBT pile dropped as CSV files (one folder per month) under the
+    shared checkpoint folder."""
+    paths = ld.landing_paths(_os.path.join(checkpoint_dir(spark), f"landing-{_uuid.uuid4().hex}"))
+    (fx.f1_raw(spark, sf, "DEBT").write.mode("overwrite").option("header", "true")
+       .partitionBy(FILE).csv(paths["drop"]))
+    return paths
+
+
+@register("inventory")
+def q_inventory(spark: SparkSession, sf: str) -> DataFrame:
+    p = _drop_folder(spark, sf)
+    return _inventory(spark, p["drop"], "*.csv").select("name", "length")
+
+
+@register("land_latest")
+def q_land_latest(spark: SparkSession, sf: str) -> DataFrame:
+    """Land the drop folder twice (the second run finds nothing new) and
+    return the landed rows."""
+    p = _drop_folder(spark, sf)
+    opts = {"header": "true"}
+    ld.land_latest(spark, p["drop"], p["dest"], p["manifest"], "csv", "*.csv", opts)
+    ld.land_latest(spark, p["drop"], p["dest"], p["manifest"], "csv", "*.csv", opts)
+    return spark.read.parquet(p["dest"]).select(CARD, OP, AMOUNT)

@@ -502,3 +502,5 @@ WHERE source_file NOT IN (SELECT source_file FROM smallest)"""
 SQL["workbook_file_errors"] = with_(*F1, _SMALLEST) + """
 SELECT source_file AS file, 'missing_key_columns' AS reason FROM smallest
 UNION ALL SELECT 'm2d-recu corrupt.xlsx', 'unreadable'"""
+
+SQL["land_latest"] = with_(*F1) + 'SELECT "Card", "Operation Number", "Original Amount" FROM debt_raw'
