@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,21 +26,26 @@ def standardized_ref(name) -> Column:
     'UNKNOWN <original name>'. The date stays text.
     """
     name = F.col(name) if isinstance(name, str) else name
-    low = F.lower(name)
-    found = F.regexp_extract(low, DATE_PATTERN, 1)
+    # lower-casing never changes digits, '.' or '-', so the date is searched
+    # in the name as it is; keywords match case-insensitively
+    found = F.regexp_extract(name, DATE_PATTERN, 1)
     date = F.when(found == "", F.lit(NO_DATE)).otherwise(found)
-    return (F.when(low.contains(DEBT_KEYWORD), F.concat(F.lit(DEBT_LABEL + " "), date))
-             .when(low.contains(CREDIT_KEYWORD), F.concat(F.lit(CREDIT_LABEL + " "), date))
+    return (F.when(_has(name, DEBT_KEYWORD), F.concat(F.lit(DEBT_LABEL + " "), date))
+             .when(_has(name, CREDIT_KEYWORD), F.concat(F.lit(CREDIT_LABEL + " "), date))
              .otherwise(F.concat(F.lit(UNKNOWN + " "), name)))
 
 
+def _has(name: Column, keyword: str, prefix: bool = False) -> Column:
+    """Case-insensitive keyword test without lower-casing every row (the
+    keywords are ASCII, and no other character lower-cases to them)."""
+    return name.rlike(("(?i)^" if prefix else "(?i)") + re.escape(keyword))
+
+
 def name_matches(name, keyword: str, match: str = "contains") -> Column:
     """S3: case-insensitive keyword test on a base file name."""
     name = F.col(name) if isinstance(name, str) else name
-    low = F.lower(name)
-    kw = keyword.lower()
     if match == "contains":
-        return low.contains(kw)
+        return _has(name, keyword)
     if match == "prefix":
-        return low.startswith(kw)
+        return _has(name, keyword, prefix=True)
     raise ValueError(f"match must be 'contains' or 'prefix', not {match!r}")

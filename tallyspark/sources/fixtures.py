@@ -39,7 +39,9 @@ def base(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_returnflag", "l_shipdate")
     od = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    j = li.join(od, li.l_orderkey == od.o_orderkey, "inner")
+    # a big-big join at scale: sort-merge on the order key (never broadcast
+    # orders); the shuffle also spreads the rows over all tasks
+    j = li.join(od.hint("merge"), li.l_orderkey == od.o_orderkey, "inner")
     return j.select(
         F.col("o_custkey").cast("string").alias("card"),
         F.concat(F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string")).alias("op"),
@@ -170,7 +172,8 @@ def f4_lines(spark: SparkSession, sf_dir: str, mode: str = "fixed", splits: str
     li = read_table(spark, sf_dir, "lineitem")
     od = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     cu = read_table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
-    j = li.join(od, li.l_orderkey == od.o_orderkey).join(cu, od.o_custkey == cu.c_custkey)
+    j = (li.join(od.hint("merge"), li.l_orderkey == od.o_orderkey)
+           .join(cu.hint("merge"), od.o_custkey == cu.c_custkey))
     sel5, sel7, sel11, sel13, sel17 = f4_selectors()
     ck = F.col("c_custkey")
     file = F.concat(F.lit("tarjetas_"), F.lpad(F.col("c_nationkey").cast("string"), 2, "0"), F.lit(".txt"))
