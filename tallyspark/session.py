@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,10 +58,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or conf
 
 
-def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder (never local)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` once as a parquet table under the shared checkpoint folder
+    and read it back: later consumers read the table instead of recomputing
+    the plan, and it survives lost executors. (``Dataset.checkpoint`` would
+    run the plan twice: once to count, once to write.)"""
+    spark = df.sparkSession
+    path = os.path.join(checkpoint_dir(spark), "tables", uuid.uuid4().hex)
+    df.write.mode("error").parquet(path)
+    return spark.read.parquet(path)
 
 
 def table_path(spark: SparkSession, sf_dir: str, name: str) -> str:
