@@ -381,3 +381,11 @@ def q_land_latest(spark: SparkSession, sf: str) -> DataFrame:
     ld.land_latest(spark, p["drop"], p["dest"], p["manifest"], "csv", "*.csv", opts)
     ld.land_latest(spark, p["drop"], p["dest"], p["manifest"], "csv", "*.csv", opts)
     return spark.read.parquet(p["dest"]).select(CARD, OP, AMOUNT)
+
+
+@register("key_set_equal")
+def q_key_set_equal(spark: SparkSession, sf: str) -> DataFrame:
+    """X3 on F1: DEBT vs CREDIT (different) and DEBT vs DEBT (equal)."""
+    d = fx.f1(spark, sf, "DEBT")
+    return _union([so.key_set_equal(d, fx.f1(spark, sf, "CREDIT")).select(F.lit("clean").alias("scenario"), "*"),
+                   so.key_set_equal(d, fx.f1(spark, sf, "DEBT")).select(F.lit("self").alias("scenario"), "*")])

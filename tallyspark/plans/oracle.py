@@ -504,3 +504,8 @@ SELECT source_file AS file, 'missing_key_columns' AS reason FROM smallest
 UNION ALL SELECT 'm2d-recu corrupt.xlsx', 'unreadable'"""
 
 SQL["land_latest"] = with_(*F1) + 'SELECT "Card", "Operation Number", "Original Amount" FROM debt_raw'
+
+SQL["key_set_equal"] = _scen(lambda s, a, b: f"""SELECT '{s}' AS scenario,
+  ((SELECT count(*) FROM (SELECT DISTINCT {K} FROM {a})) = (SELECT count(*) FROM (SELECT DISTINCT {K} FROM {b}))
+   AND (SELECT count(*) FROM (SELECT DISTINCT {K} FROM {a})) =
+       (SELECT count(*) FROM (SELECT {K} FROM {a} INTERSECT SELECT {K} FROM {b}))) AS key_sets_equal""")
