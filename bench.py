@@ -31,6 +31,15 @@ HEADLINE = [
 ]
 
 
+def default_driver_memory() -> str:
+    """About 60 % of physical memory (local mode: the driver is the executor)."""
+    try:
+        total = os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES")
+        return f"{max(1, int(total * 0.6 / 2**30))}g"
+    except (ValueError, OSError, AttributeError):
+        return "4g"
+
+
 def run(df) -> None:
     df.write.format("noop").mode("overwrite").save()
 
@@ -41,7 +50,7 @@ def main() -> None:
     reps = int(os.environ.get("BENCH_REPS", "3"))
     names = [q for q in os.environ.get("BENCH_QUERIES", ",".join(HEADLINE)).split(",") if q]
     spark = get_session(f"local[{cpus}]", shuffle_partitions=max(8, 2 * cpus),
-                        extra={"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEM", "16g")})
+                        extra={"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEM", default_driver_memory())})
     run(Q["pile_totals"](spark, sf_dir))  # warm-up: JVM, codegen, file listing
     times = {}
     for name in names:
