@@ -140,18 +140,29 @@ def exact_overlap(cand: DataFrame, fk: DataFrame, keys=KEYS, file_col: str = FIL
 
 
 def file_pairs(pile: DataFrame, keys=KEYS, file_col: str = FILE, overlap_pct: float = 90.0,
-               exclude=(REF,)) -> DataFrame:
+               exclude=(REF,), empty_files: DataFrame | None = None) -> DataFrame:
     """(file1, file2, verdict, overlap_pct, n_rows) findings of one pile.
 
     DUPLICATE rows link each file to its row-class representative,
     SUSPICIOUS rows link a row-class representative to its key-class
     representative; all pairs inside a class follow by transitivity.
     WARNING rows are real pairs of key-class representatives.
+
+    ``empty_files`` (one column, the file name) lists files that are part of
+    the pile but have no data rows (from the listing or the workbook
+    headers): their fingerprints are zero, so two of them are duplicates.
     """
     # one pass over the wide pile; the narrow projection is written to the
     # shared checkpoint folder and every later step reads it
     narrow = cut_lineage(narrow_pile(pile, keys, file_col, exclude))
     fp = file_fingerprints(narrow, keys, file_col)
+    if empty_files is not None:
+        z = F.lit(0).cast("decimal(30,0)")
+        fp = fp.unionByName(
+            empty_files.select(F.col(empty_files.columns[0]).alias(file_col)).distinct()
+            .join(fp.select(file_col), file_col, "left_anti")
+            .select(file_col, F.lit(0).cast("long").alias("n_rows"), z.alias("rfp1"), z.alias("rfp2"),
+                    F.lit(0).cast("long").alias("n_keys"), z.alias("kfp1"), z.alias("kfp2")))
     cls = _classes(fp, file_col)
     dup = (cls.where(F.col(file_col) != F.col("row_rep"))
               .select(F.col("row_rep").alias("file1"), F.col(file_col).alias("file2"),

@@ -111,3 +111,10 @@ def test_cross_checks_flag_a_pile_against_itself(spark):
     cc = dfl.cross_checks(d, other)
     assert not any(cc[k].collect()[0][f] for k, f in (("exact", "exact_match"), ("overlap", "flagged"),
                                                       ("fingerprint", "flagged"), ("types", "flagged")))
+
+
+def test_two_empty_files_are_duplicates(spark):
+    rows = [("1", "A", 1.0, "R", "a"), ("2", "B", 1.0, "R", "b")]
+    empty = spark.createDataFrame([("e1",), ("e2",), ("a",)], "f string")
+    got = dfl.file_pairs(pile(spark, rows, COLS), empty_files=empty).collect()
+    assert sorted((r["file1"], r["file2"], r["verdict"], r["n_rows"]) for r in got) == [("e1", "e2", "DUPLICATE", 0)]
