@@ -163,7 +163,7 @@ def file_pairs(pile: DataFrame, keys=KEYS, file_col: str = FILE, overlap_pct: fl
             .join(fp.select(file_col), file_col, "left_anti")
             .select(file_col, F.lit(0).cast("long").alias("n_rows"), z.alias("rfp1"), z.alias("rfp2"),
                     F.lit(0).cast("long").alias("n_keys"), z.alias("kfp1"), z.alias("kfp2")))
-    cls = _classes(fp, file_col)
+    cls = cut_lineage(_classes(fp, file_col))  # one row per file, read by four branches
     dup = (cls.where(F.col(file_col) != F.col("row_rep"))
               .select(F.col("row_rep").alias("file1"), F.col(file_col).alias("file2"),
                       F.lit("DUPLICATE").alias("verdict"), F.lit(100.0).alias("overlap_pct"), "n_rows"))
@@ -171,8 +171,8 @@ def file_pairs(pile: DataFrame, keys=KEYS, file_col: str = FILE, overlap_pct: fl
               .select(F.col("key_rep").alias("file1"), F.col(file_col).alias("file2"),
                       F.lit("SUSPICIOUS").alias("verdict"), F.lit(100.0).alias("overlap_pct"), "n_rows"))
     reps = cls.where(F.col(file_col) == F.col("key_rep")).select(file_col, "n_rows", "n_keys")
-    fk = (narrow.select(file_col, *[F.col(_q(k)) for k in keys]).distinct()
-              .join(reps.select(file_col), file_col, "left_semi"))
+    fk = cut_lineage(narrow.select(file_col, *[F.col(_q(k)) for k in keys]).distinct()
+                     .join(reps.select(file_col), file_col, "left_semi"))  # five consumers
     cand = overlap_candidates(fk, reps, keys, file_col, overlap_pct)
     ov = exact_overlap(cand, fk, keys, file_col)
     na = reps.select(F.col(file_col).alias("a"), F.col("n_keys").alias("n_keys_a"), "n_rows")
