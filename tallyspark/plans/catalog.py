@@ -295,14 +295,15 @@ from tallyspark.plans import reconcile as rc  # noqa: E402
 
 @register("run_issues")
 def q_run_issues(spark: SparkSession, sf: str) -> DataFrame:
-    """G1-G7 on the dirty piles (F2)."""
-    return rc.run_issues(fx.f2(spark, sf, "DEBT"), fx.f2(spark, sf, "CREDIT"))
+    """G1-G7 on the dirty piles (F2), each pile written once and shared by
+    all checks (as ``reconcile()`` does)."""
+    return rc.run_issues(cut_lineage(fx.f2(spark, sf, "DEBT")), cut_lineage(fx.f2(spark, sf, "CREDIT")))
 
 
 @register("run_issues_clean")
 def q_run_issues_clean(spark: SparkSession, sf: str) -> DataFrame:
-    """G1-G7 on the clean piles (F1)."""
-    return rc.run_issues(fx.f1(spark, sf, "DEBT"), fx.f1(spark, sf, "CREDIT"))
+    """G1-G7 on the clean piles (F1), each pile written once."""
+    return rc.run_issues(cut_lineage(fx.f1(spark, sf, "DEBT")), cut_lineage(fx.f1(spark, sf, "CREDIT")))
 
 
 # --- workbook piles (S1, S4, S7-S9) ---------------------------------------------------------
