@@ -53,3 +53,48 @@ def test_last_business_day(spark):
         back = 3 if d.weekday() == 0 else 2 if d.weekday() == 6 else 1
         want.append(d - dt.timedelta(days=back))
     assert got == want
+
+
+def test_amount_parsers_on_random_strings(spark):
+    """P5 / P7 against plain Python on random text (digits, signs, dots,
+    currency, separators, letters, spaces)."""
+    import random
+    import re
+    rnd = random.Random(3)
+    alphabet = "0123456789" * 3 + "..--$€,  ()eE+abcXN\t"
+    texts = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 12))) for _ in range(3000)]
+    texts += ["1.", ".5", "-.5", "-", ".", "--1", "1-", "0007", "-0", "1e5", "+1", "(100)", "1.234,56"]
+
+    def parse(t):
+        kept = re.sub(r"[^0-9.\-]", "", t)
+        try:
+            return float(kept)
+        except ValueError:
+            return None
+
+    df = spark.createDataFrame([(t,) for t in texts], "x string")
+    got = df.select("x", lenient_amount(F.col("x")).alias("l"), strict_amount(F.col("x")).alias("s")).collect()
+    for r in got:
+        want = parse(r["x"])
+        assert r["s"] == want, r["x"]
+        assert r["l"] == (0.0 if want is None else want), r["x"]
+
+
+def test_standardized_names_on_random_names(spark):
+    import random
+    import re
+    rnd = random.Random(4)
+    parts = ["m2d-recu", "M2D-RECU", "m6d-dev", "M6d-Dev", "12", "1", "2026", ".", "-", "_", " ", "x", "ab", ".xlsx"]
+    names = ["".join(rnd.choice(parts) for _ in range(rnd.randint(1, 7))) for _ in range(2000)]
+
+    def ref(name):
+        low = name.lower()
+        m = re.search(r"(\d+[\.-]\d+[\.-]\d+)", low)
+        date = m.group(1) if m else "NO_DATE"
+        if "m2d-recu" in low:
+            return f"M2D-RECU {date}"
+        if "m6d-dev" in low:
+            return f"M6D-DEV {date}"
+        return f"UNKNOWN {name}"
+
+    assert one(spark, standardized_ref, names) == [ref(n) for n in names]
