@@ -90,3 +90,22 @@ def test_sample_is_ordered_and_counts_rest(spark):
     assert [r["Card"] for r in rows] == [None, "1", "2", "3", "4"]
     assert rows[0]["n_more"] == 4
     assert F is not None
+
+
+def test_hot_key_breakdown_without_blow_up(spark):
+    """A key holding a third of both piles: 20k x 10k = 200M joined rows that
+    the pre-aggregated form never builds."""
+    from pyspark.sql import functions as F
+    n = 60000
+    d = spark.range(n).select(
+        F.when(F.col("id") % 3 == 0, F.lit("HOT")).otherwise(F.col("id").cast("string")).alias("Card"),
+        F.when(F.col("id") % 3 == 0, F.lit("OP")).otherwise(F.lit("X")).alias("Operation Number"),
+        F.lit(1.25).alias("Amt_Float"), (F.col("id") % 4).cast("string").alias("Accounting_Ref"))
+    c = spark.range(n // 2).select(
+        F.when(F.col("id") % 3 == 0, F.lit("HOT")).otherwise(F.concat(F.lit("c"), F.col("id").cast("string"))).alias("Card"),
+        F.when(F.col("id") % 3 == 0, F.lit("OP")).otherwise(F.lit("X")).alias("Operation Number"),
+        F.lit(2.0).alias("Amt_Float"), F.lit("C").alias("Accounting_Ref"))
+    rows = bd.breakdown(d, c).collect()
+    assert sum(r["Count_Operations"] for r in rows) == 20000 * 10000
+    assert sum(r["Total_Conciliated_Amount"] for r in rows) == 20000 * 10000 * 1.25
+    assert len(rows) == 4
