@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyspark.llm.best_fit import best_fit
 from tallyspark.llm.common import documents
 from tallyspark.llm.quality_rules import quality_rules
 from tallyspark.llm.sharding import interleave
@@ -20,12 +21,19 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"), "source")
 
 
+def op5_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return best_fit(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Query] = {
     "op1_sharding": op1_sharding,
+    "op5_best_fit": op5_best_fit,
     "op10_quality_rules": op10_quality_rules,
 }
 
