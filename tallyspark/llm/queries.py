@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.llm.best_fit import best_fit
 from tallyspark.llm.common import documents
+from tallyspark.llm.jaccard_join import jaccard_classes
 from tallyspark.llm.quality_rules import quality_rules
 from tallyspark.llm.sharding import interleave
 
@@ -27,6 +28,10 @@ def op5_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_classes(documents(spark, sf_dir), 3, 90)
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir))
 
@@ -34,6 +39,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_sharding": op1_sharding,
     "op5_best_fit": op5_best_fit,
+    "op8_jaccard_join": op8_jaccard_join,
     "op10_quality_rules": op10_quality_rules,
 }
 
