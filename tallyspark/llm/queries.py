@@ -12,6 +12,7 @@ from tallyspark.llm.common import documents
 from tallyspark.llm.jaccard_join import jaccard_classes
 from tallyspark.llm.quality_rules import quality_rules
 from tallyspark.llm.sharding import interleave
+from tallyspark.llm.suffix_dedup import remove_repeats
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +23,12 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"), "source")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(documents(spark, sf_dir)).select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -38,6 +45,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_sharding": op1_sharding,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op5_best_fit": op5_best_fit,
     "op8_jaccard_join": op8_jaccard_join,
     "op10_quality_rules": op10_quality_rules,
