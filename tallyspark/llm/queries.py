@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from tallyspark.llm.best_fit import best_fit
 from tallyspark.llm.common import documents
+from tallyspark.llm.decontaminate import leaks
 from tallyspark.llm.jaccard_join import jaccard_classes
 from tallyspark.llm.quality_rules import quality_rules
 from tallyspark.llm.sharding import interleave
 from tallyspark.llm.suffix_dedup import remove_repeats
+from tallyspark.session import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,6 +37,10 @@ def op5_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(documents(spark, sf_dir), read_table(spark, sf_dir, "benchmark"))
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(documents(spark, sf_dir), 3, 90)
 
@@ -47,6 +53,7 @@ QUERIES: dict[str, Query] = {
     "op1_sharding": op1_sharding,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op5_best_fit": op5_best_fit,
+    "op6_decontaminate": op6_decontaminate,
     "op8_jaccard_join": op8_jaccard_join,
     "op10_quality_rules": op10_quality_rules,
 }
