@@ -104,3 +104,36 @@ def numbered(scratch: Scratch, df: DataFrame, order: list[Column], name: str,
     table = df.sparkSession.createDataFrame(offsets, "_part int, _offset long")
     return (parts.join(F.broadcast(table), "_part")
             .withColumn(into, F.col("_offset") + F.col("_row")).drop("_part", "_row", "_offset"))
+
+
+def packed_texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, packed) with the text compressed, to be shuffled;
+    ``docs`` has doc_id, text and text_hash. A null text stays null."""
+
+    def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        compressor = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            packed = [None if t is None else compressor.compress(t) for t in as_bytes(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("text_hash"), pa.array(packed, pa.binary())],
+                names=["doc_id", "text_hash", "packed"])
+
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text_hash", "text").mapInArrow(
+        pack, f"doc_id {id_type}, text_hash long, packed binary")
+
+
+def unpacked(packed: bytes | None) -> bytes | None:
+    import zstandard
+
+    return None if packed is None else zstandard.ZstdDecompressor().decompress(packed)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one if ``df`` has a column of that name."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -11,6 +11,7 @@ from tallyspark.llm.best_fit import best_fit
 from tallyspark.llm.common import documents
 from tallyspark.llm.decontaminate import leaks
 from tallyspark.llm.jaccard_join import jaccard_classes
+from tallyspark.llm.line_dedup import line_dedup
 from tallyspark.llm.quality_rules import quality_rules
 from tallyspark.llm.sharding import interleave
 from tallyspark.llm.suffix_dedup import remove_repeats
@@ -31,6 +32,12 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(documents(spark, sf_dir)).select(
+        "doc_id", "n_exact", "n_near", F.octet_length("text").cast("long").alias("kept_bytes"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op5_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -52,6 +59,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_sharding": op1_sharding,
     "op2_suffix_dedup": op2_suffix_dedup,
+    "op4_line_dedup": op4_line_dedup,
     "op5_best_fit": op5_best_fit,
     "op6_decontaminate": op6_decontaminate,
     "op8_jaccard_join": op8_jaccard_join,
