@@ -37,8 +37,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-from tallyspark.llm.common import Scratch, as_bytes, id_and_text, slices
+from tallyspark.llm.common import Scratch, as_bytes, free_name, id_and_text, slices
 from tallyspark.llm.components import components
 from tallyspark.llm.words import WordHashes, as_longs, shingles
 
@@ -121,6 +122,11 @@ def prefix(own: np.ndarray, lengths: np.ndarray, table: tuple[np.ndarray, np.nda
     return best + 1, own[order[:least + best + 1]]
 
 
+def sequence_key(words: list[bytes]) -> bytes | None:
+    """128-bit hash of a word sequence; null for none."""
+    return xxhash.xxh3_128_digest(b" ".join(words)) if words else None
+
+
 def _sets(k: int, table, percent: int):
     """(doc_id, n, key) of every document; l and prefix with the first of
     each word sequence in this task."""
@@ -136,7 +142,7 @@ def _sets(k: int, table, percent: int):
                     continue
                 own, first = np.unique(shingles(hashes.of(words), k), return_index=True)
                 n.append(len(own))
-                key = xxhash.xxh3_128_digest(b" ".join(words))
+                key = sequence_key(words)
                 keys.append(key)
                 if key in seen:
                     ls.append(None), prefixes.append(None)
@@ -160,11 +166,11 @@ def _texts_by_key(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in slices(batches, "text"):
         keys, texts = [], []
         for text in as_bytes(batch.column("text")):
-            joined = b" ".join((text or b"").lower().split())
-            key = xxhash.xxh3_128_digest(joined)
-            if joined and key not in seen:
+            words = (text or b"").lower().split()
+            key = sequence_key(words)
+            if words and key not in seen:
                 seen.add(key)
-                keys.append(key), texts.append(joined)
+                keys.append(key), texts.append(b" ".join(words))
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(texts, pa.binary())],
                                          names=["key", "words"])
 
@@ -216,17 +222,9 @@ def _verified(scratch: Scratch, pairs: DataFrame, sets: DataFrame, percent: int,
         "a", "b", (common * 100 >= union * percent).alias("linked")), name)
 
 
-def jaccard_classes(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_id",
-                    text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id.
-
-    component_id is the least doc_id that links reach, the row's own included.
-    A text without words (null, empty or blank) has no shingles and links with
-    nothing: its component_id is its own id. One with fewer than ``k`` words has
-    one shingle, all of them. Repeated rows are one class and null ids are
-    passed over as component ids, unless a component has no other. Other
-    columns of ``docs`` are not read. An empty table gives no rows.
-    """
+def _labelled(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, n, key (of the word sequence) of every row, and of its component
+    the least id and the key of a document with it."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     texts = id_and_text(docs, id_col, text_col)
@@ -283,8 +281,50 @@ def jaccard_classes(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str
     by_key = by_key.join(classes.select("key", "cid"), "key").join(
         parts.withColumnRenamed("node", "cid"), "cid", "left").select(
         "key", "least", F.coalesce("root", "cid").alias("root"))
-    by_root = by_key.groupBy("root").agg(F.min("least").alias("component"))
-    labels = by_key.join(by_root, "root").select("key", "component")
-    return rows.select("doc_id", "n", "key").join(labels, "key", "left").select(
+    by_root = by_key.groupBy("root").agg(
+        F.min("least").alias("component"),
+        F.min_by("key", F.struct(F.col("least").isNull(), "least", "key")).alias("chosen"))
+    labels = by_key.join(by_root, "root").select("key", "component", "chosen")
+    return rows.select("doc_id", "n", "key").join(labels, "key", "left")
+
+
+def jaccard_classes(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_id",
+                    text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id.
+
+    component_id is the least doc_id that links reach, the row's own included.
+    A text without words (null, empty or blank) has no shingles and links with
+    nothing: its component_id is its own id. One with fewer than ``k`` words has
+    one shingle, all of them. Repeated rows are one class and null ids are
+    passed over as component ids, unless a component has no other. Other
+    columns of ``docs`` are not read. An empty table gives no rows.
+    """
+    return _labelled(docs, k, percent, id_col, text_col).select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
+                text_col: str = "text") -> DataFrame:
+    """Of each component of ``jaccard_classes`` one row of ``docs``, that of the
+    least id (null ids last), with all its columns; of its repetitions one.
+    Rows without words stay."""
+    key, single = free_name(docs, "key"), free_name(docs, "single")
+    chosen = _labelled(docs, k, percent, id_col, text_col).where(
+        (F.col("key") == F.col("chosen")) & F.col("doc_id").eqNullSafe(F.col("component"))).select(
+        F.col("doc_id").alias("chosen_id"), F.col("key").alias("chosen_key")).distinct()
+    schema = StructType([*docs.schema.fields, StructField(key, BinaryType())])
+    keyed = docs.mapInArrow(_with_key(text_col, key), schema)
+    kept = keyed.join(chosen, (F.col(key) == F.col("chosen_key")) & F.col(id_col).eqNullSafe(F.col("chosen_id")),
+                      "left").where(F.col("chosen_key").isNotNull() | F.col(key).isNull())
+    kept = kept.withColumn(single, F.when(F.col(key).isNull(), F.monotonically_increasing_id()))
+    return kept.dropDuplicates([id_col, key, single]).select(*docs.columns)
+
+
+def _with_key(text_col: str, name: str):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [sequence_key((t or b"").lower().split()) for t in as_bytes(batch.column(text_col))]
+            yield batch.append_column(pa.field(name, pa.binary()), pa.array(keys, pa.binary()))
+
+    return run
