@@ -41,6 +41,27 @@ def _has(name: Column, keyword: str, prefix: bool = False) -> Column:
     return name.rlike(("(?i)^" if prefix else "(?i)") + re.escape(keyword))
 
 
+def decoded(c) -> Column:
+    """A path or name as it is on the file system: the file sources' metadata
+    columns percent-encode it ('+' stands for itself there)."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
+
+
+def relative_path(spark, root: str, file_path) -> Column:
+    """The decoded path of a file below ``root``: its identity. For a file
+    directly in the folder that is its name."""
+    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    fs = jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    base = re.sub(r"^[a-z0-9+.-]+:/+", "/", fs.makeQualified(jvm_path).toString()).rstrip("/") + "/"
+    full = F.regexp_replace(decoded(file_path), "^[a-z0-9+.-]+:/+", "/")
+    return F.when(F.startswith(full, F.lit(base)), F.substr(full, F.lit(len(base) + 1))).otherwise(full)
+
+
+def base_name(path) -> Column:
+    return F.substring_index(F.col(path) if isinstance(path, str) else path, "/", -1)
+
+
 def name_matches(name, keyword: str, match: str = "contains") -> Column:
     """S3: case-insensitive keyword test on a base file name."""
     name = F.col(name) if isinstance(name, str) else name

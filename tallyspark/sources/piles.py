@@ -6,12 +6,14 @@ files (parquet / csv / workbook) and tags each row with its file name.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.functions.amounts import lenient_amount
-from tallyspark.functions.names import name_matches, standardized_ref
+from tallyspark.functions.names import base_name, decoded, name_matches, standardized_ref
 from tallyspark.functions.text import AMOUNT, AMT, FILE, KEYS, REF, blank_to_null, is_blank, strip_ws
+from tallyspark.session import cut_lineage
+from tallyspark.sources.inventory import inventory
 
 
 def clean_pile(raw: DataFrame, keys=KEYS, amount: str | None = AMOUNT, file_col: str = FILE,
@@ -57,42 +59,90 @@ def dropped_rows(raw: DataFrame, keys=KEYS, file_col: str = FILE) -> DataFrame:
                     F.count_if(all_blank).alias("rows_dropped")))
 
 
-def file_stats(pile: DataFrame, keys=KEYS, file_col: str = FILE) -> DataFrame:
-    """Per file: rows and distinct keys (inputs of A14 / A16)."""
-    return (pile.groupBy(file_col)
-                .agg(F.count(F.lit(1)).alias("n_rows"),
-                     F.count_distinct(F.struct(*[F.col(f"`{k}`") for k in keys])).alias("n_keys")))
+def _read_csv(spark: SparkSession, path: str, keyword: str, match: str, keys, amount: str | None,
+              recursive: bool, options: dict):
+    """csv files by name: each file's first row names its own columns, whatever
+    their order; files without the needed ones are errors, not rows.
+
+    The rows are read once, positions only, and written to the shared
+    checkpoint folder; the first row of each file is its header."""
+    width = 1 + (spark.read.format("text").option("recursiveFileLookup", str(recursive).lower()).load(path)
+                 .agg(F.max(F.regexp_count("value", F.lit(options.get("sep", ","))))).first()[0] or 0)
+    cells = [f"c{i}" for i in range(width)]
+    raw = (spark.read.format("csv").options(**options).option("header", "false")
+           .option("recursiveFileLookup", str(recursive).lower())
+           .schema(", ".join(f"{c} string" for c in cells)).load(path)
+           .select(F.array(*cells).alias("cells"), decoded(F.col("_metadata.file_path")).alias("path"),
+                   F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")))
+    raw = cut_lineage(raw.where(name_matches(base_name("path"), keyword, match)))
+    heads = raw.groupBy("path").agg(F.min_by("cells", F.struct("block", "row")).alias("head"),
+                                    F.min(F.struct("block", "row")).alias("at"))
+    heads = heads.withColumn("names", F.array_distinct(F.filter("head", lambda h: h.isNotNull())))
+
+    def lacks(names) -> Column:
+        return ~F.forall(F.array(*[F.lit(n) for n in names]), lambda n: F.array_contains(F.col("names"), n))
+
+    reason = F.when(lacks(keys), F.lit("missing_key_columns"))
+    if amount is not None:
+        reason = reason.when(lacks([amount]), F.lit("missing_amount"))
+    heads = heads.withColumn("reason", reason)
+    errors = heads.where(F.col("reason").isNotNull()).select(
+        base_name("path").alias("file"), "reason", F.array_join("names", ",").alias("detail"))
+    heads = heads.where(F.col("reason").isNull())
+    # names of columns, few however many the rows
+    names = sorted({*keys, *([amount] if amount else []),
+                    *(r[0] for r in heads.select(F.explode("names")).distinct().collect())})
+    rows = raw.join(heads.select("path", "head", "at"), "path").where(F.struct("block", "row") > F.col("at"))
+    rows = rows.select(*[F.get("cells", F.array_position("head", n).cast("int") - 1).alias(n) for n in names],
+                       base_name("path").alias(FILE))
+    return rows, errors
+
+
+def _read_parquet(spark: SparkSession, path: str, keyword: str, match: str, recursive: bool, options: dict):
+    """parquet files by column name; a listed file that gives no row, as
+    corrupt ones do, is an error row."""
+    listing = inventory(spark, path, "*", recursive).where(
+        name_matches("name", keyword, match) & ~F.col("name").rlike("^[._]")).select("path", "name")
+    df = (spark.read.format("parquet").option("ignoreCorruptFiles", "true").option("mergeSchema", "true")
+          .option("recursiveFileLookup", str(recursive).lower()).options(**options).load(path))
+    columns = [F.col(f"`{c}`").cast("string").alias(c) for c in df.columns]
+    rows = df.select(*columns, base_name(decoded(F.col("_metadata.file_path"))).alias(FILE))
+    rows = rows.where(name_matches(FILE, keyword, match))
+    scheme = "^[a-z0-9+.-]+:/+"
+    read = df.select(F.regexp_replace(decoded(F.col("_metadata.file_path")), scheme, "/").alias("read")).distinct()
+    errors = listing.join(read, F.regexp_replace("path", scheme, "/") == F.col("read"), "left_anti").select(
+        F.col("name").alias("file"), F.lit("unreadable").alias("reason"),
+        F.lit("no row could be read").alias("detail"))
+    return rows, errors
 
 
 def read_pile(spark: SparkSession, path: str, keyword: str, match: str = "contains",
               fmt: str = "parquet", keys=KEYS, amount: str = AMOUNT, clean: str = "full",
-              options: dict | None = None):
+              options: dict | None = None, recursive: bool = False):
     """Read every file under ``path`` whose base name has ``keyword``.
 
-    Returns ``(rows, file_errors)``. Parquet / csv files are read with every
-    column as text; workbooks go through the ``tallyspark_xlsx`` source, which
-    isolates unreadable files and files lacking key columns (S7-S9) as rows
-    of ``file_errors`` instead of failing the job.
+    Returns ``(rows, file_errors)``: every column as text, and one error row
+    (file, reason, detail) for each file that is left out because it cannot be
+    read or lacks key columns or the amount (S7-S9), for csv and workbooks by
+    each file's own header. Files are told apart by their paths; names are
+    those on the file system, decoded. Only the folder itself is listed unless
+    ``recursive``.
     """
     options = dict(options or {})
+    needed = amount if clean == "full" else None
     if fmt == "xlsx":
         from tallyspark.sources.workbook import read_workbooks
-        rows, errors = read_workbooks(spark, path, keys=keys, amount=amount if clean == "full" else None)
-    else:
-        reader = spark.read.options(**options)
-        if fmt == "csv":
-            reader = reader.option("header", "true").option("inferSchema", "false")
-        if fmt == "parquet":
-            reader = reader.option("ignoreCorruptFiles", "true")
-        df = reader.format(fmt).load(path)
-        df = df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in df.columns],
-                       F.col("_metadata.file_name").alias(FILE))
-        missing = [k for k in keys if k not in df.columns]
+        rows, errors = read_workbooks(spark, path, keys=keys, amount=needed, keyword=keyword, match=match,
+                                      recursive=recursive)
+    elif fmt == "csv":
+        rows, errors = _read_csv(spark, path, keyword, match, keys, needed, recursive, options)
+    elif fmt == "parquet":
+        rows, errors = _read_parquet(spark, path, keyword, match, recursive, options)
+        missing = [k for k in keys if k not in rows.columns]
         if missing:
             raise ValueError(f"pile at {path} has no column(s) {missing}")
-        rows = df
-        errors = spark.createDataFrame([], "file string, reason string, detail string")
-    rows = rows.where(name_matches(F.col(FILE), keyword, match))
+    else:
+        raise ValueError(f"fmt must be 'parquet', 'csv' or 'xlsx', not {fmt!r}")
     if clean == "full":
         rows = clean_pile(rows, keys=keys, amount=amount)
     elif clean == "minimal":

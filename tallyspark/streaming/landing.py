@@ -24,29 +24,37 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyspark.functions.names import relative_path
+from tallyspark.session import cut_lineage
 from tallyspark.sources.inventory import inventory
 
 MANIFEST_KEYS = ["path", "length", "modificationTime"]
 
 
 def _manifest(spark: SparkSession, manifest: str) -> DataFrame:
-    try:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(manifest)
+    if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
         return spark.read.parquet(manifest).select(*MANIFEST_KEYS)
-    except Exception:  # noqa: BLE001 - no manifest yet
-        return spark.createDataFrame([], "path string, length long, modificationTime timestamp")
+    return spark.createDataFrame([], "path string, length long, modificationTime timestamp")
 
 
 def land_latest(spark: SparkSession, src: str, dest: str, manifest: str, fmt: str = "csv",
                 glob: str = "*", options: dict | None = None, partition_col: str = "source_name") -> int:
-    """Land every new file version under ``src``; returns how many files."""
+    """Land every new file version under ``src``; returns how many files.
+
+    Files are told apart by their path below ``src``. The listing is written
+    once: data and manifest follow the same one, so a file that is replaced
+    meanwhile is landed again by the next run. A csv file whose header differs
+    from the others' is an error, not a silent mix-up of columns.
+    """
     inv = inventory(spark, src, glob)
-    new = inv.join(_manifest(spark, manifest), MANIFEST_KEYS, "left_anti")
+    new = cut_lineage(inv.join(_manifest(spark, manifest), MANIFEST_KEYS, "left_anti"))
     # the list of new files is a directory listing, as small as the file count
     paths = [r["path"] for r in new.select("path").collect()]
     if not paths:
         return 0
-    reader = spark.read.format(fmt).options(**(options or {}))
-    data = reader.load(paths).withColumn(partition_col, F.col("_metadata.file_name"))
+    reader = spark.read.format(fmt).option("enforceSchema", "false").options(**(options or {}))
+    data = reader.load(paths).withColumn(partition_col, relative_path(spark, src, F.col("_metadata.file_path")))
     (data.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy(partition_col).parquet(dest))
     new.select(*MANIFEST_KEYS).write.mode("append").parquet(manifest)
@@ -58,10 +66,12 @@ def land_stream(spark: SparkSession, src: str, dest: str, checkpoint: str, schem
     """Process every file not yet seen by the stream, then stop."""
     stream = (spark.readStream.format(fmt).schema(schema).options(**(options or {}))
               .option("pathGlobFilter", glob).load(src)
-              .withColumn(partition_col, F.col("_metadata.file_name")))
+              .withColumn(partition_col, relative_path(spark, src, F.col("_metadata.file_path"))))
 
     def batch(df: DataFrame, epoch: int) -> None:
-        df.write.mode("append").partitionBy(partition_col).parquet(dest)
+        # a batch that is replayed after a failure overwrites its own partitions
+        (df.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+           .partitionBy(partition_col, "epoch").parquet(dest))
 
     q = (stream.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint)
          .foreachBatch(batch).start())
