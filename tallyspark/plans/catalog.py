@@ -1,7 +1,8 @@
 """Registered queries: name -> (spark, sf_dir) -> DataFrame.
 
 Every query reads the whole given tables (through the fixtures of
-``tallyspark.sources.fixtures``) and returns a lazy DataFrame.
+``tallyspark.sources.fixtures``) and returns a DataFrame; queries over
+files, and those that cut their lineage, write them while they are built.
 """
 
 from __future__ import annotations
@@ -309,11 +310,13 @@ def q_run_issues_clean(spark: SparkSession, sf: str) -> DataFrame:
 # --- workbook piles (S1, S4, S7-S9) ---------------------------------------------------------
 
 import os as _os  # noqa: E402
+import re as _re  # noqa: E402
 import uuid as _uuid  # noqa: E402
 
 from tallyspark.functions.text import CARD, OP  # noqa: E402
 from tallyspark.session import checkpoint_dir  # noqa: E402
 from tallyspark.sources import workbook as wbk  # noqa: E402
+from tallyspark.plans.sinks import write_match, write_report  # noqa: E402
 from tallyspark.sources.piles import read_pile  # noqa: E402
 
 WORKBOOK_COLS = (CARD, OP, AMOUNT)
@@ -352,8 +355,89 @@ def q_workbook_file_errors(spark: SparkSession, sf: str) -> DataFrame:
     return errors.select("file", "reason")
 
 
+# --- csv piles from real files (S1-S3, S8, S9, P1, P6) -------------------------------------------
+
+def _csv_folder(spark: SparkSession, sf: str) -> str:
+    """The F1 piles as csv files with the ledger's names, blanks and all, in
+    two folders that hold files of equal names; the smallest debt month has no
+    Card column in the first folder, and one file has no amount.
+
+    Spark writes the folders; each part file then gets its ledger name, a
+    rename for every file of the listing."""
+    out = _os.path.join(checkpoint_dir(spark), f"csv-{_uuid.uuid4().hex}")
+    raw = fx.f1_raw(spark, sf, "DEBT").unionByName(fx.f1_raw(spark, sf, "CREDIT"))
+    bad = _smallest_file(fx.f1_raw(spark, sf, "DEBT"))
+    half = F.when(F.right(F.col(OP), F.lit(1)).isin(*"13579"), "first").otherwise("second")
+    rows = cut_lineage(raw.withColumn("half", half).withColumn("name", F.replace(FILE, F.lit(".xlsx"), F.lit(".csv")))
+                       .drop(FILE))
+    broken = (F.col("name") == bad.replace(".xlsx", ".csv")) & (F.col("half") == "first")
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for part, frame in (("whole", rows.where(~broken)),
+                        ("broken", rows.where(broken).withColumnRenamed(CARD, "Tarjeta")),
+                        ("noamount", rows.where(broken).drop(AMOUNT).withColumn("name", F.lit("m2d-recu 1.1.2026 noamount.csv")))):
+        tmp = f"{out}-{part}"
+        (frame.repartition("half", "name").write.option("header", "true").option("quoteAll", "true")
+              .partitionBy("half", "name").csv(tmp))
+        fs = jvm.org.apache.hadoop.fs.Path(tmp).getFileSystem(conf)
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(tmp).select("path")
+        for (path,) in files.collect():
+            half_dir, name = _re.search(r"half=(\w+)/name=([^/]+)/", path).groups()
+            folder = jvm.org.apache.hadoop.fs.Path(f"{out}/{half_dir}")
+            fs.mkdirs(folder)
+            fs.rename(jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(folder, name))
+    return out
+
+
+PILE_COLS = (CARD, OP, AMOUNT, AMT, FILE, REF)
+
+
+@register("csv_pile")
+def q_csv_pile(spark: SparkSession, sf: str) -> DataFrame:
+    """Both piles of one folder tree, read back from csv."""
+    path = _csv_folder(spark, sf)
+    return _union([read_pile(spark, path, k, fmt="csv", recursive=True)[0].select(*PILE_COLS)
+                   for k in ("m2d-recu", "m6d-dev")])
+
+
+@register("csv_pile_minimal")
+def q_csv_pile_minimal(spark: SparkSession, sf: str) -> DataFrame:
+    """The older reader, by prefix and without blank handling; a file
+    without the amount column is part of its pile."""
+    rows, _ = read_pile(spark, _csv_folder(spark, sf), "M2D", match="prefix", fmt="csv", clean="minimal",
+                        recursive=True)
+    return rows.select(CARD, OP, AMOUNT, "Origin_File")
+
+
+@register("csv_file_errors")
+def q_csv_file_errors(spark: SparkSession, sf: str) -> DataFrame:
+    _, errors = read_pile(spark, _csv_folder(spark, sf), "m2d-recu", fmt="csv", recursive=True)
+    return errors.select("file", "reason")
+
+
+@register("csv_reconcile")
+def q_csv_reconcile(spark: SparkSession, sf: str) -> DataFrame:
+    """From files to the report table: both piles, matched, broken down by
+    debt file, written and read back."""
+    path = _csv_folder(spark, sf)
+    debt, credit = (cut_lineage(read_pile(spark, path, k, fmt="csv", recursive=True)[0]) for k in ("m2d-recu", "m6d-dev"))
+    report = _os.path.join(checkpoint_dir(spark), f"report-{_uuid.uuid4().hex}")
+    paths = write_report(bd.breakdown(debt, credit, by="debt"), None, None, report)
+    return spark.read.parquet(paths["By_Debt_File"])
+
+
+@register("csv_mass_match")
+def q_csv_mass_match(spark: SparkSession, sf: str) -> DataFrame:
+    """Matched keys and amounts of the csv piles through the match sink."""
+    path = _csv_folder(spark, sf)
+    debt, credit = (cut_lineage(read_pile(spark, path, k, fmt="csv", recursive=True)[0]) for k in ("m2d-recu", "m6d-dev"))
+    out = _os.path.join(checkpoint_dir(spark), f"match-{_uuid.uuid4().hex}")
+    write_match(mt.match(debt, credit), out)
+    return spark.read.parquet(out).select(CARD, OP, "Amt_Float_DEBT", "Amt_Float_CREDIT")
+
+
 # --- drop folder and landing (L1, L2, D3) ------------------------------------------------------
 
+from tallyspark.sources.inventory import first_names as _first_names  # noqa: E402
 from tallyspark.sources.inventory import inventory as _inventory  # noqa: E402
 from tallyspark.streaming import landing as ld  # noqa: E402
 
@@ -369,8 +453,22 @@ def _drop_folder(spark: SparkSession, sf: str) -> dict:
 
 @register("inventory")
 def q_inventory(spark: SparkSession, sf: str) -> DataFrame:
+    """L1: the month folders of the drop folder and whether they hold bytes."""
+    p = _drop_folder(spark, sf)
+    return _folders(_inventory(spark, p["drop"], "*.csv"))
+
+
+def _folders(inv: DataFrame) -> DataFrame:
+    folder = F.regexp_extract("path", f"/{FILE}=([^/]*)/", 1)
+    return inv.groupBy(folder.alias("folder")).agg((F.sum("length") > 0).alias("has_bytes"))
+
+
+@register("first_names")
+def q_first_names(spark: SparkSession, sf: str) -> DataFrame:
+    """D3: the first ten month folders of the listing."""
     p = _drop_folder(spark, sf)
-    return _inventory(spark, p["drop"], "*.csv").select("name", "length")
+    folders = _folders(_inventory(spark, p["drop"], "*.csv")).select(F.col("folder").alias("path"))
+    return _first_names(folders).select(F.col("path").alias("folder"))
 
 
 @register("land_latest")

@@ -509,3 +509,39 @@ SQL["key_set_equal"] = _scen(lambda s, a, b: f"""SELECT '{s}' AS scenario,
   ((SELECT count(*) FROM (SELECT DISTINCT {K} FROM {a})) = (SELECT count(*) FROM (SELECT DISTINCT {K} FROM {b}))
    AND (SELECT count(*) FROM (SELECT DISTINCT {K} FROM {a})) =
        (SELECT count(*) FROM (SELECT {K} FROM {a} INTERSECT SELECT {K} FROM {b}))) AS key_sets_equal""")
+
+
+# --- csv piles --------------------------------------------------------------------------------
+
+_BROKEN = """(source_file IN (SELECT source_file FROM smallest)
+             AND right("Operation Number", 1) IN ('1', '3', '5', '7', '9'))"""
+_CSV = (*F1[:2], _SMALLEST,
+        f"debt_files AS (SELECT * REPLACE (replace(source_file, '.xlsx', '.csv') AS source_file) "
+        f"FROM debt_raw WHERE NOT {_BROKEN})",
+        "credit_files AS (SELECT * REPLACE (replace(source_file, '.xlsx', '.csv') AS source_file) FROM credit_raw)",
+        f"broken AS (SELECT * REPLACE (replace(source_file, '.xlsx', '.csv') AS source_file) "
+        f"FROM debt_raw WHERE {_BROKEN})",
+        clean("debt", "debt_files"), clean("credit", "credit_files"))
+
+SQL["csv_pile"] = with_(*_CSV) + """
+SELECT "Card", "Operation Number", "Original Amount", "Amt_Float", source_file, "Accounting_Ref" FROM debt
+UNION ALL
+SELECT "Card", "Operation Number", "Original Amount", "Amt_Float", source_file, "Accounting_Ref" FROM credit"""
+
+SQL["csv_pile_minimal"] = with_(*_CSV, minimal("old", "debt_files")) + """
+SELECT * FROM old UNION ALL
+SELECT "Card", "Operation Number", NULL, 'm2d-recu 1.1.2026 noamount.csv' FROM broken"""
+
+SQL["csv_file_errors"] = with_(*_CSV) + """
+SELECT DISTINCT source_file AS file, 'missing_key_columns' AS reason FROM broken
+UNION ALL SELECT DISTINCT 'm2d-recu 1.1.2026 noamount.csv', 'missing_amount' FROM broken"""
+
+SQL["csv_reconcile"] = with_(*_CSV) + SQL["breakdown_by_debt"][len(with_(*F1)):]
+
+SQL["csv_mass_match"] = with_(*_CSV) + f"""
+SELECT d."Card", d."Operation Number", d."Amt_Float" AS "Amt_Float_DEBT", c."Amt_Float" AS "Amt_Float_CREDIT"
+FROM debt d JOIN credit c ON {JOIN_EQ}"""
+
+SQL["inventory"] = with_(*F1) + "SELECT DISTINCT source_file AS folder, TRUE AS has_bytes FROM debt_raw"
+
+SQL["first_names"] = with_(*F1) + "SELECT DISTINCT source_file AS folder FROM debt_raw ORDER BY 1 LIMIT 10"
