@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tallyspark.functions.amounts import lenient_amount, strict_amount
 from tallyspark.functions.dates import LINEAR_REPORT_BASE, ddmmyyyy, last_business_day
 from tallyspark.functions.names import name_matches, standardized_ref
-from tallyspark.functions.text import AMOUNT, AMT, FILE, KEYS, REF, source_type
+from tallyspark.functions.text import AMOUNT, AMT, FILE, KEYS, OP, REF, source_type
 from tallyspark.operators import breakdown as bd
 from tallyspark.operators import match as mt
 from tallyspark.operators import quality as ql
@@ -307,13 +307,41 @@ def q_run_issues_clean(spark: SparkSession, sf: str) -> DataFrame:
     return rc.run_issues(cut_lineage(fx.f1(spark, sf, "DEBT")), cut_lineage(fx.f1(spark, sf, "CREDIT")))
 
 
+@register("run_issues_copies")
+def q_run_issues_copies(spark: SparkSession, sf: str) -> DataFrame:
+    """G1: a debt pile with copied files."""
+    return rc.run_issues(cut_lineage(fx.f3(spark, sf)), cut_lineage(fx.f1(spark, sf, "CREDIT")))
+
+
+@register("run_issues_empty")
+def q_run_issues_empty(spark: SparkSession, sf: str) -> DataFrame:
+    """A credit pile without rows."""
+    debt = cut_lineage(fx.f1(spark, sf, "DEBT"))
+    return rc.run_issues(debt, debt.where("false"))
+
+
+@register("run_issues_self")
+def q_run_issues_self(spark: SparkSession, sf: str) -> DataFrame:
+    """One pile on both sides."""
+    debt = cut_lineage(fx.f1(spark, sf, "DEBT"))
+    return rc.run_issues(debt, debt)
+
+
+@register("run_issues_disjoint")
+def q_run_issues_disjoint(spark: SparkSession, sf: str) -> DataFrame:
+    """Piles without a common key."""
+    credit = fx.f1(spark, sf, "CREDIT")
+    other = credit.withColumn(OP, F.concat(F.col(OP), F.lit("Z")))
+    return rc.run_issues(cut_lineage(fx.f1(spark, sf, "DEBT")), cut_lineage(other))
+
+
 # --- workbook piles (S1, S4, S7-S9) ---------------------------------------------------------
 
 import os as _os  # noqa: E402
 import re as _re  # noqa: E402
 import uuid as _uuid  # noqa: E402
 
-from tallyspark.functions.text import CARD, OP  # noqa: E402
+from tallyspark.functions.text import CARD  # noqa: E402
 from tallyspark.session import checkpoint_dir  # noqa: E402
 from tallyspark.sources import workbook as wbk  # noqa: E402
 from tallyspark.plans.sinks import write_match, write_report  # noqa: E402

@@ -7,7 +7,7 @@ BIGINT, money sums DECIMAL then DOUBLE, ratios rounded on both sides.
 
 from __future__ import annotations
 
-MONEY = "DECIMAL(24,6)"
+MONEY = "DECIMAL(32,6)"
 
 
 def money_text(x: str) -> str:
@@ -488,6 +488,14 @@ def _scen_one(name: str) -> str:
 
 SQL["run_issues"] = _run_issues_sql(F2)
 SQL["run_issues_clean"] = _run_issues_sql(F1)
+SQL["run_issues_copies"] = _run_issues_sql((raw_f3("f3_raw"), clean("debt", "f3_raw"), raw_f1("credit_raw", "CREDIT"),
+                                            clean("credit", "credit_raw")))
+_DEBT_ONLY = (raw_f1("debt_raw", "DEBT"), clean("debt", "debt_raw"))
+SQL["run_issues_empty"] = _run_issues_sql((*_DEBT_ONLY, "credit AS (SELECT * FROM debt WHERE false)"))
+SQL["run_issues_self"] = _run_issues_sql((*_DEBT_ONLY, "credit AS (SELECT * FROM debt)"))
+SQL["run_issues_disjoint"] = _run_issues_sql(
+    (*F1[:3], clean("returned", "credit_raw"),
+     """credit AS (SELECT * REPLACE ("Operation Number" || 'Z' AS "Operation Number") FROM returned)"""))
 
 
 # --- workbook piles ---------------------------------------------------------------------------
