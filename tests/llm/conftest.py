@@ -1,11 +1,6 @@
-import os
-import sys
-
 import pytest
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-sys.path.insert(0, os.path.dirname(__file__))
-
 SCHEMA = StructType([StructField("doc_id", LongType()), StructField("text", StringType()),
                      StructField("lang", StringType()), StructField("source", StringType()),
                      StructField("n_chars", LongType())])

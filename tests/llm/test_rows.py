@@ -8,7 +8,7 @@ from itertools import product
 
 import pytest
 import zstandard
-from llm_cases import ODD, prose
+from .llm_cases import ODD, prose
 
 from tallyspark.llm import decontaminate, license_scan, quality_rules, token_counts
 from tallyspark.llm.edit_distance import edits
