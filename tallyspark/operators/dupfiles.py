@@ -86,7 +86,8 @@ def file_fingerprints(narrow: DataFrame, keys=KEYS, file_col: str = FILE) -> Dat
 def _classes(fp: DataFrame, file_col: str) -> DataFrame:
     kcls = ["n_rows", "n_keys", "kfp1", "kfp2"]
     rcls = kcls + ["rfp1", "rfp2"]
-    krep = fp.groupBy(*kcls).agg(F.min(file_col).alias("key_rep"), F.count(F.lit(1)).alias("key_size"))
+    krep = fp.groupBy(*kcls).agg(F.min(file_col).alias("key_rep"), F.max(file_col).alias("key_last"),
+                                 F.count(F.lit(1)).alias("key_size"))
     rrep = fp.groupBy(*rcls).agg(F.min(file_col).alias("row_rep"))
     return fp.join(krep, kcls).join(rrep, rcls)
 
@@ -97,8 +98,8 @@ def _ns_cond(left: DataFrame, right: DataFrame, lk, rk):
 
 def overlap_candidates(fk: DataFrame, stats: DataFrame, keys=KEYS, file_col: str = FILE,
                        min_pct: float = 90.0) -> DataFrame:
-    """Prefix-filter candidates (a, b), a < b, equal n_rows, that may share
-    more than ``min_pct`` % of ``a``'s keys. ``fk``: distinct (file, keys);
+    """Prefix-filter candidates (a, b), equal n_rows, that may share more than
+    ``min_pct`` % of ``a``'s keys. ``fk``: distinct (file, keys);
     ``stats``: (file, n_rows, n_keys)."""
     kc = [F.col(_q(k)) for k in keys]
     freq = fk.groupBy(*kc).agg(F.count(F.lit(1)).alias("freq"))
@@ -126,7 +127,7 @@ def overlap_candidates(fk: DataFrame, stats: DataFrame, keys=KEYS, file_col: str
                    .select(F.col(file_col).alias("b"), F.col("n_rows").alias("n_rows_b"),
                            *[F.col(_q(k)).alias(f"__b_{k}") for k in keys]))
     cond = (_ns_cond(prefix, probe, keys, [f"__b_{k}" for k in keys])
-            & (prefix["n_rows"] == probe["n_rows_b"]) & (prefix["a"] < probe["b"]))
+            & (prefix["n_rows"] == probe["n_rows_b"]) & (prefix["a"] != probe["b"]))
     return prefix.join(probe, cond).select("a", "b").distinct()
 
 
@@ -146,7 +147,10 @@ def file_pairs(pile: DataFrame, keys=KEYS, file_col: str = FILE, overlap_pct: fl
     DUPLICATE rows link each file to its row-class representative,
     SUSPICIOUS rows link a row-class representative to its key-class
     representative; all pairs inside a class follow by transitivity.
-    WARNING rows are real pairs of key-class representatives.
+    The overlap is taken of the keys of the file that comes first by name. A
+    WARNING row stands for all pairs (x, y), x before y, of one class of files
+    with equal keys and another: it names the first x and the last y. Two
+    classes give two rows if both orders occur and pass.
 
     ``empty_files`` (one column, the file name) lists files that are part of
     the pile but have no data rows (from the listing or the workbook
@@ -170,15 +174,16 @@ def file_pairs(pile: DataFrame, keys=KEYS, file_col: str = FILE, overlap_pct: fl
     sus = (cls.where((F.col(file_col) == F.col("row_rep")) & (F.col("row_rep") != F.col("key_rep")))
               .select(F.col("key_rep").alias("file1"), F.col(file_col).alias("file2"),
                       F.lit("SUSPICIOUS").alias("verdict"), F.lit(100.0).alias("overlap_pct"), "n_rows"))
-    reps = cls.where(F.col(file_col) == F.col("key_rep")).select(file_col, "n_rows", "n_keys")
+    reps = cls.where(F.col(file_col) == F.col("key_rep")).select(file_col, "n_rows", "n_keys", "key_last")
     fk = cut_lineage(narrow.select(file_col, *[F.col(_q(k)) for k in keys]).distinct()
                      .join(reps.select(file_col), file_col, "left_semi"))  # five consumers
     cand = overlap_candidates(fk, reps, keys, file_col, overlap_pct)
     ov = exact_overlap(cand, fk, keys, file_col)
     na = reps.select(F.col(file_col).alias("a"), F.col("n_keys").alias("n_keys_a"), "n_rows")
     pct = F.col("n_overlap") / F.greatest(F.col("n_keys_a"), F.lit(1)) * F.lit(100.0)
-    warn = (ov.join(na, "a").where(pct > overlap_pct)
-              .select(F.col("a").alias("file1"), F.col("b").alias("file2"), F.lit("WARNING").alias("verdict"),
+    last = reps.select(F.col(file_col).alias("b"), F.col("key_last").alias("file2"))
+    warn = (ov.join(na, "a").join(last, "b").where((pct > overlap_pct) & (F.col("a") < F.col("file2")))
+              .select(F.col("a").alias("file1"), "file2", F.lit("WARNING").alias("verdict"),
                       F.round(pct, 6).alias("overlap_pct"), "n_rows"))
     return dup.unionByName(sus).unionByName(warn)
 

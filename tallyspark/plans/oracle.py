@@ -294,7 +294,9 @@ def _r(c: str) -> str:
 
 
 def intra_ctes(p: str, pile: str) -> str:
-    """CTEs (prefixed ``p``) for the exact file-pair verdicts of ``pile``."""
+    """CTEs (prefixed ``p``) for the file-pair verdicts of ``pile``: every pair of
+    files is judged, then one row is kept for each copy and one for each two
+    classes of files with equal keys."""
     return f"""{p}fk AS (SELECT DISTINCT source_file AS f, "Card" AS c, "Operation Number" AS o FROM {pile})
 , {p}ks AS (SELECT f, count(*) AS n_keys,
                 string_agg({_r('c')} || chr(1) || {_r('o')}, chr(2) ORDER BY {_r('c')}, {_r('o')}) AS kset
@@ -303,23 +305,25 @@ def intra_ctes(p: str, pile: str) -> str:
                 || {_r('"Original Amount"')} || chr(1) || {_r('CAST("Amt_Float" AS VARCHAR)')} AS rep FROM {pile})
 , {p}rs AS (SELECT f, count(*) AS n_rows, string_agg(rep, chr(2) ORDER BY rep) AS rset FROM {p}rr GROUP BY f)
 , {p}files AS (SELECT {p}rs.f, n_rows, n_keys, kset, rset FROM {p}rs JOIN {p}ks ON {p}rs.f = {p}ks.f)
-, {p}cls AS (SELECT f, n_rows, n_keys,
-                 min(f) OVER (PARTITION BY n_rows, kset) AS key_rep,
-                 min(f) OVER (PARTITION BY n_rows, kset, rset) AS row_rep FROM {p}files)
-, {p}reps AS (SELECT f, n_rows, n_keys FROM {p}cls WHERE f = key_rep)
-, {p}ov AS (SELECT a.f AS a, b.f AS b, a.n_rows, a.n_keys AS na, count(*) AS n_overlap
-         FROM {p}reps a JOIN {p}reps b ON a.n_rows = b.n_rows AND a.f < b.f
-         JOIN {p}fk x ON x.f = a.f
-         JOIN {p}fk y ON y.f = b.f AND x.c IS NOT DISTINCT FROM y.c AND x.o IS NOT DISTINCT FROM y.o
-         GROUP BY ALL)
+, {p}two AS (SELECT x.f AS f1, y.f AS f2, x.n_rows, x.n_keys, x.kset AS k1, y.kset AS k2, x.rset AS r1, y.rset AS r2
+         FROM {p}files x JOIN {p}files y ON x.n_rows = y.n_rows AND x.f < y.f)
+, {p}shared AS (SELECT f1, f2, count(*) AS n_overlap FROM {p}two
+         JOIN {p}fk x ON x.f = f1
+         JOIN {p}fk y ON y.f = f2 AND x.c IS NOT DISTINCT FROM y.c AND x.o IS NOT DISTINCT FROM y.o
+         WHERE k1 <> k2 GROUP BY ALL)
+, {p}found AS (SELECT t.*, CASE WHEN k1 = k2 AND r1 = r2 THEN 'DUPLICATE' WHEN k1 = k2 THEN 'SUSPICIOUS'
+                                WHEN n_overlap / greatest(n_keys, 1) * 100.0 > 90 THEN 'WARNING' END AS verdict, n_overlap
+         FROM {p}two t LEFT JOIN {p}shared s ON t.f1 = s.f1 AND t.f2 = s.f2)
 , {p}pairs AS (
-SELECT row_rep AS file1, f AS file2, 'DUPLICATE' AS verdict, CAST(100.0 AS DOUBLE) AS overlap_pct, n_rows
-FROM {p}cls WHERE f <> row_rep
+SELECT min(f1) AS file1, f2 AS file2, 'DUPLICATE' AS verdict, CAST(100.0 AS DOUBLE) AS overlap_pct, n_rows
+FROM {p}found WHERE verdict = 'DUPLICATE' GROUP BY f2, n_rows
 UNION ALL
-SELECT key_rep, f, 'SUSPICIOUS', CAST(100.0 AS DOUBLE), n_rows FROM {p}cls WHERE f = row_rep AND row_rep <> key_rep
+SELECT min(f1), min(f2), 'SUSPICIOUS', CAST(100.0 AS DOUBLE), n_rows FROM {p}found t
+WHERE verdict = 'SUSPICIOUS' AND NOT EXISTS (SELECT 1 FROM {p}found d WHERE d.verdict = 'DUPLICATE' AND d.f2 = t.f2)
+GROUP BY f2, n_rows
 UNION ALL
-SELECT a, b, 'WARNING', round(n_overlap / greatest(na, 1) * 100.0, 6), n_rows FROM {p}ov
-WHERE n_overlap / greatest(na, 1) * 100.0 > 90)"""
+SELECT min(f1), max(f2), 'WARNING', round(max(n_overlap / greatest(n_keys, 1) * 100.0), 6), n_rows
+FROM {p}found WHERE verdict = 'WARNING' GROUP BY k1, k2, n_rows)"""
 
 
 SQL["intra_file_pairs"] = (with_(raw_f3("f3_raw"), clean("pile", "f3_raw"), intra_ctes("", "pile"))
