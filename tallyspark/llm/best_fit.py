@@ -26,6 +26,7 @@ from __future__ import annotations
 import unicodedata
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -33,12 +34,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import Scratch, id_and_text, numbered, slices
+from tallyspark.llm.common import Scratch, id_and_text, slices
 
 CAPACITY = 4096
 END_ID = 1
-CACHE_WORDS = 300_000  # words whose ids a worker remembers
-ROWS_PER_RANGE = 50_000
+CACHE_WORDS = 800_000  # words whose ids a worker remembers
+ROWS_PER_RANGE = 20_000
 SWEEPS_BEFORE_BUNDLES = 8
 SMALL_REST = 0.02  # of the pieces: such a rest is cut in its sorted order
 
@@ -96,11 +97,17 @@ class WordEncoder:
         return b"".join(map(ids.__getitem__, words))
 
 
+@lru_cache(maxsize=2)
+def encoder_of(path: str) -> WordEncoder:
+    """One encoder a worker, which keeps what it has learnt between tasks."""
+    return WordEncoder(path)
+
+
 def _cut(path: str, capacity: int, end_id: int):
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(path)
+        encoder = encoder_of(path)
         for batch in slices(batches, "text"):
             rows, piece, start, length, crc = [], [], [], [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
@@ -130,9 +137,6 @@ def cut_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_i
 
 # --- one sweep -------------------------------------------------------------
 
-_SWEPT = "part int, kind string, rank long, unit long, length long, bin long, gap long"
-_ENTRY = "is_piece int, size long, unit long, bin long"
-
 
 def match_down(is_piece: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of matched gaps and of the pieces that take them, for entries in
@@ -147,25 +151,24 @@ def match_down(is_piece: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array(gaps, np.int64), np.array(pieces, np.int64)
 
 
-def _sweep_range(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    from pyspark import TaskContext
+_SWEPT = "part long, kind string, rank long, unit long, length long, bin long, gap long"
+
 
-    part = TaskContext.get().partitionId()
-    rows = pd.concat(list(frames), ignore_index=True) if frames else None
-    if rows is None or rows.empty:
-        return
-    is_piece, size = rows["is_piece"].to_numpy(), rows["size"].to_numpy()
-    unit, bin_ = rows["unit"].to_numpy(), rows["bin"].to_numpy()
+def _sweep_range(rows: pd.DataFrame) -> pd.DataFrame:
+    """One range: its matches, and what is left of its pieces and gaps, ranked."""
+    rows = rows.sort_values(["size", "is_piece", "mix", "id"], ascending=[False, True, True, True])
+    part, size, ids = rows["part"].iat[0], rows["size"].to_numpy(), rows["id"].to_numpy()
+    is_piece = rows["is_piece"].to_numpy()
     gaps, pieces = match_down(is_piece)
     left = np.ones(len(rows), bool)
     left[gaps] = left[pieces] = False
     at = np.flatnonzero(left)
-    left_piece = is_piece[at] == 1
-    yield pd.DataFrame({"part": part, "kind": "matched", "rank": np.int64(0), "unit": unit[pieces],
-                        "length": size[pieces], "bin": bin_[gaps], "gap": size[gaps]})
-    for kind, places in (("piece", at[left_piece]), ("gap", at[~left_piece])):
-        yield pd.DataFrame({"part": part, "kind": kind, "rank": np.arange(len(places)), "unit": unit[places],
-                            "length": size[places], "bin": bin_[places], "gap": size[places]})
+    out = [pd.DataFrame({"part": part, "kind": "matched", "rank": np.zeros(len(gaps), np.int64),
+                         "unit": ids[pieces], "length": size[pieces], "bin": ids[gaps], "gap": size[gaps]})]
+    for kind, places in (("piece", at[is_piece[at] == 1]), ("gap", at[is_piece[at] == 0])):
+        out.append(pd.DataFrame({"part": part, "kind": kind, "rank": np.arange(len(places)), "unit": ids[places],
+                                 "length": size[places], "bin": ids[places], "gap": size[places]}))
+    return pd.concat(out, ignore_index=True)
 
 
 def across(counts: dict[int, tuple[int, int]]) -> list[tuple[str, int, int, int, int, int]]:
@@ -191,91 +194,134 @@ def across(counts: dict[int, tuple[int, int]]) -> list[tuple[str, int, int, int,
     return out
 
 
+def _bundle_range(target: int):
+    def join(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["size", "mix", "id"], ascending=[False, True, True])
+        head, filled, heads, offsets = None, 0, [], []
+        for unit, length in zip(rows["id"].tolist(), rows["size"].tolist()):
+            if head is None or filled + length > target:
+                head, filled = unit, 0
+            heads.append(head)
+            offsets.append(filled)
+            filled += length
+        return pd.DataFrame({"unit": rows["id"].to_numpy(), "length": rows["size"].to_numpy(), "bundle": heads,
+                             "inner": offsets})
+
+    return join
+
+
 class _Packing:
-    def __init__(self, scratch: Scratch, capacity: int):
+    """The state between sweeps: a table of entries (is_piece, size, id), the
+    remaining units and the gaps of the open sequences."""
+
+    def __init__(self, scratch: Scratch, units: DataFrame, capacity: int):
         self.scratch, self.spark, self.capacity = scratch, scratch.spark, capacity
         self.log: list[tuple[str, DataFrame]] = []  # placements and bundlings, in order
-        self.n = 0
+        self.steps = 0
+        full = units.where(F.col("length") >= capacity)
+        self.place(full.select("unit", F.col("unit").alias("bin"), F.lit(0).cast("long").alias("offset")))
+        self.entries = self._units(units.where(F.col("length") < capacity))
+        self.measure()
 
     def name(self, what: str) -> str:
-        self.n += 1
-        return f"{self.n:04d}_{what}"
-
-    def ranges(self, rows: int) -> int:
-        return max(1, -(-rows // ROWS_PER_RANGE))
+        self.steps += 1
+        return f"{self.steps:04d}_{what}"
 
     def place(self, rows: DataFrame) -> None:
         self.log.append(("place", rows.select("unit", "bin", "offset")))
 
-    def open(self, units: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
-        """The ``k`` largest units open sequences; the gaps and the other units."""
-        ranked = numbered(self.scratch, units.select("unit", "length"), [F.col("length").desc(), F.col("unit")],
-                          self.name("ranked"), "rank")
-        first = ranked.where(F.col("rank") < k)
-        self.place(first.select("unit", F.col("unit").alias("bin"), F.lit(0).cast("long").alias("offset")))
-        gaps = first.select(F.col("unit").alias("bin"), (F.lit(self.capacity) - F.col("length")).alias("gap"))
-        return gaps, ranked.where(F.col("rank") >= k).select("unit", "length")
-
-    def sweep(self, units: DataFrame, gaps: DataFrame, rows: int) -> tuple[DataFrame, DataFrame, dict]:
-        entries = units.select(F.lit(1).alias("is_piece"), F.col("length").alias("size"), "unit",
-                               F.lit(-1).cast("long").alias("bin")).unionByName(
-            gaps.select(F.lit(0).alias("is_piece"), F.col("gap").alias("size"),
-                        F.lit(-1).cast("long").alias("unit"), "bin"))
-        order = [F.col("size").desc(), F.col("is_piece"), F.col("unit"), F.col("bin")]
-        swept = self.scratch.write(
-            entries.repartitionByRange(self.ranges(rows), *order).sortWithinPartitions(*order)
-            .mapInPandas(_sweep_range, _SWEPT), self.name("swept"))
-        counts: dict[int, list[int]] = {}
-        matched = 0
-        for r in swept.groupBy("part", "kind").count().collect():  # three rows a range
-            if r["kind"] == "matched":
-                matched += r["count"]
-            else:
+    def place_alone(self, units: DataFrame) -> None:
+        self.place(units.select("unit", F.col("unit").alias("bin"), F.lit(0).cast("long").alias("offset")))
+
+    @staticmethod
+    def _units(units: DataFrame) -> DataFrame:
+        return units.select(F.lit(1).alias("is_piece"), F.col("length").alias("size"), F.col("unit").alias("id"))
+
+    @staticmethod
+    def _gaps(gaps: DataFrame) -> DataFrame:
+        return gaps.select(F.lit(0).alias("is_piece"), F.col("gap").alias("size"), F.col("bin").alias("id"))
+
+    def measure(self) -> None:
+        """Counts by kind and size, at most twice the capacity of them: where
+        each class of equal entries begins in the descending order."""
+        counts = {(r["size"], r["is_piece"]): r["count"]
+                  for r in self.entries.groupBy("size", "is_piece").count().collect()}
+        pieces = {s: n for (s, p), n in counts.items() if p}
+        self.n = sum(pieces.values())
+        self.tokens = sum(s * n for s, n in pieces.items())
+        self.large = sum(n for s, n in pieces.items() if s > self.capacity // 2)
+        least = min(pieces, default=0)
+        self.classes, self.rows = [], 0
+        for (size, piece), n in sorted(counts.items(), key=lambda c: (-c[0][0], c[0][1])):
+            if size >= least:  # smaller gaps are done
+                self.classes.append((size, piece, self.rows, n))
+                self.rows += n
+        self.gaps = sum(n for _, piece, _, n in self.classes if not piece)
+
+    def ranged(self, entries: DataFrame) -> DataFrame:
+        """Adds ``place``, about the place in the descending order, and the
+        number of the range, some ROWS_PER_RANGE rows; equal entries are spread
+        by a hash of their ids, which is their order too."""
+        table = self.spark.createDataFrame(self.classes, "size long, is_piece int, first long, n long")
+        mix = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
+        return entries.join(F.broadcast(table), ["size", "is_piece"]).withColumn("mix", mix).withColumn(
+            "place", F.col("first") + F.floor(F.col("n") * F.col("mix") / F.lit(float(1 << 30)))).withColumn(
+            "part", F.floor(F.col("place") / ROWS_PER_RANGE)).select(
+            "is_piece", "size", "id", "mix", "place", "part")
+
+    def open(self) -> None:
+        """The largest units open sequences: those of more than half the
+        capacity, and about as many as the total needs."""
+        k = max(self.large, -(-self.tokens // self.capacity))
+        units = self.scratch.write(self.ranged(self.entries.where("is_piece = 1")), self.name("opened"))
+        first = units.where(F.col("place") < k).select(F.col("id").alias("unit"), F.col("size").alias("length"))
+        self.place_alone(first)
+        self.entries = units.where(F.col("place") >= k).select("is_piece", "size", "id").unionByName(
+            self._gaps(first.select(F.col("unit").alias("bin"), (F.lit(self.capacity) - F.col("length")).alias("gap"))))
+        self.measure()
+
+    def sweep(self) -> int:
+        """One sweep; the number of matches."""
+        swept = self.scratch.write(self.ranged(self.entries).groupBy("part").applyInPandas(_sweep_range, _SWEPT),
+                                   self.name("swept"))
+        pairs, left = swept.where("kind = 'matched'"), swept.where("kind <> 'matched'")
+        before = self.n
+        if self.rows > ROWS_PER_RANGE:
+            counts: dict[int, list[int]] = {}
+            for r in left.groupBy("part", "kind").count().collect():  # two rows a range
                 counts.setdefault(r["part"], [0, 0])[r["kind"] == "gap"] = r["count"]
-        stretches = across({p: (c[0], c[1]) for p, c in counts.items()})
-        table = self.spark.createDataFrame(
-            stretches, "s_kind string, s_part int, first long, last long, number long, step int")
-        left = swept.where("kind <> 'matched'").join(
-            F.broadcast(table), (F.col("kind") == F.col("s_kind")) & (F.col("part") == F.col("s_part"))
-            & F.col("rank").between(F.col("first"), F.col("last")), "left")
-        # a stretch of gaps is numbered downwards: its last rank is taken first
-        left = left.withColumn("match", F.col("number") + F.col("step") * (F.col("rank") - F.col("first")))
-        met = left.where("kind = 'piece' and match is not null").select("match", "unit", "length").join(
-            left.where("kind = 'gap' and match is not null").select("match", "bin", "gap"), "match")
-        pairs = swept.where("kind = 'matched'").select("unit", "length", "bin", "gap")
-        if stretches:
-            pairs = pairs.unionByName(self.scratch.write(met.drop("match"), self.name("across")))
+            stretches = across({p: (c[0], c[1]) for p, c in counts.items()})
+            table = self.spark.createDataFrame(
+                stretches, "kind string, part long, first long, last long, number long, step int")
+            left = left.alias("l").join(
+                F.broadcast(table).alias("s"), (F.col("l.kind") == F.col("s.kind")) & (F.col("l.part") == F.col("s.part"))
+                & F.col("rank").between(F.col("first"), F.col("last")), "left").select(
+                "l.*", (F.col("number") + F.col("step") * (F.col("rank") - F.col("first"))).alias("match"))
+            met = left.where("kind = 'piece' and match is not null").select("match", "unit", "length").join(
+                left.where("kind = 'gap' and match is not null").select("match", "bin", "gap"), "match")
+            met = self.scratch.write(met.drop("match"), self.name("across"))
+            pairs = pairs.select("unit", "length", "bin", "gap").unionByName(met)
+            left = left.where("match is null")
         self.place(pairs.select("unit", "bin", (F.lit(self.capacity) - F.col("gap")).alias("offset")))
-        unmatched = left.where("match is null")
-        units = unmatched.where("kind = 'piece'").select("unit", "length")
-        gaps = pairs.select("bin", (F.col("gap") - F.col("length")).alias("gap")).unionByName(
-            unmatched.where("kind = 'gap'").select("bin", "gap"))
-        matched += sum(s[3] - s[2] + 1 for s in stretches if s[0] == "piece")
-        return units, gaps, {"matched": matched}
-
-    def bundle(self, units: DataFrame, target: int, rows: int) -> DataFrame:
+        self.entries = self._units(left.where("kind = 'piece'")).unionByName(
+            self._gaps(left.where("kind = 'gap'"))).unionByName(
+            self._gaps(pairs.select("bin", (F.col("gap") - F.col("length")).alias("gap"))))
+        self.measure()
+        return before - self.n
+
+    def bundle(self, target: int) -> DataFrame:
         """Joins neighbours in the order of size to units of ``target`` tokens
         at most; larger units stay alone. A bundle has the id of its first."""
-
-        def join(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            head, filled = None, 0
-            for frame in frames:
-                heads, offsets = [], []
-                for unit, length in zip(frame["unit"].tolist(), frame["length"].tolist()):
-                    if head is None or filled + length > target:
-                        head, filled = unit, 0
-                    heads.append(head)
-                    offsets.append(filled)
-                    filled += length
-                yield pd.DataFrame({"unit": frame["unit"], "length": frame["length"], "bundle": heads,
-                                    "inner": offsets})
-
-        order = [F.col("length").desc(), F.col("unit")]
+        units = self.entries.where("is_piece = 1")
         members = self.scratch.write(
-            units.select("unit", "length").repartitionByRange(self.ranges(rows), *order).sortWithinPartitions(*order)
-            .mapInPandas(join, "unit long, length long, bundle long, inner long"), self.name("bundles"))
+            self.ranged(units).groupBy("part").applyInPandas(
+                _bundle_range(target), "unit long, length long, bundle long, inner long"), self.name("bundles"))
         self.log.append(("bundle", members.select("unit", "bundle", "inner")))
-        return members.groupBy(F.col("bundle").alias("unit")).agg(F.sum("length").alias("length"))
+        bundles = members.groupBy(F.col("bundle").alias("unit")).agg(F.sum("length").alias("length"))
+        bundles = self.scratch.write(bundles, self.name("bundled"))
+        self.entries = self._units(bundles).unionByName(self.entries.where("is_piece = 0"))
+        self.measure()
+        return bundles
 
     def placements(self) -> DataFrame:
         """Each unit's sequence and offset, bundles taken apart again."""
@@ -289,40 +335,23 @@ class _Packing:
         return out
 
 
-def pack(pieces: DataFrame, scratch: Scratch, capacity: int = CAPACITY) -> DataFrame:
+def pack(units: DataFrame, scratch: Scratch, capacity: int = CAPACITY) -> DataFrame:
     """Places units (``unit`` long, unique; ``length`` 1 .. capacity): unit,
     bin (the id of the unit that opened the sequence), offset."""
-    packing = _Packing(scratch, capacity)
-    full = pieces.where(F.col("length") >= capacity)
-    packing.place(full.select("unit", F.col("unit").alias("bin"), F.lit(0).cast("long").alias("offset")))
-    units, gaps = pieces.where(F.col("length") < capacity), None
-    target, sweeps = capacity // 8, 0
-
-    def measure(rows: DataFrame):
-        r = rows.agg(F.count("*").alias("n"), F.sum("length").alias("tokens"), F.min("length").alias("least"),
-                     F.count_if(F.col("length") > capacity // 2).alias("large")).first()
-        return r["n"], r["tokens"] or 0, r["least"] or 0, r["large"]
-
-    n, tokens, least, large = measure(units)
-    total = n
-    while n:
-        if gaps is None:
-            if n <= SMALL_REST * total or n == 1:
-                bundles = packing.bundle(units, capacity, n)
-                packing.place(bundles.select("unit", F.col("unit").alias("bin"),
-                                             F.lit(0).cast("long").alias("offset")))
+    packing = _Packing(scratch, units, capacity)
+    total, target, sweeps = packing.n, capacity // 8, 0
+    stuck = True
+    while packing.n:
+        if stuck or not packing.gaps:
+            if sweeps and packing.n <= max(1, SMALL_REST * total):
+                packing.place_alone(packing.bundle(capacity))
                 break
-            k = max(large, -(-tokens // capacity))
-            gaps, units = packing.open(units, k)
+            packing.open()
         elif sweeps and sweeps % SWEEPS_BEFORE_BUNDLES == 0 and target < capacity:
-            units = packing.bundle(units, target, n)
+            packing.bundle(target)
             target *= 2
-        n_gaps = gaps.where(F.col("gap") >= least).count() if sweeps else n
-        units, gaps, found = packing.sweep(units, gaps.where(F.col("gap") >= least), n + n_gaps)
+        stuck = not packing.n or not packing.sweep()
         sweeps += 1
-        n, tokens, least, large = measure(units)
-        if not found["matched"]:
-            gaps = None
     return packing.placements()
 
 
