@@ -39,7 +39,8 @@ from tallyspark.llm.common import Scratch, id_and_text, slices
 CAPACITY = 4096
 END_ID = 1
 CACHE_WORDS = 800_000  # words whose ids a worker remembers
-ROWS_PER_RANGE = 20_000
+ROWS_PER_RANGE = 20_000  # at least; so many more that there are
+MOST_RANGES = 10_000  # ranges at most, whose counts the driver adds up
 SWEEPS_BEFORE_BUNDLES = 8
 SMALL_REST = 0.02  # of the pieces: such a rest is cut in its sorted order
 
@@ -257,16 +258,17 @@ class _Packing:
                 self.classes.append((size, piece, self.rows, n))
                 self.rows += n
         self.gaps = sum(n for _, piece, _, n in self.classes if not piece)
+        self.per_range = max(ROWS_PER_RANGE, -(-self.rows // MOST_RANGES))
 
     def ranged(self, entries: DataFrame) -> DataFrame:
         """Adds ``place``, about the place in the descending order, and the
-        number of the range, some ROWS_PER_RANGE rows; equal entries are spread
+        number of the range; equal entries are spread
         by a hash of their ids, which is their order too."""
         table = self.spark.createDataFrame(self.classes, "size long, is_piece int, first long, n long")
         mix = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
         return entries.join(F.broadcast(table), ["size", "is_piece"]).withColumn("mix", mix).withColumn(
             "place", F.col("first") + F.floor(F.col("n") * F.col("mix") / F.lit(float(1 << 30)))).withColumn(
-            "part", F.floor(F.col("place") / ROWS_PER_RANGE)).select(
+            "part", F.floor(F.col("place") / self.per_range)).select(
             "is_piece", "size", "id", "mix", "place", "part")
 
     def open(self) -> None:
@@ -286,22 +288,21 @@ class _Packing:
                                    self.name("swept"))
         pairs, left = swept.where("kind = 'matched'"), swept.where("kind <> 'matched'")
         before = self.n
-        if self.rows > ROWS_PER_RANGE:
-            counts: dict[int, list[int]] = {}
-            for r in left.groupBy("part", "kind").count().collect():  # two rows a range
-                counts.setdefault(r["part"], [0, 0])[r["kind"] == "gap"] = r["count"]
-            stretches = across({p: (c[0], c[1]) for p, c in counts.items()})
-            table = self.spark.createDataFrame(
-                stretches, "kind string, part long, first long, last long, number long, step int")
-            left = left.alias("l").join(
-                F.broadcast(table).alias("s"), (F.col("l.kind") == F.col("s.kind")) & (F.col("l.part") == F.col("s.part"))
-                & F.col("rank").between(F.col("first"), F.col("last")), "left").select(
-                "l.*", (F.col("number") + F.col("step") * (F.col("rank") - F.col("first"))).alias("match"))
-            met = left.where("kind = 'piece' and match is not null").select("match", "unit", "length").join(
-                left.where("kind = 'gap' and match is not null").select("match", "bin", "gap"), "match")
-            met = self.scratch.write(met.drop("match"), self.name("across"))
-            pairs = pairs.select("unit", "length", "bin", "gap").unionByName(met)
-            left = left.where("match is null")
+        counts: dict[int, list[int]] = {}
+        for r in left.groupBy("part", "kind").count().collect():  # two rows a range
+            counts.setdefault(r["part"], [0, 0])[r["kind"] == "gap"] = r["count"]
+        table = self.spark.createDataFrame(
+            across({p: (c[0], c[1]) for p, c in counts.items()}),
+            "kind string, part long, first long, last long, number long, step int")
+        left = left.alias("l").join(
+            F.broadcast(table).alias("s"), (F.col("l.kind") == F.col("s.kind")) & (F.col("l.part") == F.col("s.part"))
+            & F.col("rank").between(F.col("first"), F.col("last")), "left").select(
+            "l.*", (F.col("number") + F.col("step") * (F.col("rank") - F.col("first"))).alias("match"))
+        met = left.where("kind = 'piece' and match is not null").select("match", "unit", "length").join(
+            left.where("kind = 'gap' and match is not null").select("match", "bin", "gap"), "match")
+        met = self.scratch.write(met.drop("match"), self.name("across"))
+        pairs = pairs.select("unit", "length", "bin", "gap").unionByName(met)
+        left = left.where("match is null")
         self.place(pairs.select("unit", "bin", (F.lit(self.capacity) - F.col("gap")).alias("offset")))
         self.entries = self._units(left.where("kind = 'piece'")).unionByName(
             self._gaps(left.where("kind = 'gap'"))).unionByName(
