@@ -39,8 +39,8 @@ from tallyspark.llm.common import Scratch, id_and_text, slices
 CAPACITY = 4096
 END_ID = 1
 CACHE_WORDS = 800_000  # words whose ids a worker remembers
-ROWS_PER_RANGE = 20_000  # at least; so many more that there are
-MOST_RANGES = 10_000  # ranges at most, whose counts the driver adds up
+ROWS_PER_RANGE = 20_000  # at most, unless that makes too many ranges
+LEAST_RANGES, MOST_RANGES = 8, 10_000  # of a sweep; the driver adds up their counts
 SWEEPS_BEFORE_BUNDLES = 8
 SMALL_REST = 0.02  # of the pieces: such a rest is cut in its sorted order
 
@@ -258,9 +258,10 @@ class _Packing:
                 self.classes.append((size, piece, self.rows, n))
                 self.rows += n
         self.gaps = sum(n for _, piece, _, n in self.classes if not piece)
-        self.per_range = max(ROWS_PER_RANGE, -(-self.rows // MOST_RANGES))
+        self.per_bundling = max(ROWS_PER_RANGE, -(-self.rows // MOST_RANGES))
+        self.per_sweep = min(self.per_bundling, max(1, -(-self.rows // LEAST_RANGES)))
 
-    def ranged(self, entries: DataFrame) -> DataFrame:
+    def ranged(self, entries: DataFrame, per_range: int) -> DataFrame:
         """Adds ``place``, about the place in the descending order, and the
         number of the range; equal entries are spread
         by a hash of their ids, which is their order too."""
@@ -268,14 +269,14 @@ class _Packing:
         mix = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
         return entries.join(F.broadcast(table), ["size", "is_piece"]).withColumn("mix", mix).withColumn(
             "place", F.col("first") + F.floor(F.col("n") * F.col("mix") / F.lit(float(1 << 30)))).withColumn(
-            "part", F.floor(F.col("place") / self.per_range)).select(
+            "part", F.floor(F.col("place") / per_range)).select(
             "is_piece", "size", "id", "mix", "place", "part")
 
     def open(self) -> None:
         """The largest units open sequences: those of more than half the
         capacity, and about as many as the total needs."""
         k = max(self.large, -(-self.tokens // self.capacity))
-        units = self.scratch.write(self.ranged(self.entries.where("is_piece = 1")), self.name("opened"))
+        units = self.scratch.write(self.ranged(self.entries.where("is_piece = 1"), self.per_sweep), self.name("opened"))
         first = units.where(F.col("place") < k).select(F.col("id").alias("unit"), F.col("size").alias("length"))
         self.place_alone(first)
         self.entries = units.where(F.col("place") >= k).select("is_piece", "size", "id").unionByName(
@@ -284,8 +285,8 @@ class _Packing:
 
     def sweep(self) -> int:
         """One sweep; the number of matches."""
-        swept = self.scratch.write(self.ranged(self.entries).groupBy("part").applyInPandas(_sweep_range, _SWEPT),
-                                   self.name("swept"))
+        swept = self.scratch.write(self.ranged(self.entries, self.per_sweep).groupBy("part").applyInPandas(
+            _sweep_range, _SWEPT), self.name("swept"))
         pairs, left = swept.where("kind = 'matched'"), swept.where("kind <> 'matched'")
         before = self.n
         counts: dict[int, list[int]] = {}
@@ -315,7 +316,7 @@ class _Packing:
         at most; larger units stay alone. A bundle has the id of its first."""
         units = self.entries.where("is_piece = 1")
         members = self.scratch.write(
-            self.ranged(units).groupBy("part").applyInPandas(
+            self.ranged(units, self.per_bundling).groupBy("part").applyInPandas(
                 _bundle_range(target), "unit long, length long, bundle long, inner long"), self.name("bundles"))
         self.log.append(("bundle", members.select("unit", "bundle", "inner")))
         bundles = members.groupBy(F.col("bundle").alias("unit")).agg(F.sum("length").alias("length"))
