@@ -35,13 +35,14 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from tallyspark.llm.common import Scratch, as_bytes, free_name, id_and_text, slices
+from tallyspark.llm.common import Scratch, as_bytes, free_name, id_and_text, slices, unpacked
 from tallyspark.llm.components import components
-from tallyspark.llm.words import WordHashes, as_longs, shingles
+from tallyspark.llm.words import as_longs, shingles, words_by_text
 
 MOST_L = 4
 FREQUENT_TABLE = 1 << 17  # entries of the table of frequent shingles, at most
@@ -49,6 +50,7 @@ LEAST_FREQUENT = 8  # documents with a shingle before it counts as frequent
 COUNT_FLUSH = 3_000_000  # shingles that a task counts at a time
 VERIFY_COST = 0.05  # of one shingle of a candidate, in index rows
 COMMON_BY_CHANCE = 0.3  # expected other owners of a shingle that isn't frequent
+_LONGEST = 1 << 14  # bytes of a shingle that still count in the order
 PARTNERS = 4  # random members of a group that its documents are verified against
 
 
@@ -62,13 +64,12 @@ def _count(k: int):
             [pa.array(as_longs(values[notable])), pa.array(n[notable])], names=["token", "n"])
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, sets, total = WordHashes(), [], 0
-        for batch in batches:
-            for text in as_bytes(batch.column("text")):
-                own = np.unique(shingles(hashes.of((text or b"").lower().split()), k))
-                if len(own):
-                    sets.append(own)
-                    total += len(own)
+        sets, total = [], 0
+        for batch in slices(batches, "text"):
+            for hashes, _ in words_by_text([t or b"" for t in as_bytes(batch.column("text"))]):
+                if len(hashes):
+                    sets.append(np.unique(shingles(hashes, k)))
+                    total += len(sets[-1])
                 if total >= COUNT_FLUSH:
                     yield flush(sets)
                     sets, total = [], 0
@@ -111,7 +112,9 @@ def prefix(own: np.ndarray, lengths: np.ndarray, table: tuple[np.ndarray, np.nda
         at = np.minimum(np.searchsorted(tokens, own), len(tokens) - 1)
         found = tokens[at] == own
         owners[found] = counts[at[found]]
-    order = np.lexsort((own, -lengths, owners > 0))
+    # frequent ones last, long ones first, then by hash; own is in its order
+    key = ((owners > 0).astype(np.int64) << 62) - (np.minimum(lengths, _LONGEST) << 46) + (own >> np.uint64(18)).astype(np.int64)
+    order = np.argsort(key, kind="stable")
     least = n - -(-percent * n // 100)  # shingles that a linked document may lack
     most = min(MOST_L, n - least)
     others = np.where(owners > 0, owners, COMMON_BY_CHANCE)[order[:least + most]]
@@ -122,8 +125,9 @@ def prefix(own: np.ndarray, lengths: np.ndarray, table: tuple[np.ndarray, np.nda
     return best + 1, own[order[:least + best + 1]]
 
 
-def sequence_key(words: list[bytes]) -> bytes | None:
-    """128-bit hash of a word sequence; null for none."""
+def sequence_key(text: bytes | None) -> bytes | None:
+    """128-bit hash of a text's word sequence; null without words."""
+    words = (text or b"").lower().split()
     return xxhash.xxh3_128_digest(b" ".join(words)) if words else None
 
 
@@ -132,26 +136,20 @@ def _sets(k: int, table, percent: int):
     each word sequence in this task."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen = WordHashes(), set()
+        seen = set()
         for batch in slices(batches, "text"):
             n, keys, ls, prefixes = [], [], [], []
-            for text in as_bytes(batch.column("text")):
-                words = (text or b"").lower().split()
-                if not words:
-                    n.append(0), keys.append(None), ls.append(None), prefixes.append(None)
-                    continue
-                own, first = np.unique(shingles(hashes.of(words), k), return_index=True)
-                n.append(len(own))
-                key = sequence_key(words)
-                keys.append(key)
-                if key in seen:
-                    ls.append(None), prefixes.append(None)
-                    continue
-                seen.add(key)
-                ends = np.cumsum([0, *map(len, words)])
-                size = min(k, len(words))
-                l, tokens = prefix(own, (ends[size:] - ends[:-size])[first], table.value, percent)
-                ls.append(l), prefixes.append(as_longs(tokens))
+            texts = [t or b"" for t in as_bytes(batch.column("text"))]
+            for text, (hashes, lengths) in zip(texts, words_by_text(texts)):
+                key, l, tokens = sequence_key(text), None, None
+                own, first = np.unique(shingles(hashes, k), return_index=True)
+                if key is not None and key not in seen:
+                    seen.add(key)
+                    ends = np.concatenate(([0], np.cumsum(lengths)))
+                    size = min(k, len(lengths))
+                    l, tokens = prefix(own, (ends[size:] - ends[:-size])[first], table.value, percent)
+                    tokens = as_longs(tokens)
+                n.append(len(own)), keys.append(key), ls.append(l), prefixes.append(tokens)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()),
                  pa.array(ls, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))],
@@ -161,25 +159,25 @@ def _sets(k: int, table, percent: int):
 
 
 def _texts_by_key(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, words) of the first document of each word sequence in this task."""
-    seen = set()
+    """(key, compressed text) of the first document of each word sequence in
+    this task."""
+    seen, compressor = set(), zstandard.ZstdCompressor(level=1)
     for batch in slices(batches, "text"):
         keys, texts = [], []
         for text in as_bytes(batch.column("text")):
-            words = (text or b"").lower().split()
-            key = sequence_key(words)
-            if words and key not in seen:
+            key = sequence_key(text)
+            if key is not None and key not in seen:
                 seen.add(key)
-                keys.append(key), texts.append(b" ".join(words))
+                keys.append(key), texts.append(compressor.compress(text))
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(texts, pa.binary())],
-                                         names=["key", "words"])
+                                         names=["key", "packed"])
 
 
 def _shingle_sets(k: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in slices(batches, "words", 1 << 20):
-            sets = [as_longs(np.unique(shingles(hashes.of(w.split()), k))) for w in batch.column("words").to_pylist()]
+        for batch in slices(batches, "packed", 1 << 20):
+            texts = [unpacked(t) for t in batch.column("packed").to_pylist()]
+            sets = [as_longs(np.unique(shingles(hashes, k))) for hashes, _ in words_by_text(texts)]
             yield pa.RecordBatch.from_arrays([batch.column("cid"), pa.array(sets, pa.list_(pa.int64()))],
                                              names=["cid", "own"])
 
@@ -236,18 +234,19 @@ def _labelled(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str)
         rows.where("tokens is not null").select("key", "n", "l", "tokens").dropDuplicates(["key"])
         .withColumn("cid", F.monotonically_increasing_id()), "classes")
 
-    index = classes.select("cid", "n", "l", F.posexplode("tokens").alias("pos", "token"))
+    index = classes.select("cid", F.posexplode("tokens").alias("pos", "token"))
     several = index.groupBy("token").count().where("count > 1").select("token")
-    shared = scratch.write(index.join(several, "token", "left_semi"), "shared")
+    shared = index.join(several, "token", "left_semi")
+    shared = scratch.write(shared.join(classes.select("cid", "n", "l"), "cid"), "shared")
     index = _prune(scratch, shared, percent)
 
     wanted = index.select("cid").distinct().join(classes.select("cid", "key"), "cid")
-    words = texts.select("text").mapInArrow(_texts_by_key, "key binary, words binary")
-    found = words.join(wanted, "key").select("cid", "words").dropDuplicates(["cid"])
+    words = texts.select("text").mapInArrow(_texts_by_key, "key binary, packed binary")
+    found = words.join(wanted, "key").select("cid", "packed").dropDuplicates(["cid"])
     sets = scratch.write(found.mapInArrow(_shingle_sets(k), "cid long, own array<long>"), "sets")
 
     # contraction
-    members = [F.min_by(F.struct("cid", "n", "pos"), F.xxhash64("cid", F.lit(i))) for i in range(PARTNERS)]
+    members = [F.min_by(F.struct("cid", "n", "pos"), F.xxhash64("cid", "token", F.lit(i))) for i in range(PARTNERS)]
     partners = index.groupBy("token").agg(F.array_distinct(F.array(*members)).alias("partners"))
     near = (index.join(partners, "token").select("cid", "n", "pos", F.explode("partners").alias("p"))
             .select("cid", "n", "pos", F.col("p.cid").alias("did"), F.col("p.n").alias("m"),
@@ -324,7 +323,7 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "d
 def _with_key(text_col: str, name: str):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [sequence_key((t or b"").lower().split()) for t in as_bytes(batch.column(text_col))]
+            keys = [sequence_key(t) for t in as_bytes(batch.column(text_col))]
             yield batch.append_column(pa.field(name, pa.binary()), pa.array(keys, pa.binary()))
 
     return run
