@@ -22,7 +22,8 @@ Steps:
   of its shingles' groups; a group of n gives a few times n pairs. Large groups
   of near copies fall together here.
 * Join: all pairs of a group that lie in different components still, counted
-  over the groups; those with min(l, l') or more are verified.
+  over the groups; those with min(l, l') or more are verified. Pairs that meet
+  at a frequent shingle must be able to reach the threshold by frequent ones.
 * The components of all links.
 
 Shingle sets are compared as 64-bit hashes inside the JVM.
@@ -47,10 +48,11 @@ from tallyspark.llm.words import as_longs, shingles, words_by_text
 MOST_L = 4
 FREQUENT_TABLE = 1 << 17  # entries of the table of frequent shingles, at most
 LEAST_FREQUENT = 8  # documents with a shingle before it counts as frequent
-COUNT_FLUSH = 3_000_000  # shingles that a task counts at a time
+COUNT_FLUSH = 1_500_000  # shingles that a task counts at a time
 VERIFY_COST = 0.05  # of one shingle of a candidate, in index rows
 COMMON_BY_CHANCE = 0.3  # expected other owners of a shingle that isn't frequent
 _LONGEST = 1 << 14  # bytes of a shingle that still count in the order
+SLICE_BYTES = 2 << 20  # of text that a task hashes at a time
 PARTNERS = 4  # random members of a group that its documents are verified against
 
 
@@ -65,7 +67,7 @@ def _count(k: int):
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets, total = [], 0
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE_BYTES):
             for hashes, _ in words_by_text([t or b"" for t in as_bytes(batch.column("text"))]):
                 if len(hashes):
                     sets.append(np.unique(shingles(hashes, k)))
@@ -102,9 +104,9 @@ def frequent_shingles(texts: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]
 
 
 def prefix(own: np.ndarray, lengths: np.ndarray, table: tuple[np.ndarray, np.ndarray],
-           percent: int) -> tuple[int, np.ndarray]:
-    """(l, prefix) of a document with the distinct shingles ``own``, sorted,
-    and their lengths in bytes."""
+           percent: int) -> tuple[int, int, np.ndarray]:
+    """(l, number of rare shingles, prefix) of a document with the distinct
+    shingles ``own``, sorted, and their lengths in bytes."""
     tokens, counts = table
     n = len(own)
     owners = np.zeros(n, np.int64)
@@ -122,7 +124,7 @@ def prefix(own: np.ndarray, lengths: np.ndarray, table: tuple[np.ndarray, np.nda
     l = 1 + np.arange(most)
     cost = least + l + rows + rows / l * (n * VERIFY_COST)
     best = int(np.argmin(cost))
-    return best + 1, own[order[:least + best + 1]]
+    return best + 1, int(n - np.count_nonzero(owners)), own[order[:least + best + 1]]
 
 
 def sequence_key(text: bytes | None) -> bytes | None:
@@ -132,28 +134,28 @@ def sequence_key(text: bytes | None) -> bytes | None:
 
 
 def _sets(k: int, table, percent: int):
-    """(doc_id, n, key) of every document; l and prefix with the first of
-    each word sequence in this task."""
+    """(doc_id, n, key) of every document; l, rare and prefix with the first
+    of each word sequence in this task."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
-        for batch in slices(batches, "text"):
-            n, keys, ls, prefixes = [], [], [], []
+        for batch in slices(batches, "text", SLICE_BYTES):
+            n, keys, ls, rares, prefixes = [], [], [], [], []
             texts = [t or b"" for t in as_bytes(batch.column("text"))]
             for text, (hashes, lengths) in zip(texts, words_by_text(texts)):
-                key, l, tokens = sequence_key(text), None, None
+                key, l, rare, tokens = sequence_key(text), None, None, None
                 own, first = np.unique(shingles(hashes, k), return_index=True)
                 if key is not None and key not in seen:
                     seen.add(key)
                     ends = np.concatenate(([0], np.cumsum(lengths)))
                     size = min(k, len(lengths))
-                    l, tokens = prefix(own, (ends[size:] - ends[:-size])[first], table.value, percent)
+                    l, rare, tokens = prefix(own, (ends[size:] - ends[:-size])[first], table.value, percent)
                     tokens = as_longs(tokens)
-                n.append(len(own)), keys.append(key), ls.append(l), prefixes.append(tokens)
+                n.append(len(own)), keys.append(key), ls.append(l), rares.append(rare), prefixes.append(tokens)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()),
-                 pa.array(ls, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))],
-                names=["doc_id", "n", "key", "l", "tokens"])
+                 pa.array(ls, pa.int32()), pa.array(rares, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))],
+                names=["doc_id", "n", "key", "l", "rare", "tokens"])
 
     return run
 
@@ -186,11 +188,26 @@ def _shingle_sets(k: int):
 
 def _compatible(percent: int):
     """May documents of n and m shingles with a common one at the places pos
-    and qos of their prefixes link, as far as sizes and places tell?"""
+    and qos of their prefixes link, as far as sizes, places and the numbers of
+    rare shingles tell?
+
+    A frequent shingle in both prefixes means that these hold all rare ones. If
+    frequent shingles alone cannot reach the threshold, the two documents link
+    only if they share a rare one, and then they meet there."""
     n, m, p, q = F.col("n"), F.col("m"), F.col("pos"), F.col("qos")
     most = F.least(p, q) + F.least(n - p, m - q)
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & _enough(most, percent) & (
+        (p < F.col("rare")) | _enough(_frequent_in_common(), percent))
+
+
+def _frequent_in_common():
+    """The frequent shingles that two documents can share, at most."""
+    return F.least(F.col("n") - F.col("rare"), F.col("m") - F.col("sare"))
+
+
+def _enough(overlap, percent: int):
     # overlap / (n + m - overlap) >= percent / 100
-    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (most * (100 + percent) >= (n + m) * percent)
+    return overlap * (100 + percent) >= (F.col("n") + F.col("m")) * percent
 
 
 def _prune(scratch: Scratch, shared: DataFrame, percent: int) -> DataFrame:
@@ -229,15 +246,15 @@ def _labelled(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str)
     id_type = texts.schema["doc_id"].dataType.simpleString()
     table = spark.sparkContext.broadcast(frequent_shingles(texts.select("text"), k))
     rows = scratch.write(texts.mapInArrow(
-        _sets(k, table, percent), f"doc_id {id_type}, n long, key binary, l int, tokens array<long>"), "rows")
+        _sets(k, table, percent), f"doc_id {id_type}, n long, key binary, l int, rare long, tokens array<long>"), "rows")
     classes = scratch.write(
-        rows.where("tokens is not null").select("key", "n", "l", "tokens").dropDuplicates(["key"])
+        rows.where("tokens is not null").select("key", "n", "l", "rare", "tokens").dropDuplicates(["key"])
         .withColumn("cid", F.monotonically_increasing_id()), "classes")
 
     index = classes.select("cid", F.posexplode("tokens").alias("pos", "token"))
     several = index.groupBy("token").count().where("count > 1").select("token")
     shared = index.join(several, "token", "left_semi")
-    shared = scratch.write(shared.join(classes.select("cid", "n", "l"), "cid"), "shared")
+    shared = scratch.write(shared.join(classes.select("cid", "n", "l", "rare"), "cid"), "shared")
     index = _prune(scratch, shared, percent)
 
     wanted = index.select("cid").distinct().join(classes.select("cid", "key"), "cid")
@@ -246,11 +263,11 @@ def _labelled(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str)
     sets = scratch.write(found.mapInArrow(_shingle_sets(k), "cid long, own array<long>"), "sets")
 
     # contraction
-    members = [F.min_by(F.struct("cid", "n", "pos"), F.xxhash64("cid", "token", F.lit(i))) for i in range(PARTNERS)]
+    members = [F.min_by(F.struct("cid", "n", "pos", "rare"), F.xxhash64("cid", "token", F.lit(i))) for i in range(PARTNERS)]
     partners = index.groupBy("token").agg(F.array_distinct(F.array(*members)).alias("partners"))
-    near = (index.join(partners, "token").select("cid", "n", "pos", F.explode("partners").alias("p"))
-            .select("cid", "n", "pos", F.col("p.cid").alias("did"), F.col("p.n").alias("m"),
-                    F.col("p.pos").alias("qos"))
+    near = (index.join(partners, "token").select("cid", "n", "pos", "rare", F.explode("partners").alias("p"))
+            .select("cid", "n", "pos", "rare", F.col("p.cid").alias("did"), F.col("p.n").alias("m"),
+                    F.col("p.pos").alias("qos"), F.col("p.rare").alias("sare"))
             .where((F.col("cid") != F.col("did")) & _compatible(percent)))
     pairs = near.select(F.least("cid", "did").alias("a"), F.greatest("cid", "did").alias("b")).distinct()
     tried = _verified(scratch, pairs, sets, percent, "tried")
@@ -264,11 +281,13 @@ def _labelled(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str)
     mixed = index.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
     index = index.join(mixed.select("token"), "token", "left_semi")
     other = index.select("token", F.col("cid").alias("did"), F.col("n").alias("m"), F.col("l").alias("k"),
-                         F.col("pos").alias("qos"), F.col("root").alias("soot"))
+                         F.col("pos").alias("qos"), F.col("rare").alias("sare"),
+                         F.col("root").alias("soot"))
     pairs = (index.join(other, "token").where((F.col("cid") < F.col("did")) & (F.col("root") != F.col("soot"))
                                               & _compatible(percent))
+             .withColumn("needed", F.when(_enough(_frequent_in_common(), percent), F.least("l", "k")).otherwise(1))
              .groupBy(F.col("cid").alias("a"), F.col("did").alias("b"))
-             .agg(F.count("*").alias("common"), F.first(F.least("l", "k")).alias("needed"))
+             .agg(F.count("*").alias("common"), F.first("needed").alias("needed"))
              .where("common >= needed").select("a", "b"))
     pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
     joined = _verified(scratch, pairs, sets, percent, "joined")

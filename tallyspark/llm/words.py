@@ -11,7 +11,7 @@ import xxhash
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)  # odd; 2^64 / golden ratio
 _HALF = np.uint64(32)
-_BLOCK = 4 << 20  # bytes hashed at a time
+_BLOCK = 1 << 20  # bytes hashed at a time
 
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(b" \t\n\x0b\x0c\r")] = True
