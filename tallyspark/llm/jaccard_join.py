@@ -18,9 +18,10 @@ Steps:
 * Documents of equal word sequences form classes; one of each class joins.
 * Prefix rows of shingles with one owner are dropped, then documents with too
   few rows left for a partner of compatible size.
-* Contraction: every document is verified against a few random members of each
-  of its shingles' groups; a group of n gives a few times n pairs. Large groups
-  of near copies fall together here.
+* Contraction: every document is verified against a few members of each of its
+  shingles' groups, the one with the fewest rare shingles (the likely original of
+  a group of edited copies) and random ones; a group of n gives a few times n
+  pairs. Large groups of near copies fall together here.
 * Join: all pairs of a group that lie in different components still, counted
   over the groups; those with min(l, l') or more are verified. Pairs that meet
   at a frequent shingle must be able to reach the threshold by frequent ones.
@@ -46,22 +47,22 @@ from tallyspark.llm.components import components
 from tallyspark.llm.words import as_longs, shingles, words_by_text
 
 MOST_L = 4
-FREQUENT_TABLE = 1 << 17  # entries of the table of frequent shingles, at most
+FREQUENT_TABLE = 1 << 19  # entries of the table of frequent shingles, at most
 LEAST_FREQUENT = 8  # documents with a shingle before it counts as frequent
-COUNT_FLUSH = 1_500_000  # shingles that a task counts at a time
+COUNT_FLUSH = 3_000_000  # shingles that a task counts at a time
 VERIFY_COST = 0.05  # of one shingle of a candidate, in index rows
 COMMON_BY_CHANCE = 0.3  # expected other owners of a shingle that isn't frequent
 _LONGEST = 1 << 14  # bytes of a shingle that still count in the order
 SLICE_BYTES = 2 << 20  # of text that a task hashes at a time
-PARTNERS = 4  # random members of a group that its documents are verified against
+PARTNERS = 4  # members of a group that its documents are verified against first
 
 
 def _count(k: int):
-    """(shingle, documents of this stretch with it) where that is notable."""
+    """(shingle, documents of this stretch with it) of shingles that occur twice."""
 
     def flush(sets: list[np.ndarray]) -> pa.RecordBatch:
         values, n = np.unique(np.concatenate(sets), return_counts=True)
-        notable = n >= max(3, len(sets) // 2000)
+        notable = n > 1
         return pa.RecordBatch.from_arrays(
             [pa.array(as_longs(values[notable])), pa.array(n[notable])], names=["token", "n"])
 
@@ -263,7 +264,8 @@ def _labelled(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str)
     sets = scratch.write(found.mapInArrow(_shingle_sets(k), "cid long, own array<long>"), "sets")
 
     # contraction
-    members = [F.min_by(F.struct("cid", "n", "pos", "rare"), F.xxhash64("cid", "token", F.lit(i))) for i in range(PARTNERS)]
+    member, mix = F.struct("cid", "n", "pos", "rare"), [F.xxhash64("cid", "token", F.lit(i)) for i in range(PARTNERS)]
+    members = [F.min_by(member, F.struct("rare", mix[0])), *(F.min_by(member, m) for m in mix[1:])]
     partners = index.groupBy("token").agg(F.array_distinct(F.array(*members)).alias("partners"))
     near = (index.join(partners, "token").select("cid", "n", "pos", "rare", F.explode("partners").alias("p"))
             .select("cid", "n", "pos", "rare", F.col("p.cid").alias("did"), F.col("p.n").alias("m"),
