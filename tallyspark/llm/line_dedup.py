@@ -72,7 +72,7 @@ def segment_bounds(length: int, most: int) -> list[tuple[int, int]]:
 
 
 def _key(length: int, number: int, content: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(content, length << 8 | number) - (1 << 63)
+    return xxhash.xxh3_64_intdigest(content, length << 8 | number)
 
 
 def index_keys(line: bytes, most: int) -> list[int]:
@@ -115,7 +115,7 @@ def _keys(of, most: int, min_bytes: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in slices(batches, "text"):
-            keys, ids, profiles = [], [], []
+            keys, ids, profiles, counts = [], [], [], []
             for text in as_bytes(batch.column("text")):
                 for _, line in lines_of(text, min_bytes):
                     own = line_id(line)
@@ -124,11 +124,10 @@ def _keys(of, most: int, min_bytes: int):
                     seen.add(own)
                     found = of(line, most)
                     keys += found
-                    ids += [own] * len(found)
-                    profiles += [profile(line)] * len(found)
+                    ids.append(own), profiles.append(profile(line)), counts.append(len(found))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64()), pa.array(ids, pa.int64()), pa.array(profiles, pa.int64())],
-                names=["key", "id", "profile"])
+                [pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(np.repeat(np.array(ids, np.int64), counts)),
+                 pa.array(np.repeat(np.array(profiles, np.int64), counts))], names=["key", "id", "profile"])
 
     return run
 
