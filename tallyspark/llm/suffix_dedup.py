@@ -43,8 +43,8 @@ ANCHOR = 24
 BUCKET_BYTES = 8 << 20
 SAMPLE_DOCUMENTS = 2000  # for the splitters
 SAMPLE_ANCHORS = 200_000
-SLICE_BYTES = 4 << 20
-FLUSH_BYTES = 24 << 20  # segments that a task holds before it sends them
+SLICE_BYTES = 2 << 20
+FLUSH_BYTES = 16 << 20  # segments that a task holds before it sends them
 SORT_LEAF = 2048
 SORT_WINDOWS = 200_000  # windows in one sort, unless one anchor has more
 
