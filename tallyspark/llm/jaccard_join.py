@@ -251,12 +251,16 @@ def _labelled(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str)
     classes = scratch.write(
         rows.where("tokens is not null").select("key", "n", "l", "rare", "tokens").dropDuplicates(["key"])
         .withColumn("cid", F.monotonically_increasing_id()), "classes")
+    rows = scratch.write(rows.select("doc_id", "n", "key"), "members")
+    scratch.drop("rows")  # the prefixes are with the classes now
 
     index = classes.select("cid", F.posexplode("tokens").alias("pos", "token"))
     several = index.groupBy("token").count().where("count > 1").select("token")
     shared = index.join(several, "token", "left_semi")
     shared = scratch.write(shared.join(classes.select("cid", "n", "l", "rare"), "cid"), "shared")
+    classes = scratch.write(classes.select("cid", "key"), "class_keys")
     index = _prune(scratch, shared, percent)
+    scratch.drop("classes", "shared", "kept")
 
     wanted = index.select("cid").distinct().join(classes.select("cid", "key"), "cid")
     words = texts.select("text").mapInArrow(_texts_by_key, "key binary, packed binary")
