@@ -40,7 +40,12 @@ class Vocabulary:
         self.log_p = {}
         for rank, piece in enumerate(pieces):
             self.log_p.setdefault(piece, -math.log(rank + 1) - total)
-        self.longest = max(map(len, pieces), default=1)
+        # lengths of the pieces of three characters or more, by their last three
+        tails: dict[str, set[int]] = {}
+        for piece in pieces:
+            if len(piece) > 2:
+                tails.setdefault(piece[-3:], set()).add(len(piece))
+        self.tails = {tail: tuple(sorted(sizes)) for tail, sizes in tails.items()}
         self.byte_log_p = -math.log(len(pieces) + 1) - total - 10
 
     @classmethod
@@ -81,9 +86,9 @@ class Trie:
         n_bytes = len(word[end - 1].encode("utf-8", "replace"))
         best = score[path[end - 1]] + n_bytes * self.vocabulary.byte_log_p
         count = tokens[path[end - 1]] + n_bytes
-        for start in range(max(0, end - self.vocabulary.longest), end):
-            p = log_p.get(word[start:end])
-            if p is not None:
+        for size in (1, 2, *self.vocabulary.tails.get(word[max(0, end - 3):end], ())):
+            start = end - size
+            if start >= 0 and (p := log_p.get(word[start:end])) is not None:
                 value, k = score[path[start]] + p, tokens[path[start]] + 1
                 if value > best or value == best and k < count:
                     best, count = value, k
