@@ -38,7 +38,7 @@ from tallyspark.llm.common import Scratch, id_and_text, slices
 
 CAPACITY = 4096
 END_ID = 1
-CACHE_WORDS = 800_000  # words whose ids a worker remembers
+CACHE_WORDS = 250_000  # words whose ids a worker remembers
 ROWS_PER_RANGE = 20_000  # at most, unless that makes too many ranges
 LEAST_RANGES, MOST_RANGES = 8, 10_000  # of a sweep; the driver adds up their counts
 SWEEPS_BEFORE_BUNDLES = 8
