@@ -123,7 +123,7 @@ class _Sender:
         self.clear()
 
     def clear(self) -> None:
-        self.seen: dict[bytes, None] = {}
+        self.seen: dict[tuple[bytes, int], tuple[int, int, int]] = {}
         self.held: dict[int, list] = {}
         self.bytes = 0
 
@@ -199,10 +199,12 @@ def _send(splitters: np.ndarray, hot: set[bytes], buckets: int, length: int, anc
                     i, first, _ = part[d]
                     doc, start = (ids[i], hashes[i]), lo - int(base[d]) + first
                     text = plain[lo:hi + length]
-                    if (text, p - lo) in sender.seen:
-                        found.append((*doc, start, start + len(text)))
+                    place = (*doc, start)
+                    before = sender.seen.setdefault((text, p - lo), place)
+                    if before is not place:
+                        if before != place:  # a repeated row is not a repeat of itself
+                            found.append((*place, start + len(text)))
                         continue
-                    sender.seen[text, p - lo] = None
                     if hot and text[p - lo:p - lo + anchor] in hot:
                         for o in range(hi - lo + 1):
                             window = text[o:o + length]
@@ -297,7 +299,13 @@ def repeated_windows(texts: list[bytes], ids: np.ndarray, hashes: np.ndarray, st
     run = np.cumsum(new) - 1
     place = starts[owner] + inner
     rank = np.empty(len(order), np.int64)
-    rank[np.lexsort((place, hashes[owner], ids[owner]))] = np.arange(len(order))
+    columns = (place, hashes[owner], ids[owner])
+    by_place = np.lexsort(columns)
+    # equal places, those of repeated rows, have one rank
+    other = np.zeros(len(order), bool)
+    for column in columns:
+        other[1:] |= np.diff(column[by_place]) != 0
+    rank[by_place] = np.cumsum(other)
     earliest = np.minimum.reduceat(rank[order], np.flatnonzero(new))
     again = order[rank[order] != earliest[run]]
     return [(int(ids[owner[i]]), int(hashes[owner[i]]), int(place[i]), int(place[i]) + length) for i in again]
@@ -310,11 +318,10 @@ def duplicates_of_bucket(texts: list[bytes], numbers: np.ndarray, length: int,
     first: dict[tuple[bytes, int], int] = {}
     ranges = []
     for i in np.lexsort((starts, hashes, ids)).tolist():
-        key = (texts[i], int(at[i]))
-        if key in first:
+        before = first.setdefault((texts[i], int(at[i])), i)
+        # a repeated row is not a repeat of itself
+        if (ids[i], hashes[i], starts[i]) != (ids[before], hashes[before], starts[before]):
             ranges.append((int(ids[i]), int(hashes[i]), int(starts[i]), int(starts[i]) + len(texts[i])))
-        else:
-            first[key] = i
     groups: dict[bytes, list[int]] = {}
     for (text, place), i in first.items():
         groups.setdefault(text[place:place + anchor], []).append(i)
@@ -403,8 +410,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     split a character) and spans, the maximal removed ranges of bytes.
 
     A null text is empty. Ids are whole numbers; null ids come after all
-    others. Rows of equal id and equal text are one document, and get equal
-    results; rows of equal id and different texts are ordered by the texts'
+    others. Rows of equal id (or none) and equal text are one document, no repeat of
+    each other, and get equal results; rows of equal id and different texts are ordered by the texts'
     hashes. Other columns of ``docs`` are not read. An empty table gives no
     rows.
     """
