@@ -14,6 +14,7 @@ written; texts are never shuffled.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -60,17 +61,17 @@ def statistics(text: bytes | None, compressor: zstandard.ZstdCompressor) -> list
     def share(of: bytes) -> float:
         return 1 - len(text.translate(None, of)) / size
 
-    distinct = set(words)
+    counts = Counter(words)  # of the whole text
     lines = [line for line in text.split(b"\n") if line.strip()]
     letters = sum(map(len, words))
     return [
-        math.log1p(size), math.log1p(n), letters / n, math.log(len(distinct)) / math.log(n) if n > 1 else 1.0,
+        math.log1p(size), math.log1p(n), letters / n, math.log(len(counts)) / math.log(n) if n > 1 else 1.0,
         sum(map(bytes.__eq__, words, words[1:])) / n,
-        max(map(words[:256].count, set(words[:256]))) / min(n, 256),
+        max(counts.values()) / n,
         share(_SYMBOLS), share(_STOPS), share(_POINTS), share(_DIGITS), share(_UPPER), share(_HIGH),
         math.log1p(n / len(lines)), len(set(lines)) / len(lines), len(compressor.compress(text)) / size,
-        sum(not w.isalpha() and len(w.translate(None, _SYMBOLS)) < len(w) for w in words[:512]) / min(n, 512),
-        sum(map(bytes.isupper, words[:512])) / min(n, 512),
+        sum(k for w, k in counts.items() if not w.isalpha() and len(w.translate(None, _SYMBOLS)) < len(w)) / n,
+        sum(k for w, k in counts.items() if w.isupper()) / n,
     ]
 
 

@@ -3,12 +3,29 @@
 import random
 
 import pytest
+import zstandard
 
-from tallyspark.llm import suffix_dedup
+from tallyspark.llm import quality_classifier, suffix_dedup
 
 from .llm_cases import prose
 from .test_groups import cut_repeats
 
+# --- op3 ---------------------------------------------------------------------
+
+
+def test_statistics_read_the_whole_text():
+    rng = random.Random(1)
+    clean = prose(rng, 600, lines=False)
+    noise = ["#tag", "NOISE", "again", "again"] * 100
+    words = (clean + " " + " ".join(noise)).encode().split()
+    got = dict(zip(quality_classifier.NAMES, quality_classifier.statistics(
+        b" ".join(words), zstandard.ZstdCompressor(level=1))))
+    n = len(words)
+    assert got["top_word"] == max(words.count(w) for w in set(words)) / n
+    assert got["symbol_words"] == 100 / n
+    assert got["upper_words"] == 100 / n
+
+
 # --- op2 ---------------------------------------------------------------------
 
 
