@@ -2,7 +2,8 @@
 
 A text is split into sentences and each is normalised: lower case, words only.
 A normalised sentence that begins like a known licence sentence gets its
-identifier. The sequence of a document's identifiers is then matched against
+identifier; colons, semicolons and the full stop of "v." may stand inside it, as in
+the published texts. The sequence of a document's identifiers is then matched against
 ordered rules, each a licence and the identifiers that make it up in a row; the
 first rule that fits names a licence, and its identifiers are used up.
 Identifiers that no rule uses are reported as unmatched.
@@ -13,6 +14,7 @@ One map step; no shuffle.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -101,17 +103,15 @@ RULES = (
     ("Proprietary", ("AllRightsReserved",)),
 )
 
-# A sentence ends at a blank line, at a line that a mark of its kind ends, or at
-# a mark before white space; "2.0" does not end one.
-_ENDS = re.compile(r"[.!?;:](?=\s|$)|\n\s*\n")
+# A sentence ends at a blank line, or at a mark before white space; "2.0" does
+# not end one. Known sentences hold colons, semicolons and "v.": a known sentence
+# may begin after them and after a line end, and may run on over them.
+_ENDS = re.compile(r"[.!?](?<!\bv\.)(?=\s|$)|\n\s*\n")
+_BREAKS = re.compile(r"[.;:](?=\s)|\n")
 _WORDS = re.compile(r"[^\W_]+")
 _LEAD = 2  # words by which known sentences are looked up
 
 
-def normalised(sentence: str) -> str:
-    return " ".join(_WORDS.findall(sentence.lower()))
-
-
 class Recogniser:
     """Known sentences and rules, indexed by their first words."""
 
@@ -122,34 +122,32 @@ class Recogniser:
             self.known.setdefault(" ".join(text.split()[:_LEAD]), []).append((text, name))
         # a text without any of the known leads has no known sentence
         self.leads = re.compile("|".join(r"[\W_]+".join(map(re.escape, lead.split())) for lead in self.known))
+        self.longest = max(len(text.split()) for text, _ in sentences)
         self.rules = rules
 
     def identifiers(self, text: str | None) -> list[str]:
         """Identifiers of the known sentences, in their order."""
-        text = text or ""
-        if not self.leads.search(text.lower()):
+        text = (text or "").lower()
+        if not self.leads.search(text):
             return []
-        out = []
-        for sentence in _ENDS.split(text):
-            # a sentence may run on over line ends, or a line may lack its mark
-            for part in self._parts(sentence):
-                if (name := self._identifier(part)) is not None:
-                    out.append(name)
-        return out
-
-    def _parts(self, sentence: str) -> list[str]:
-        lines = sentence.split("\n")
-        starts = [i for i, line in enumerate(lines) if i and self._may_start(normalised(line))]
-        return ["\n".join(lines[a:b]) for a, b in zip([0, *starts], [*starts, len(lines)])]
-
-    def _may_start(self, line: str) -> bool:
-        return " ".join(line.split(" ", _LEAD)[:_LEAD]) in self.known
-
-    def _identifier(self, sentence: str) -> str | None:
-        words = normalised(sentence)
-        lead = " ".join(words.split(" ", _LEAD)[:_LEAD])
-        return next((name for text, name in self.known.get(lead, ())
-                     if words == text or words.startswith(text + " ")), None)
+        return [name for sentence in _ENDS.split(text) if self.leads.search(sentence)
+                for name in self._known_in(sentence)]
+
+    def _known_in(self, sentence: str) -> Iterator[str]:
+        """Those that begin where the sentence, a line or a part of it does; of
+        overlapping ones the first."""
+        found = list(_WORDS.finditer(sentence))
+        words, places = [m[0] for m in found], [m.start() for m in found]
+        end = 0
+        for start in sorted({0, *(bisect_left(places, m.end()) for m in _BREAKS.finditer(sentence))}):
+            if start >= end and (known := self._known(words[start:start + self.longest])) is not None:
+                text, name = known
+                end = start + len(text.split())
+                yield name
+
+    def _known(self, words: list[str]) -> tuple[str, str] | None:
+        plain = " ".join(words) + " "
+        return next((k for k in self.known.get(" ".join(words[:_LEAD]), ()) if plain.startswith(k[0] + " ")), None)
 
     def licenses(self, found: list[str]) -> tuple[list[str], list[str]]:
         """(licences in the order of their sentences, unmatched identifiers)."""

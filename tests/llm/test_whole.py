@@ -5,7 +5,7 @@ import random
 import pytest
 import zstandard
 
-from tallyspark.llm import quality_classifier, suffix_dedup
+from tallyspark.llm import license_scan, quality_classifier, suffix_dedup
 
 from .llm_cases import prose
 from .test_groups import cut_repeats
@@ -26,6 +26,87 @@ def test_statistics_read_the_whole_text():
     assert got["upper_words"] == 100 / n
 
 
+# --- op7 ---------------------------------------------------------------------
+
+# The published wording of each known sentence, in the order of SENTENCES.
+PUBLISHED = [
+    "// SPDX-License-Identifier: Apache-2.0", "# SPDX-License-Identifier: MIT",
+    "/* SPDX-License-Identifier: GPL-3.0-or-later */", "// SPDX-License-Identifier: GPL-2.0-only",
+    "SPDX-License-Identifier: BSD-3-Clause", "SPDX-License-Identifier: BSD-2-Clause",
+    "<!-- SPDX-License-Identifier: MPL-2.0 -->",
+    'Licensed under the Apache License, Version 2.0 (the "License");',
+    "you may not use this file except in compliance with the License.",
+    "You may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n",
+    'Unless required by applicable law or agreed to in writing, software\ndistributed under the License is '
+    'distributed on an "AS IS" BASIS,\nWITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.',
+    "Released under the MIT License.", "Licensed under the MIT License.",
+    'Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated '
+    'documentation files (the "Software"), to deal\nin the Software without restriction, subject to the following '
+    'conditions:',
+    "The above copyright notice and this permission notice shall be included in all\ncopies or substantial portions "
+    "of the Software.",
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR\nIMPLIED.',
+    "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that "
+    "the following conditions are met:",
+    "1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the "
+    "following disclaimer.",
+    "2. Redistributions in binary form must reproduce\nthe above copyright notice, this list of conditions and the "
+    "following disclaimer.",
+    "3. Neither the name of the copyright holder nor the names of its\n   contributors may be used.",
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"\nAND ANY EXPRESS OR IMPLIED '
+    'WARRANTIES ARE DISCLAIMED.',
+    "This work is licensed under the GNU General Public License, version 3.",
+    "This work is\nlicensed under the GNU General Public License, version 2.",
+    "Licensed under the GNU General Public License, version 3.",
+    "Licensed under the GNU General Public License, version 2.",
+    "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General "
+    "Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your "
+    "option) any later version.",
+    " * This program is free software; you can redistribute it and/or modify\n * it under the terms of the GNU "
+    "General Public License as published by\n * the Free Software Foundation; either version 2 of the License, "
+    "or\n * (at your option) any later version.",
+    "This program is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the "
+    "implied warranty of\nMERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    "See the\nGNU General Public License for more details.",
+    "You should have received a copy of the GNU General Public License\nalong with this program.  If not, see "
+    "<https://www.gnu.org/licenses/>.",
+    "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0.",
+    "If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "Licensed under CC BY-NC 4.0.", "Licensed under CC BY-SA 4.0.", "Licensed under CC BY 4.0.",
+    "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "All rights reserved.",
+]
+
+
+def test_every_published_sentence_is_known():
+    assert len(PUBLISHED) == len(license_scan.SENTENCES)
+    recogniser = license_scan.Recogniser()
+    for wording, (_, name) in zip(PUBLISHED, license_scan.SENTENCES):
+        for text in (wording, f"import x\n\n{wording}\n\nWe go on.", f"Copyright 2020 X.\n{wording}\ny = 1"):
+            assert recogniser.identifiers(text) == [name], text
+
+
+@pytest.mark.parametrize("between", ["\n", "\n\n"])
+def test_every_rule_is_met_by_published_text(between):
+    recogniser = license_scan.Recogniser()
+    wordings = {}
+    for wording, (_, name) in zip(PUBLISHED, license_scan.SENTENCES):
+        wordings.setdefault(name, wording)
+    for license_name, sequence in license_scan.RULES:
+        found = recogniser.identifiers(between.join(wordings[n] for n in sequence))
+        assert found == list(sequence) and recogniser.licenses(found) == ([license_name], [])
+
+
+def test_a_sentence_begins_after_any_mark():
+    recogniser = license_scan.Recogniser()
+    assert recogniser.identifiers("Terms: released under the MIT License; all rights reserved") == [
+        "MitNotice", "AllRightsReserved"]
+    assert recogniser.identifiers("See p. v. Released under the MIT License") == ["MitNotice"]
+    assert recogniser.identifiers("All rights. Reserved seats") == []
+
+
 # --- op2 ---------------------------------------------------------------------
 
 
