@@ -1,14 +1,15 @@
 """Benchmark decontamination by SimHash windows (operator 6).
 
 A document leaks a benchmark item when a window of the item's number of words
-has a weighted Jaccard similarity of ``percent`` or more with it, over k-word
-shingles weighted by their occurrences.
+(the whole document, if it has fewer) has a weighted Jaccard similarity of
+``percent`` or more with it, over k-word shingles weighted by their occurrences.
 
 Each window is a 64-bit SimHash of its words. The items' fingerprints are
 indexed by blocks of bits: two fingerprints within RADIUS differ by at most
 RADIUS // BLOCKS bits in one of BLOCKS blocks, so looking up all values of a
 block that near finds every fingerprint within the radius. Candidates are then
-verified exactly, word by word.
+verified exactly, word by word. A document with fewer words than an item is
+one window: it is verified if enough of its shingles are the item's.
 
 Windows without a single shingle of the benchmark cannot reach any similarity
 and are not fingerprinted; a bitmap of the benchmark's shingle hashes tells.
@@ -134,8 +135,9 @@ class Items:
         places = self.hits(hashes)
         if not places:
             return []
-        sizes = {int(self.sizes[i]) for p in places for i in self._near(hashes, p)}
-        best: list[tuple[int, int, float]] = []
+        near = Counter(i for p in places for i in self._near(hashes, p))
+        sizes = {int(self.sizes[i]) for i in near}
+        best = self._longer(words, near, percent)
         for size in sorted(s for s in sizes if s <= len(words)):
             starts = sorted({s for p in places
                              for s in range(max(0, p + min(self.k, size) - size), min(p, len(words) - size) + 1)})
@@ -155,6 +157,16 @@ class Items:
                 best.extend((i, start, value) for start, value in kept)
         return sorted(best, key=lambda b: (b[1], b[0]))
 
+    def _longer(self, words: list[bytes], near: Counter, percent: int) -> list[tuple[int, int, float]]:
+        """Leaks of items with more words than the document, as one window.
+        ``near`` has at least the number of shingles that they have in common."""
+        n = len(words) - self.k + 1
+        enough = [i for i, most in near.items() if len(words) < self.sizes[i]
+                  and most * (100 + percent) >= percent * (n + int(self.sizes[i]) - self.k + 1)]
+        own = weighted(words, self.k) if enough else None
+        values = [(i, 0, similarity(own, self.shingles[i])) for i in enough]
+        return [v for v in values if v[2] * 100 >= percent]
+
     def _near(self, hashes: np.ndarray, place: int) -> Iterable[int]:
         if self.short and int(hashes[place]) in self.short:
             yield from (i for i, w in enumerate(self.words) if len(w) < self.k)
@@ -197,7 +209,7 @@ def _scan(shared, percent: int):
                     rows.append(row)
                     ids.append(items.ids[i])
                     starts.append(start)
-                    sizes.append(int(items.sizes[i]))
+                    sizes.append(min(int(items.sizes[i]), len(words)))
                     values.append(value)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(ids, id_type),
@@ -214,7 +226,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, id_col:
 
     Null and empty texts, of documents or items, have no words and leak
     nothing. Items of fewer than five words count as one shingle. Repeated rows
-    are reported each. A document shorter than an item has no window for it.
+    are reported each. A document shorter than an item is one window as a whole.
     Other columns are not read. Without documents or items there are no rows.
     """
     spark = docs.sparkSession

@@ -5,7 +5,7 @@ import random
 import pytest
 import zstandard
 
-from tallyspark.llm import license_scan, quality_classifier, suffix_dedup
+from tallyspark.llm import decontaminate, license_scan, quality_classifier, suffix_dedup
 
 from .llm_cases import prose
 from .test_groups import cut_repeats
@@ -107,6 +107,41 @@ def test_a_sentence_begins_after_any_mark():
     assert recogniser.identifiers("All rights. Reserved seats") == []
 
 
+# --- op6 ---------------------------------------------------------------------
+
+
+def test_documents_shorter_than_an_item(spark, docs):
+    """Documents that are an item without some of its words, against brute force."""
+    rng = random.Random(5)
+    items = [(i, prose(rng, n)) for i, n in enumerate((3, 6, 12, 38, 60, 200))]
+    items += [(6, items[3][1] + " more"), (7, " ".join(["same words again and"] * 10))]
+    rows = []
+    for _, text in items:
+        words = text.split()
+        for gone in (1, 2, 3, 7, 9, 20, 40):
+            if gone < len(words):
+                at = rng.randrange(len(words) - gone + 1)
+                rows += [words[:-gone], words[gone:], words[:at] + words[at + gone:]]
+        rows.append([*words[:len(words) // 2], "changed", *words[len(words) // 2 + 1:-1]])
+    rows = [(d, " ".join(w)) for d, w in enumerate(rows)] + [(900, items[3][1].rsplit(" ", 1)[0])] * 2 + [(901, "")]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.first_word, r.n_words, round(r.similarity, 9))
+                 for r in decontaminate.leaks(docs(rows), benchmark).collect()
+                 if r.n_words < len(decontaminate.words_of(items[r.item_id][1])))
+    expected = []
+    for d, text in rows:
+        words = decontaminate.words_of(text)
+        for i, item in items:
+            own = decontaminate.words_of(item)
+            value = decontaminate.similarity(decontaminate.weighted(words), decontaminate.weighted(own))
+            if len(words) < len(own) and value >= 0.8:
+                expected.append((d, i, 0, len(words), round(value, 9)))
+    assert got == sorted(expected) and 20 < len(got) < len(rows) * len(items)
+    assert [g[0] for g in got].count(900) == 4  # the rows of 900, for the items 3 and 6
+    clean = {r.doc_id for r in decontaminate.without_leaks(docs(rows), benchmark).collect()}
+    assert not clean & {e[0] for e in expected} and 901 in clean
+
+
 # --- op2 ---------------------------------------------------------------------
 
 
