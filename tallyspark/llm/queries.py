@@ -10,9 +10,13 @@ from pyspark.sql import functions as F
 from tallyspark.llm.best_fit import best_fit
 from tallyspark.llm.common import documents
 from tallyspark.llm.decontaminate import leaks
+from tallyspark.llm.importance import resample
 from tallyspark.llm.jaccard_join import jaccard_classes
 from tallyspark.llm.license_scan import license_scan
 from tallyspark.llm.line_dedup import line_dedup
+from tallyspark.llm.merkle import manifest
+from tallyspark.llm.oracle import IMPORTANCE, MERKLE
+from tallyspark.llm.piece_codec import piece_digests
 from tallyspark.llm.quality_classifier import quality_scores
 from tallyspark.llm.quality_rules import quality_rules
 from tallyspark.llm.sharding import interleave
@@ -75,6 +79,20 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(documents(spark, sf_dir), read_table(spark, sf_dir, "benchmark"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest(documents(spark, sf_dir))
+
+
+def op13_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return piece_digests(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_sharding": op1_sharding,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -86,7 +104,13 @@ QUERIES: dict[str, Query] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_token_counts": op9_token_counts,
     "op10_quality_rules": op10_quality_rules,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_piece_codec": op13_piece_codec,
 }
 
 # DuckDB SQL for the queries that SQL can express.
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op11_importance_resampling": IMPORTANCE,
+    "op12_merkle_manifest": MERKLE,
+}
