@@ -26,7 +26,7 @@ SF = "/root/testdata/sf0.01"
 
 def test_every_operator_is_registered():
     names = [q for q in entry.queries() if q.startswith("op") or q == "pipeline"]
-    assert sorted(q.split("_")[0] for q in names) == sorted([*(f"op{n}" for n in range(1, 11)), "pipeline"])
+    assert sorted(q.split("_")[0] for q in names) == sorted([*(f"op{n}" for n in range(1, 14)), "pipeline"])
 
 
 def test_empty_tables(spark, docs):
