@@ -230,6 +230,12 @@ def q_last_business_day(spark: SparkSession, sf: str) -> DataFrame:
 from tallyspark.operators import dupfiles as dfl  # noqa: E402
 
 
+@register("file_clusters")
+def q_file_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    """A14 as groups of files on the pile with copied files."""
+    return dfl.file_clusters(fx.f3(spark, sf))
+
+
 @register("intra_file_pairs")
 def q_intra_file_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return dfl.file_pairs(fx.f3(spark, sf))

@@ -329,6 +329,18 @@ FROM {p}found WHERE verdict = 'WARNING' GROUP BY k1, k2, n_rows)"""
 SQL["intra_file_pairs"] = (with_(raw_f3("f3_raw"), clean("pile", "f3_raw"), intra_ctes("", "pile"))
                            + "SELECT * FROM pairs")
 
+SQL["file_clusters"] = (with_(raw_f3("f3_raw"), clean("pile", "f3_raw"), intra_ctes("", "pile"))
+                        .replace("WITH ", "WITH RECURSIVE ", 1) + """,
+reach AS (SELECT file1 AS a, file2 AS b FROM pairs UNION SELECT file2, file1 FROM pairs
+  UNION SELECT r.a, CASE WHEN p.file1 = r.b THEN p.file2 ELSE p.file1 END
+  FROM reach r JOIN pairs p ON r.b IN (p.file1, p.file2)),
+members AS (SELECT a AS file, least(a, min(b)) AS cluster FROM reach GROUP BY a),
+keysets AS (SELECT source_file AS file, md5(string_agg(DISTINCT coalesce("Card", '~') || '|' || coalesce("Operation Number", '~'),
+  ',' ORDER BY coalesce("Card", '~') || '|' || coalesce("Operation Number", '~'))) AS k FROM pile GROUP BY 1)
+SELECT cluster, m.file, n_files, n_key_sets FROM members m JOIN (
+  SELECT cluster, count(*) AS n_files, count(DISTINCT k) AS n_key_sets
+  FROM members JOIN keysets USING (file) GROUP BY 1) c USING (cluster)""")
+
 _CMP = '"Card", "Operation Number", "Original Amount"'
 
 

@@ -128,3 +128,57 @@ def test_two_empty_files_are_duplicates(spark):
     empty = spark.createDataFrame([("e1",), ("e2",), ("a",)], "f string")
     got = dfl.file_pairs(pile(spark, rows, COLS), empty_files=empty).collect()
     assert sorted((r["file1"], r["file2"], r["verdict"], r["n_rows"]) for r in got) == [("e1", "e2", "DUPLICATE", 0)]
+
+
+def clusters(spark, rows):
+    return {r["file"]: (r["cluster"], r["n_files"]) for r in dfl.file_clusters(pile(spark, rows, COLS)).collect()}
+
+
+def groups_of(files, pairs):
+    """{file: (first file of its group, size)} of the files that are in a pair."""
+    root = {f: f for f in files}
+
+    def find(f):
+        while root[f] != f:
+            f = root[f]
+        return f
+
+    for a, b in pairs:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    size = Counter(find(f) for f in files)
+    return {f: (find(f), size[find(f)]) for f in files if size[find(f)] > 1}
+
+
+def test_clusters_match_brute_force(spark):
+    rnd = random.Random(12)
+    rows = []
+    for family in range(6):  # chains: each file is the one before with a few keys renamed
+        now = [(f"c{rnd.randint(1, 30)}", f"OP-{family if rnd.random() < 0.9 else 'x'}-{i}") for i in range(25)]
+        for f in range(rnd.randint(1, 7)):
+            for i in rnd.sample(range(25), rnd.randint(0, 3)):
+                now[i] = (now[i][0], f"{now[i][1]}{f}")
+            rows += [(c, o, 1.0, "R", f"f{rnd.randint(0, 9)}-{family}-{f}-{len(now)}") for c, o in now[:1]]
+            name = f"{rnd.choice('abcz')}{family}{f}"
+            rows += [(c, o, 1.0, "R", name) for c, o in now]
+    files = {r[4] for r in rows}
+    want = groups_of(files, [(a, b) for a, b, *_ in brute(rows)])
+    assert len(want) > 8 and clusters(spark, rows) == want
+
+
+def test_a_cluster_of_a_thousand_files_is_linear(spark, monkeypatch):
+    """Every two of them overlap by more than 90 %, and all differ."""
+    n, keys = 1000, 30
+    rows = [("c", f"OP-{i}" if i != f % keys else f"OP-{i}-{f}", 1.0, "R", f"f{f:04d}")
+            for f in range(n) for i in range(keys)]
+    compared = []
+    plain = dfl.exact_overlap
+
+    def counted(cand, *rest):
+        compared.append(cand.count())
+        return plain(cand, *rest)
+
+    monkeypatch.setattr(dfl, "exact_overlap", counted)
+    got = clusters(spark, rows)
+    assert got == {f"f{f:04d}": ("f0000", n) for f in range(n)}
+    assert 0 < sum(compared) <= 12 * n
