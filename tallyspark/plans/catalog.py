@@ -20,6 +20,7 @@ from tallyspark.operators import breakdown as bd
 from tallyspark.operators import match as mt
 from tallyspark.operators import quality as ql
 from tallyspark.operators import setops as so
+from tallyspark.operators.money import money_sum
 from tallyspark.session import cut_lineage, read_table
 from tallyspark.sources import fixtures as fx
 from tallyspark.sources.piles import dropped_rows, minimal_clean
@@ -350,7 +351,7 @@ import uuid as _uuid  # noqa: E402
 from tallyspark.functions.text import CARD  # noqa: E402
 from tallyspark.session import checkpoint_dir  # noqa: E402
 from tallyspark.sources import workbook as wbk  # noqa: E402
-from tallyspark.plans.sinks import write_match, write_report  # noqa: E402
+from tallyspark.plans.sinks import report_paths, write_match, write_report, write_run  # noqa: E402
 from tallyspark.sources.piles import read_pile  # noqa: E402
 
 WORKBOOK_COLS = (CARD, OP, AMOUNT)
@@ -469,6 +470,58 @@ def q_csv_mass_match(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(out).select(CARD, OP, "Amt_Float_DEBT", "Amt_Float_CREDIT")
 
 
+# --- whole runs (E1, E2): from files to tables and back ----------------------------------------
+
+@register("reconcile_report")
+def q_reconcile_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Both csv piles through all checks, the report written and its three
+    tables read back; the audit log summed by files. (The orphan credits of
+    these piles block a strict run, see ``reconcile_blocked``.)"""
+    path = _csv_folder(spark, sf)
+    debt, credit = (read_pile(spark, path, k, fmt="csv", recursive=True)[0] for k in ("m2d-recu", "m6d-dev"))
+    out = _os.path.join(checkpoint_dir(spark), f"report-{_uuid.uuid4().hex}")
+    write_run(rc.reconcile(debt, credit, strict=False), out)
+    read = {name: spark.read.parquet(p) for name, p in report_paths(spark, out).items()}
+    log = read["Detailed_Audit_Log"]
+    read["Detailed_Audit_Log"] = log.groupBy(bd.REF_DEBT, bd.REF_CREDIT).agg(
+        F.count(F.lit(1)).alias("Count_Operations"), money_sum(f"{AMT}_DEBT").alias("Total_Conciliated_Amount"))
+    return _union([df.select(F.lit(name).alias("report"), bd.REF_DEBT, bd.REF_CREDIT, "Count_Operations",
+                             "Total_Conciliated_Amount") for name, df in read.items()])
+
+
+@register("reconcile_blocked")
+def q_reconcile_blocked(spark: SparkSession, sf: str) -> DataFrame:
+    """E1 on the dirty piles (F2), strict: the issues, the status they give, and
+    the tables that are written (none)."""
+    out = _os.path.join(checkpoint_dir(spark), f"report-{_uuid.uuid4().hex}")
+    res = rc.reconcile(fx.f2(spark, sf, "DEBT"), fx.f2(spark, sf, "CREDIT"))
+    write_run(res, out)
+    return res.issues.withColumns({"status": F.lit(res.status()),
+                                   "n_tables": F.lit(len(report_paths(spark, out))).cast("long")})
+
+
+def _old_piles(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The csv piles as the older loader reads them."""
+    path = _csv_folder(spark, sf)
+    return tuple(cut_lineage(read_pile(spark, path, k, match="prefix", fmt="csv", clean="minimal", recursive=True)[0])
+                 for k in ("M2D-RECU", "M6D-DEV"))
+
+
+@register("mass_match_audit")
+def q_mass_match_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """The older flow's match of csv files, through its sink."""
+    out = _os.path.join(checkpoint_dir(spark), f"match-{_uuid.uuid4().hex}")
+    write_match(rc.mass_match(*_old_piles(spark, sf))[0], out)
+    return spark.read.parquet(out).select(CARD, OP, f"{AMOUNT}_DEBT", "Origin_File_DEBT", f"{AMOUNT}_CREDIT",
+                                          "Origin_File_CREDIT")
+
+
+@register("mass_match_bridging")
+def q_mass_match_bridging(spark: SparkSession, sf: str) -> DataFrame:
+    """Credit files of that match that span two debt files or more."""
+    return rc.mass_match(*_old_piles(spark, sf))[1]
+
+
 # --- drop folder and landing (L1, L2, D3) ------------------------------------------------------
 
 from tallyspark.sources.inventory import first_names as _first_names  # noqa: E402

@@ -569,3 +569,38 @@ FROM debt d JOIN credit c ON {JOIN_EQ}"""
 SQL["inventory"] = with_(*F1) + "SELECT DISTINCT source_file AS folder, TRUE AS has_bytes FROM debt_raw"
 
 SQL["first_names"] = with_(*F1) + "SELECT DISTINCT source_file AS folder FROM debt_raw ORDER BY 1 LIMIT 10"
+
+
+# --- whole runs -----------------------------------------------------------------------------------
+
+_REPORT = f"""
+, totals AS (SELECT d."Accounting_Ref" AS "Accounting_Ref_DEBT", c."Accounting_Ref" AS "Accounting_Ref_CREDIT",
+    count(*) AS "Count_Operations", CAST(sum(CAST(d."Amt_Float" AS {MONEY})) AS DOUBLE) AS "Total_Conciliated_Amount"
+  FROM debt d JOIN credit c ON {JOIN_EQ} GROUP BY 1, 2)
+SELECT report, totals.* FROM totals,
+  (SELECT unnest(['By_Debt_File', 'By_Credit_File', 'Detailed_Audit_Log']) AS report) r"""
+
+SQL["reconcile_report"] = with_(*_CSV) + _REPORT
+
+SQL["reconcile_blocked"] = f"""
+WITH issues AS ({SQL["run_issues"]})
+SELECT *, CASE (SELECT min(gate) FROM issues WHERE blocking)
+    WHEN 'G1' THEN 'INTRA_PILE_DUPLICATES' WHEN 'G2' THEN 'EMPTY_PILE' WHEN 'G3' THEN 'PILES_LOOK_ALIKE'
+    WHEN 'G4' THEN 'DATA_QUALITY_ERRORS' WHEN 'G5' THEN 'NO_MATCH' WHEN 'G6' THEN 'ORPHAN_CREDITS' ELSE 'OK' END AS status,
+  CAST(CASE WHEN (SELECT count(*) FROM issues WHERE blocking) > 0 THEN 0 ELSE 3 END AS BIGINT) AS n_tables
+FROM issues"""
+
+_OLD = (*_CSV, minimal("d_whole", "debt_files"), minimal("c_old", "credit_files"),
+        """d_old AS (SELECT * FROM d_whole UNION ALL
+  SELECT "Card", "Operation Number", NULL, 'm2d-recu 1.1.2026 noamount.csv' FROM broken)""")
+
+SQL["mass_match_audit"] = with_(*_OLD) + f"""
+SELECT d."Card", d."Operation Number", d."Original Amount" AS "Original Amount_DEBT",
+  d."Origin_File" AS "Origin_File_DEBT", c."Original Amount" AS "Original Amount_CREDIT",
+  c."Origin_File" AS "Origin_File_CREDIT"
+FROM d_old d JOIN c_old c ON {JOIN_NS}"""
+
+SQL["mass_match_bridging"] = with_(*_OLD) + f"""
+SELECT c."Origin_File" AS "Origin_File_CREDIT", count(DISTINCT d."Origin_File") AS n_debt_files
+FROM d_old d JOIN c_old c ON {JOIN_NS}
+GROUP BY 1 HAVING count(DISTINCT d."Origin_File") >= 2"""
