@@ -392,11 +392,13 @@ def q_workbook_file_errors(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- csv piles from real files (S1-S3, S8, S9, P1, P6) -------------------------------------------
 
-def _csv_folder(spark: SparkSession, sf: str) -> str:
+def _csv_folder(spark: SparkSession, sf: str, line_ends: bool = False) -> str:
     """The F1 piles as csv files with the ledger's names, blanks and all, in
     two folders that hold files of equal names; the smallest debt month has no
     Card column in the first folder, and one file has no amount.
 
+    With ``line_ends`` every other operation number has a line end in it.
+
     Spark writes the folders; each part file then gets its ledger name, a
     rename for every file of the listing."""
     out = _os.path.join(checkpoint_dir(spark), f"csv-{_uuid.uuid4().hex}")
@@ -405,6 +407,9 @@ def _csv_folder(spark: SparkSession, sf: str) -> str:
     half = F.when(F.right(F.col(OP), F.lit(1)).isin(*"13579"), "first").otherwise("second")
     rows = cut_lineage(raw.withColumn("half", half).withColumn("name", F.replace(FILE, F.lit(".xlsx"), F.lit(".csv")))
                        .drop(FILE))
+    if line_ends:
+        cut = F.concat(F.substring(OP, 1, 1), F.lit("\n"), F.substring(F.col(OP), 2, 1 << 30))
+        rows = rows.withColumn(OP, F.when(F.right(F.col(OP), F.lit(1)).isin(*"02468"), cut).otherwise(F.col(OP)))
     broken = (F.col("name") == bad.replace(".xlsx", ".csv")) & (F.col("half") == "first")
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for part, frame in (("whole", rows.where(~broken)),
@@ -434,6 +439,13 @@ def q_csv_pile(spark: SparkSession, sf: str) -> DataFrame:
                    for k in ("m2d-recu", "m6d-dev")])
 
 
+@register("csv_line_ends")
+def q_csv_line_ends(spark: SparkSession, sf: str) -> DataFrame:
+    """Debt files whose quoted cells hold line ends."""
+    rows, _ = read_pile(spark, _csv_folder(spark, sf, line_ends=True), "m2d-recu", fmt="csv", recursive=True)
+    return rows.select(*PILE_COLS)
+
+
 @register("csv_pile_minimal")
 def q_csv_pile_minimal(spark: SparkSession, sf: str) -> DataFrame:
     """The older reader, by prefix and without blank handling; a file

@@ -604,3 +604,8 @@ SQL["mass_match_bridging"] = with_(*_OLD) + f"""
 SELECT c."Origin_File" AS "Origin_File_CREDIT", count(DISTINCT d."Origin_File") AS n_debt_files
 FROM d_old d JOIN c_old c ON {JOIN_NS}
 GROUP BY 1 HAVING count(DISTINCT d."Origin_File") >= 2"""
+
+SQL["csv_line_ends"] = with_(*_CSV) + """
+SELECT "Card", CASE WHEN right("Operation Number", 1) IN ('0', '2', '4', '6', '8')
+    THEN substr("Operation Number", 1, 1) || chr(10) || substr("Operation Number", 2) ELSE "Operation Number" END
+    AS "Operation Number", "Original Amount", "Amt_Float", source_file, "Accounting_Ref" FROM debt"""

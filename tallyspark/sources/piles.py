@@ -14,6 +14,7 @@ from tallyspark.functions.names import base_name, decoded, name_matches, standar
 from tallyspark.functions.text import AMOUNT, AMT, FILE, KEYS, REF, blank_to_null, is_blank, strip_ws
 from tallyspark.session import cut_lineage
 from tallyspark.sources.inventory import inventory
+from tallyspark.sources.records import open_after, records
 
 
 def clean_pile(raw: DataFrame, keys=KEYS, amount: str | None = AMOUNT, file_col: str = FILE,
@@ -61,22 +62,41 @@ def dropped_rows(raw: DataFrame, keys=KEYS, file_col: str = FILE) -> DataFrame:
 
 def _read_csv(spark: SparkSession, path: str, keyword: str, match: str, keys, amount: str | None,
               recursive: bool, options: dict):
-    """csv files by name: each file's first row names its own columns, whatever
-    their order; files without the needed ones are errors, not rows.
-
-    The rows are read once, positions only, and written to the shared
-    checkpoint folder; the first row of each file is its header."""
-    width = 1 + (spark.read.format("text").option("recursiveFileLookup", str(recursive).lower()).load(path)
-                 .agg(F.max(F.regexp_count("value", F.lit(options.get("sep", ","))))).first()[0] or 0)
-    cells = [f"c{i}" for i in range(width)]
-    raw = (spark.read.format("csv").options(**options).option("header", "false")
-           .option("recursiveFileLookup", str(recursive).lower())
-           .schema(", ".join(f"{c} string" for c in cells)).load(path)
-           .select(F.array(*cells).alias("cells"), decoded(F.col("_metadata.file_path")).alias("path"),
-                   F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")))
-    raw = cut_lineage(raw.where(name_matches(base_name("path"), keyword, match)))
-    heads = raw.groupBy("path").agg(F.min_by("cells", F.struct("block", "row")).alias("head"),
-                                    F.min(F.struct("block", "row")).alias("at"))
+    """csv files by name: each file's first record names its own columns, whatever
+    their order; files without the needed ones, or with a quoted cell that is
+    never closed, are errors, not rows. Cells may hold line ends (read as line
+    feeds). Files are read once, as lines in splits of any size, and written to
+    the shared checkpoint folder."""
+    options = {k.lower(): v for k, v in options.items()}
+    sep, quote, escape = (options.get(k) or d for k, d in (("sep", ","), ("quote", '"'), ("escape", "\\")))
+    sep = options.get("delimiter", sep)
+    value = F.col("value")
+    charset = options.pop("encoding", options.pop("charset", "UTF-8"))
+    if charset.upper() not in ("UTF-8", "UTF8"):
+        value = F.decode(value.cast("binary"), charset)
+    out, within = open_after(F.col("value"), sep, quote, escape)
+    lines = (spark.read.format("text").option("recursiveFileLookup", str(recursive).lower()).load(path)
+             .select(decoded(F.col("_metadata.file_path")).alias("path"), F.col("_metadata.file_block_start").alias("block"),
+                     F.monotonically_increasing_id().alias("row"), value.alias("value"))
+             .where(name_matches(base_name("path"), keyword, match))
+             .withColumns({"open_out": out, "open_in": within}))
+    text, unclosed = records(cut_lineage(lines))
+    text = text.where(F.trim("value") != "")
+    if options.get("comment"):
+        text = text.where(~F.startswith(F.ltrim("value"), F.lit(options["comment"])))
+    text = cut_lineage(text)
+    first = text.groupBy("path").agg(F.min_by("value", F.struct("block", "row")).alias("value"),
+                                     F.min(F.struct("block", "row")).alias("at"))
+    # of the header records only: as many cells as separators, and one
+    counted = (F.char_length("value") - F.char_length(F.replace("value", F.lit(sep), F.lit("")))) / len(sep)
+    width = 1 + int(first.agg(F.max(counted)).first()[0] or 0)
+    schema = ", ".join(f"c{i} string" for i in range(width))
+
+    def cells(of: str) -> Column:
+        parsed = F.from_csv(F.col(of), schema, {k: str(v) for k, v in options.items()})
+        return F.array(*[parsed[f"c{i}"] for i in range(width)])
+
+    heads = first.select("path", "at", cells("value").alias("head"))
     heads = heads.withColumn("names", F.array_distinct(F.filter("head", lambda h: h.isNotNull())))
 
     def lacks(names) -> Column:
@@ -87,12 +107,15 @@ def _read_csv(spark: SparkSession, path: str, keyword: str, match: str, keys, am
         reason = reason.when(lacks([amount]), F.lit("missing_amount"))
     heads = heads.withColumn("reason", reason)
     errors = heads.where(F.col("reason").isNotNull()).select(
-        base_name("path").alias("file"), "reason", F.array_join("names", ",").alias("detail"))
+        base_name("path").alias("file"), "reason", F.array_join("names", ",").alias("detail")).unionByName(
+        unclosed.select(base_name("path").alias("file"), F.lit("unclosed_quote").alias("reason"),
+                        F.lit("a quoted cell is never closed").alias("detail")))
     heads = heads.where(F.col("reason").isNull())
     # names of columns, few however many the rows
     names = sorted({*keys, *([amount] if amount else []),
                     *(r[0] for r in heads.select(F.explode("names")).distinct().collect())})
-    rows = raw.join(heads.select("path", "head", "at"), "path").where(F.struct("block", "row") > F.col("at"))
+    rows = text.join(heads.select("path", "head", "at"), "path").where(F.struct("block", "row") > F.col("at"))
+    rows = rows.select("path", "head", cells("value").alias("cells"))
     rows = rows.select(*[F.get("cells", F.array_position("head", n).cast("int") - 1).alias(n) for n in names],
                        base_name("path").alias(FILE))
     return rows, errors
@@ -148,3 +171,14 @@ def read_pile(spark: SparkSession, path: str, keyword: str, match: str = "contai
     elif clean == "minimal":
         rows = minimal_clean(rows, keys=keys)
     return rows, errors
+
+
+def pile_files(spark: SparkSession, path: str, keyword: str, rows: DataFrame, match: str = "contains",
+               recursive: bool = False, file_col: str = FILE) -> DataFrame:
+    """(file, n_rows): every listed file of a pile with the rows that ``rows``
+    (from ``read_pile``) holds of it, 0 for those with a header only, without
+    any content, or left out."""
+    listing = inventory(spark, path, "*", recursive).where(
+        name_matches("name", keyword, match) & ~F.col("name").rlike("^[._]")).select(F.col("name").alias("file")).distinct()
+    counts = rows.groupBy(F.col(file_col).alias("file")).agg(F.count(F.lit(1)).alias("n"))
+    return listing.join(counts, "file", "left").select("file", F.coalesce("n", F.lit(0).cast("long")).alias("n_rows"))

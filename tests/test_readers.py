@@ -5,7 +5,8 @@ import os
 from tallyspark.plans import sinks
 from tallyspark.sources import workbook as wbk
 from tallyspark.sources.lines import read_lines
-from tallyspark.sources.piles import read_pile
+from tallyspark.plans.reconcile import reconcile
+from tallyspark.sources.piles import pile_files, read_pile
 from tallyspark.streaming import landing as ld
 
 HDR = ["Card", "Operation Number", "Original Amount"]
@@ -39,6 +40,71 @@ def test_csv_names_and_guards(spark, tmp_path):
     assert [(r["Card"], r["Origin_File"]) for r in old.collect()] == [("Z", "m6d-dev 01.02.2026.csv")]
 
 
+def test_files_without_rows_are_part_of_a_pile(spark, tmp_path):
+    """Two header-only files are copies of each other, and block a run."""
+    head = ",".join(HDR)
+    put(f"{tmp_path}/m2d-recu 1.csv", f"{head}\n1,2,3\n")
+    put(f"{tmp_path}/m2d-recu 2.csv", f"{head}\n")
+    put(f"{tmp_path}/m2d-recu 3.csv", head)
+    put(f"{tmp_path}/m6d-dev 1.csv", f"{head}\n1,2,3\n")
+    put(f"{tmp_path}/m6d-dev 2.csv", "")
+    debt, credit = (read_pile(spark, str(tmp_path), k, fmt="csv")[0] for k in ("m2d-recu", "m6d-dev"))
+    files = pile_files(spark, str(tmp_path), "m2d-recu", debt)
+    assert sorted(map(tuple, files.collect())) == [("m2d-recu 1.csv", 1), ("m2d-recu 2.csv", 0), ("m2d-recu 3.csv", 0)]
+    res = reconcile(debt, credit, debt_files=files, credit_files=pile_files(spark, str(tmp_path), "m6d-dev", credit))
+    assert res.status() == "INTRA_PILE_DUPLICATES" and res.by_debt is None
+    found = res.issues.where("gate = 'G1'").collect()
+    assert [(r["check"], r["subject"], r["n"]) for r in found] == [
+        ("intra_pile_duplicate", "m2d-recu 2.csv <> m2d-recu 3.csv", 0)]
+
+
+def csv_cells(spark, folder, **options):
+    rows, errors = read_pile(spark, str(folder), "m2d", fmt="csv", clean="minimal", options=options)
+    return (sorted((r["Origin_File"], r["Card"], r["Operation Number"], r["Original Amount"]) for r in rows.collect()),
+            sorted((r["file"], r["reason"]) for r in errors.collect()))
+
+
+def test_csv_records_reach_over_lines_and_splits(spark, tmp_path):
+    """Random cells with line ends, quotes, separators and stray quotes, read in
+    splits of a few bytes."""
+    import csv
+    import io
+    import random
+    rnd = random.Random(4)
+    want = []
+    for f in range(2):
+        name = f"m2d-recu {f}.csv"
+        out = io.StringIO()
+        writer = csv.writer(out, lineterminator="\n", quoting=[csv.QUOTE_MINIMAL, csv.QUOTE_ALL][f % 2])
+        writer.writerow([*HDR, "Note"])
+        for i in range(60):
+            note = rnd.choice(["", "plain", "two\nlines", 'say ""', "a,b\n\n,c", '"\n"', "\n", 'x"y', "é\n中", "\n" * 5])
+            op = rnd.choice([f"o{i}", f"o\n{i}", f'"o{i}"'])
+            writer.writerow([f"c{i}", op, str(i), note])
+            want.append((name, f"c{i}", op, str(i)))
+        put(f"{tmp_path}/{name}", out.getvalue())
+    # quotes that open no cell stay text
+    put(f"{tmp_path}/m2d-recu stray.csv", ",".join(HDR) + '\n5" pipe,1,2\nx,6" pipe,"3"\n')
+    want += [("m2d-recu stray.csv", '5" pipe', "1", "2"), ("m2d-recu stray.csv", "x", '6" pipe', "3")]
+    put(f"{tmp_path}/m2d-recu open.csv", ",".join(HDR) + '\n1,2,3\n4,"5,6\n7,8,9\n')
+    for size in (None, "150"):
+        if size:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            got, errors = csv_cells(spark, tmp_path, escape='"')
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert got == sorted(want), size
+        assert errors == [("m2d-recu open.csv", "unclosed_quote")]
+
+
+def test_csv_separators_are_literal(spark, tmp_path):
+    put(f"{tmp_path}/m2d 1.csv", "|".join(HDR) + '\n1|"a|b\nc"|3\n')
+    put(f"{tmp_path}/m2d 2.csv", "Extra|" + "|".join(HDR) + "\n\ne|4|5|6|7|8\n")
+    assert csv_cells(spark, tmp_path, sep="|") == (
+        [("m2d 1.csv", "1", "a|b\nc", "3"), ("m2d 2.csv", "4", "5", "6")], [])
+
+
 def test_corrupt_parquet_is_an_error_row(spark, tmp_path):
     rows = spark.createDataFrame([("1", "2", "3")], ", ".join(f"`{h}` string" for h in HDR))
     rows.toPandas().to_parquet(f"{tmp_path}/m2d-recu 1.1.2026.parquet")
