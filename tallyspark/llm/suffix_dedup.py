@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import Scratch, as_bytes, id_and_text, slices
+from tallyspark.llm.common import Scratch, as_bytes, id_and_text, packed_texts, slices, unpacked
 
 LENGTH = 100
 ANCHOR = 24
@@ -386,10 +386,10 @@ def _splitters(texts: DataFrame, buckets: int, n_docs: int, length: int, anchor:
 
 
 def _remove(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "text"):
+    for batch in slices(batches, "packed", 1 << 20):
         kept, spans, sizes = [], [], []
-        for text, ranges in zip(as_bytes(batch.column("text")), batch.column("ranges").to_pylist()):
-            text = text or b""
+        for packed, ranges in zip(batch.column("packed").to_pylist(), batch.column("ranges").to_pylist()):
+            text = unpacked(packed) or b""
             own = [(r[2], r[3]) for r in merge_ranges([(0, 0, x["start"], x["stop"]) for x in ranges or ()])]
             out, at = [], 0
             for a, b in own:
@@ -432,7 +432,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
         _sort_bucket(length, anchor), "doc_id long, text_hash long, start long, stop long"), "ranges")
     by_doc = ranges.groupBy(F.col("doc_id").alias("r_id"), F.col("text_hash").alias("r_hash")).agg(
         F.collect_list(F.struct("start", "stop")).alias("ranges"))  # of one document
-    joined = texts.join(by_doc, (F.coalesce("doc_id", F.lit(int(_NO_ID))) == F.col("r_id"))
+    # texts travel to their ranges compressed
+    joined = packed_texts(texts).join(by_doc, (F.coalesce("doc_id", F.lit(int(_NO_ID))) == F.col("r_id"))
                         & (F.col("text_hash") == F.col("r_hash")), "left")
-    return joined.select("doc_id", "text", "ranges").mapInArrow(
+    return joined.select("doc_id", "packed", "ranges").mapInArrow(
         _remove, "doc_id long, n_bytes long, kept binary, spans array<struct<start: long, stop: long>>")
