@@ -18,7 +18,15 @@ always stay. Edits are insertions, deletions and replacements of bytes.
 4. For each line the first occurrence is known; later ones go, and so does the
    first if a linked line has an earlier one.
 
-Lines are known by 64-bit hashes; a repeated line is indexed once per task.
+A line needs only one earlier near line to go. So the lines of equal length that
+share a segment are first compared with the earliest and a random one of them
+alone; the lines that this settles are not compared with each other any more,
+and the join of steps 1 to 3 takes the others against all. A group of n near
+copies of one length makes some n pairs then, not n (n - 1) / 2; copies that are
+near only to a line of another length are still compared with each other.
+
+Lines are known by 64-bit hashes; every distinct line is written once, with its
+first place, and makes its keys once.
 """
 
 from __future__ import annotations
@@ -28,8 +36,10 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from tallyspark.llm.common import Scratch, as_bytes, free_name, packed_texts, slices, unpacked
 from tallyspark.llm.edit_distance import edits
@@ -37,7 +47,6 @@ from tallyspark.llm.edit_distance import edits
 MOST = 2
 MIN_BYTES = 20
 _NO_ID = np.iinfo(np.int64).max  # null ids come last
-_CLASSES = bytes(b % 8 for b in range(256))
 
 
 def lines_of(text: bytes | None, min_bytes: int = MIN_BYTES) -> list[tuple[int, bytes]]:
@@ -54,10 +63,12 @@ def line_id(line: bytes) -> int:
     return xxhash.xxh3_64_intdigest(line) - (1 << 63)
 
 
-def profile(line: bytes) -> int:
-    """Counts of the bytes in eight classes, modulo 16, four bits each."""
-    classes = line.translate(_CLASSES)
-    return sum((classes.count(c) & 15) << 4 * c for c in range(8))
+def profiles(lines: list[bytes]) -> np.ndarray:
+    """Counts of each line's bytes in eight classes, modulo 16, four bits each."""
+    classes = np.frombuffer(b"".join(lines), np.uint8) & 7
+    row = np.repeat(np.arange(len(lines)), np.fromiter(map(len, lines), np.int64, len(lines)))
+    counts = np.bincount(row * 8 + classes, minlength=8 * len(lines)).reshape(-1, 8)
+    return ((counts & 15) << np.arange(0, 32, 4)).sum(axis=1)
 
 
 def segment_bounds(length: int, most: int) -> list[tuple[int, int]]:
@@ -71,25 +82,64 @@ def segment_bounds(length: int, most: int) -> list[tuple[int, int]]:
     return bounds
 
 
-def _key(length: int, number: int, content: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(content, length << 8 | number)
+def probe_shifts(most: int) -> list[tuple[int, int, int]]:
+    """(by how much a line is longer, number of the segment, shift): the places,
+    from the segment's own, at which a line holds it if it is within ``most`` edits."""
+    shifts = []
+    for longer in range(most + 1):
+        for i in range(most + 1):
+            # i edits before the segment at most, or most - i after it
+            low, high = max(-i, longer - (most - i)), min(i, longer + (most - i))
+            shifts += [(longer, i, shift) for shift in range(low, high + 1)]
+    return shifts
 
 
-def index_keys(line: bytes, most: int) -> list[int]:
-    return [_key(len(line), i, line[at:at + n]) for i, (at, n) in enumerate(segment_bounds(len(line), most))]
+def index_keys(line: bytes, most: int) -> list[tuple]:
+    """What ``index_columns`` hashes, for one line."""
+    return [(len(line), i, line[at:at + n]) for i, (at, n) in enumerate(segment_bounds(len(line), most))]
 
 
-def probe_keys(line: bytes, most: int) -> list[int]:
-    """Keys under which a line of at most this length is found if it is within
-    ``most`` edits."""
+def probe_keys(line: bytes, most: int) -> list[tuple]:
+    """What ``probe_columns`` hashes, for one line: under these keys a line of at
+    most this length is found if it is within ``most`` edits."""
     keys = []
-    for length in range(max(1, len(line) - most), len(line) + 1):
-        longer = len(line) - length
-        for i, (at, n) in enumerate(segment_bounds(length, most)):
-            # i edits before the segment at most, or most - i after it
-            low = max(0, at - i, at + longer - (most - i))
-            high = min(len(line) - n, at + i, at + longer + (most - i))
-            keys.extend(_key(length, i, line[p:p + n]) for p in range(low, high + 1))
+    for longer, i, shift in probe_shifts(most):
+        length = len(line) - longer
+        if length > 0:
+            at, n = segment_bounds(length, most)[i]
+            if 0 <= at + shift <= len(line) - n:
+                keys.append((length, i, line[at + shift:at + shift + n]))
+    return keys
+
+
+def _segment(length: Column, i: int, most: int) -> tuple[Column, Column]:
+    """``segment_bounds`` of segment ``i`` as columns."""
+    longer = length % (most + 1)
+    size = ((length - longer) / (most + 1)).cast("int")
+    return size * i + F.greatest(F.lit(0), longer + (i - most - 1)), size + (longer > most - i).cast("int")
+
+
+def index_columns(content: str, most: int) -> list[Column]:
+    """A key for each segment of a line, of its length, number and bytes."""
+    length = F.octet_length(content)
+    keys = []
+    for i in range(most + 1):
+        at, n = _segment(length, i, most)
+        keys.append(F.xxhash64(length, F.lit(i), F.substring(F.col(content), at + 1, n)))
+    return keys
+
+
+def probe_columns(content: str, most: int) -> list[Column]:
+    """The keys under which the lines near a line and not longer are found, null
+    where the line has no such place."""
+    size = F.octet_length(content)
+    keys = []
+    for longer, i, shift in probe_shifts(most):
+        length = size - longer
+        at, n = _segment(length, i, most)
+        at = at + shift
+        keys.append(F.when((length > 0) & (at >= 0) & (at + n <= size),
+                           F.xxhash64(length, F.lit(i), F.substring(F.col(content), at + 1, n))))
     return keys
 
 
@@ -109,29 +159,6 @@ def _occurrences(min_bytes: int):
     return run
 
 
-def _keys(of, most: int, min_bytes: int):
-    """(key, id, profile) of each distinct line of a task."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in slices(batches, "text"):
-            keys, ids, profiles, counts = [], [], [], []
-            for text in as_bytes(batch.column("text")):
-                for _, line in lines_of(text, min_bytes):
-                    own = line_id(line)
-                    if own in seen:
-                        continue
-                    seen.add(own)
-                    found = of(line, most)
-                    keys += found
-                    ids.append(own), profiles.append(profile(line)), counts.append(len(found))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(np.repeat(np.array(ids, np.int64), counts)),
-                 pa.array(np.repeat(np.array(profiles, np.int64), counts))], names=["key", "id", "profile"])
-
-    return run
-
-
 def _profile_distance(a: str, b: str) -> Column:
     """Sum over the classes of the differences modulo 16, never more than the
     sum of the true differences."""
@@ -145,7 +172,7 @@ def _profile_distance(a: str, b: str) -> Column:
 
 
 def _fetch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, content, did, text_hash, line) of the wanted lines of each document."""
+    """(id, content, profile, did, text_hash, line) of the wanted lines of each document."""
     for batch in slices(batches, "packed"):
         rows, ids, contents, numbers = [], [], [], []
         for row, (packed, wanted) in enumerate(zip(batch.column("packed").to_pylist(),
@@ -156,9 +183,10 @@ def _fetch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 contents.append(lines[w["line"]].strip())
         at = pa.array(rows, pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(contents, pa.binary()), batch.column("doc_id").take(at),
+            [pa.array(ids, pa.int64()), pa.array(contents, pa.binary()),
+             pa.array(profiles(contents), pa.int64()), batch.column("doc_id").take(at),
              batch.column("text_hash").take(at), pa.array(numbers, pa.int32())],
-            names=["id", "content", "did", "text_hash", "line"])
+            names=["id", "content", "profile", "did", "text_hash", "line"])
 
 
 def _verify(most: int):
@@ -177,35 +205,16 @@ def _identified(docs: DataFrame, id_col: str, text_col: str, did: str = "did", t
         text_hash: F.xxhash64(F.col(text_col).cast("string"))})
 
 
-def repeated_lines(docs: DataFrame, most: int = MOST, min_bytes: int = MIN_BYTES, id_col: str = "doc_id",
-                   text_col: str = "text") -> DataFrame:
-    """The lines that go, one row per document that has any: did (the id, null
-    as the largest long), text_hash, exact and near (numbers of its lines)."""
-    scratch = Scratch(docs.sparkSession, "lines")
-    texts = _identified(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")),
-                        "doc_id", "text")
-    seen = scratch.write(texts.select("did", "text_hash", "text").mapInArrow(
-        _occurrences(min_bytes), "did long, text_hash long, line int, id long"), "occurrences")
-    place = F.struct("did", "text_hash", "line")
-    firsts = seen.groupBy("id").agg(F.min(place).alias("first"))
-
-    schema = "key long, id long, profile long"
-    index = texts.select("text").mapInArrow(_keys(index_keys, most, min_bytes), schema)
-    probes = texts.select("text").mapInArrow(_keys(probe_keys, most, min_bytes), schema).select(
-        "key", F.col("id").alias("id_b"), F.col("profile").alias("profile_b"))
-    pairs = index.join(probes, "key").where(
-        (F.col("id") != F.col("id_b")) & (_profile_distance("profile", "profile_b") <= 2 * most))
-    pairs = scratch.write(pairs.select(F.least("id", "id_b").alias("a"), F.greatest("id", "id_b").alias("b"))
-                          .distinct(), "pairs")
-
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(firsts, "id").select(
-        "id", "first.*")
-    by_doc = wanted.groupBy("did", "text_hash").agg(F.collect_list(F.struct("id", "line")).alias("wanted"))
-    # rows that are one document (equal id and text) are fetched once
-    packed = packed_texts(texts.select(F.col("did").alias("doc_id"), "text_hash", "text")).join(
-        by_doc.withColumnRenamed("did", "doc_id"), ["doc_id", "text_hash"])
-    contents = scratch.write(packed.mapInArrow(
-        _fetch, "id long, content binary, did long, text_hash long, line int").dropDuplicates(["id"]), "contents")
+PLACE = ("did", "text_hash", "line")
+
+
+def _later(scratch: Scratch, pairs: DataFrame, lines: DataFrame, most: int, name: str) -> DataFrame:
+    """(id) of the lines that are the later one of a pair (a, b) within ``most`` edits."""
+    pairs = scratch.write(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(),
+                          f"{name}_pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    contents = scratch.write(lines.join(wanted, "id", "left_semi"), f"{name}_contents")
+    place = F.struct(*PLACE)
     left = contents.select(F.col("id").alias("a"), F.col("content").alias("left"), place.alias("first_a"))
     right = contents.select(F.col("id").alias("b"), F.col("content").alias("right"), place.alias("first_b"))
     a_first = F.col("first_a") < F.col("first_b")
@@ -214,8 +223,79 @@ def repeated_lines(docs: DataFrame, most: int = MOST, min_bytes: int = MIN_BYTES
         F.when(a_first, F.col("b")).otherwise(F.col("a")).alias("later"),
         F.col("left").alias("content_a"), F.col("right").alias("content_b"),
     ).mapInArrow(_verify(most), "earlier long, later long")
-    near = scratch.write(links.select(F.col("later").alias("id")).distinct(), "near").withColumn("is_near", F.lit(True))
+    later = scratch.write(links.select(F.col("later").alias("id")).distinct(), name)
+    scratch.drop(f"{name}_pairs", f"{name}_contents")
+    return later
+
+
+def _close(most: int) -> Column:
+    return (F.col("id") != F.col("id_b")) & (_profile_distance("profile", "profile_b") <= 2 * most)
+
+
+def _first_pairs(scratch: Scratch, lines: DataFrame, most: int) -> DataFrame:
+    """Each line with the earliest and a random one of those that have its length
+    and one of its segments (line ids are hashes, so the least is any). Only keys
+    of two lines or more are looked at; a line has each key once."""
+    entries = lines.select("id", "profile", "did", F.explode(F.array(*index_columns("content", most))).alias("key"))
+    shared = scratch.write(entries.groupBy("key").count().where("count > 1").select("key"), "shared")
+    entries = scratch.write(entries.join(shared, "key"), "entries")
+    chosen = entries.groupBy("key").agg(
+        F.min("id").alias("any"), F.min_by("profile", "id").alias("any_profile"),
+        F.min_by("id", "did").alias("earliest"), F.min_by("profile", "did").alias("earliest_profile"))
+    return entries.join(chosen, "key").select("id", "profile", F.inline(F.array(
+        F.struct(F.col("earliest").alias("id_b"), F.col("earliest_profile").alias("profile_b")),
+        F.struct(F.col("any").alias("id_b"), F.col("any_profile").alias("profile_b")),
+    ))).where(_close(most)).select(F.col("id").alias("a"), F.col("id_b").alias("b"))
+
+
+def _all_pairs(lines: DataFrame, settled: DataFrame, most: int) -> DataFrame:
+    """Each line that is not settled with all that share a key, settled or not."""
+    marked = lines.join(settled.withColumn("settled", F.lit(True)), "id", "left").select(
+        "id", "content", "profile", F.coalesce("settled", F.lit(False)).alias("settled"))
+
+    def open_probes(key: Column) -> Column:
+        return key.bitwiseAND(F.lit(-2))
 
+    def settled_probes(key: Column) -> Column:
+        return key.bitwiseOR(F.lit(1))
+
+    def hashed(columns: list[Column]) -> DataFrame:
+        return marked.select("id", "profile", "settled", F.explode(F.array(*columns)).alias("key")).where("key is not null")
+
+    key, done = F.col("key"), F.col("settled")
+    index = hashed(index_columns("content", most)).select("id", "profile", F.explode(
+        F.when(done, F.array(open_probes(key))).otherwise(F.array(open_probes(key), settled_probes(key)))).alias("key"))
+    probes = hashed(probe_columns("content", most)).select(
+        F.col("id").alias("id_b"), F.col("profile").alias("profile_b"),
+        F.when(done, settled_probes(key)).otherwise(open_probes(key)).alias("key"))
+    return index.join(probes, "key").where(_close(most)).select(F.col("id").alias("a"), F.col("id_b").alias("b"))
+
+
+def repeated_lines(docs: DataFrame, most: int = MOST, min_bytes: int = MIN_BYTES, id_col: str = "doc_id",
+                   text_col: str = "text") -> DataFrame:
+    """The lines that go, one row per document that has any: did (the id, null
+    as the largest long), text_hash, exact and near (numbers of its lines)."""
+    scratch = Scratch(docs.sparkSession, "lines")
+    texts = _identified(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")),
+                        "doc_id", "text")
+    seen = scratch.write(texts.select("did", "text_hash", "text").mapInArrow(
+        _occurrences(min_bytes), "did long, text_hash long, line int, id long"), "occurrences")
+    place = F.struct(*PLACE)
+    firsts = seen.groupBy("id").agg(F.min(place).alias("first")).select("id", "first.*")
+    by_doc = firsts.groupBy(F.col("did").alias("doc_id"), "text_hash").agg(
+        F.collect_list(F.struct("id", "line")).alias("wanted"))
+    # rows that are one document (equal id and text) are read once
+    packed = packed_texts(texts.select(F.col("did").alias("doc_id"), "text_hash", "text")).dropDuplicates(
+        ["doc_id", "text_hash"])
+    lines = scratch.write(packed.join(by_doc, ["doc_id", "text_hash"]).mapInArrow(
+        _fetch, "id long, content binary, profile long, did long, text_hash long, line int"), "distinct")
+
+    settled = _later(scratch, _first_pairs(scratch, lines, most), lines, most, "settled")
+    scratch.drop("shared", "entries")
+    rest = _later(scratch, _all_pairs(lines, settled, most), lines, most, "rest")
+    near = settled.union(rest).distinct().withColumn("is_near", F.lit(True))
+
+    firsts = lines.select("id", place.alias("first"))
     judged = seen.join(firsts, "id").join(near, "id", "left").select(
         "did", "text_hash", "line", (place != F.col("first")).alias("again"),
         F.coalesce("is_near", F.lit(False)).alias("is_near"))
@@ -224,20 +304,31 @@ def repeated_lines(docs: DataFrame, most: int = MOST, min_bytes: int = MIN_BYTES
         F.collect_set(F.when(~F.col("again"), F.col("line"))).alias("near")), "decisions")
 
 
-def _cut(text_name: str, exact_name: str, near_name: str, keep: list[str]):
+def _pack(text_name: str):
+    """The text column compressed, for the shuffle."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compressor = zstandard.ZstdCompressor(level=1)
         for batch in batches:
+            packed = [None if t is None else compressor.compress(t) for t in as_bytes(batch.column(text_name))]
+            yield batch.set_column(batch.schema.get_field_index(text_name), text_name, pa.array(packed, pa.binary()))
+
+    return run
+
+
+def _cut(text_name: str, exact_name: str, near_name: str, keep: list[str]):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text_name):
             texts = []
-            for text, exact, near in zip(as_bytes(batch.column(text_name)), batch.column(exact_name).to_pylist(),
-                                         batch.column(near_name).to_pylist()):
-                gone = {*(exact or ()), *(near or ())}
+            for packed, exact, near in zip(batch.column(text_name).to_pylist(), batch.column(exact_name).to_pylist(),
+                                           batch.column(near_name).to_pylist()):
+                text, gone = unpacked(packed), {*(exact or ()), *(near or ())}
                 if gone:
                     lines = text.split(b"\n")
                     text = b"\n".join(line for i, line in enumerate(lines) if i not in gone)
                 texts.append(text)
             at = batch.schema.get_field_index(text_name)
-            kind = batch.schema.field(at).type
-            out = batch.set_column(at, text_name, pa.array(texts, pa.binary()).cast(pa.string()).cast(kind))
+            out = batch.set_column(at, text_name, pa.array(texts, pa.binary()).cast(pa.string()))
             yield out.select(keep)
 
     return run
@@ -262,10 +353,13 @@ def _joined(docs: DataFrame, most: int, min_bytes: int, id_col: str, text_col: s
     decisions = repeated_lines(docs, most, min_bytes, id_col, text_col).select(
         F.col("did").alias(did), F.col("text_hash").alias(text_hash), F.col("exact").alias(exact),
         F.col("near").alias(near))
-    rows = _identified(docs, id_col, text_col, did, text_hash).join(decisions, [did, text_hash], "left")
-    rows = rows.select(*docs.columns, exact, near)
+    rows = _identified(docs, id_col, text_col, did, text_hash)
+    packed = StructType([StructField(f.name, BinaryType()) if f.name == text_col else f for f in rows.schema])
+    joined = rows.mapInArrow(_pack(text_col), packed).join(decisions, [did, text_hash], "left").select(
+        *docs.columns, exact, near)
     keep = [*docs.columns, exact, near] if counts else docs.columns
-    return rows.mapInArrow(_cut(text_col, exact, near, keep), rows.select(*keep).schema), (exact, near)
+    schema = StructType([docs.schema[c] if c in docs.columns else joined.schema[c] for c in keep])
+    return joined.mapInArrow(_cut(text_col, exact, near, keep), schema), (exact, near)
 
 
 def line_dedup(docs: DataFrame, most: int = MOST, min_bytes: int = MIN_BYTES, id_col: str = "doc_id",

@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from .llm_cases import ODD, prose
 from .test_rows import all_windows, distance
 
@@ -239,6 +240,56 @@ def test_probes_meet_every_near_line():
                 assert set(line_dedup.index_keys(a, most)) & set(line_dedup.probe_keys(b, most))
 
 
+@pytest.mark.parametrize("most", [1, 2, 3])
+def test_key_columns_are_those_of_the_plain_form(spark, most):
+    rng = random.Random(23)
+    lines = [bytes(rng.choices(b"abc", k=n)) for n in range(1, 26)]
+    rows = spark.createDataFrame([(i, bytearray(line)) for i, line in enumerate(lines)], "id int, content binary")
+    by_key = defaultdict(set)
+    for columns, plain in ((line_dedup.index_columns, line_dedup.index_keys),
+                           (line_dedup.probe_columns, line_dedup.probe_keys)):
+        hashed = rows.select("id", F.array(*columns("content", most)).alias("hashed")).collect()
+        for r in hashed:
+            keys = [k for k in r["hashed"] if k is not None]
+            expected = plain(lines[r.id], most)
+            assert len(keys) == len(expected)
+            for key, content in zip(keys, expected):
+                by_key[key].add(content)
+    assert all(len(v) == 1 for v in by_key.values())
+    assert len(by_key) == len(set().union(*by_key.values()))
+
+
+def near_copies(n):
+    """Lines in which up to two bytes of the first are replaced, so that few are
+    within two edits of each other."""
+    rng = random.Random(24)
+    base = prose(rng, 6, lines=False)
+    rows = [(0, base)]
+    for d in range(1, n):
+        line = base
+        for _ in range(2):
+            at = rng.randrange(len(line))
+            line = line[:at] + rng.choice("0123456789") + line[at + 1:]
+        rows.append((d, line))
+    return rows
+
+
+def test_near_copies_make_pairs_in_proportion(spark, docs, monkeypatch):
+    made = []
+    later = line_dedup._later
+
+    def counted(scratch, pairs, *more):
+        made.append(pairs.distinct().count())
+        return later(scratch, pairs, *more)
+
+    monkeypatch.setattr(line_dedup, "_later", counted)
+    rows = near_copies(120)
+    got = {r.doc_id: (r.text, r.n_exact, r.n_near) for r in line_dedup.line_dedup(docs(rows), 2).collect()}
+    assert got == cut_lines(rows, 2, line_dedup.MIN_BYTES)
+    assert [d for d, (text, _, _) in got.items() if text] == [0]
+    assert sum(made) < 10 * len(rows)
+
+
 def test_lines_keep_columns_even_with_clashing_names(spark):
     rows = spark.createDataFrame([(1, "a line that is long enough\nx", 7, "n"), (2, "a line that is long enough", 8, "m"),
                                   (2, "a line that is long enough", 8, "m")], "doc_id long, text string, near int, did string")
