@@ -57,9 +57,13 @@ class Scratch:
     """Tables written once in the shared folder named by ``spark.checkpoint.dir``.
 
     They cut the lineage: later steps read a table that survives lost
-    executors. ``drop`` removes one that no later step reads.
+    executors. ``drop`` removes one that no later step reads. A write's shuffle
+    files go with its end, as nothing reads them again: the executors' disks
+    hold one step's, not those of all steps so far.
     """
 
+    CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
@@ -68,7 +72,12 @@ class Scratch:
         return os.path.join(self.root, name)
 
     def write(self, df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-        df.write.mode("error").option("compression", compression).parquet(self.path(name))
+        before = self.spark.conf.get(self.CLEANUP)
+        self.spark.conf.set(self.CLEANUP, "true")
+        try:
+            df.write.mode("error").option("compression", compression).parquet(self.path(name))
+        finally:
+            self.spark.conf.set(self.CLEANUP, before)
         return self.read(name, df.schema)
 
     def read(self, name: str, schema=None) -> DataFrame:

@@ -40,6 +40,7 @@ def components(scratch: Scratch, edges: DataFrame, name: str = "components") ->
         edges = scratch.write(small.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct(),
                               f"{name}_{step}")
         after = _digest(edges)
+        scratch.drop(f"{name}_{step - 1}", f"{name}_{step}_large")
         if after == before:
             break
         before = after

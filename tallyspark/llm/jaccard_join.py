@@ -284,6 +284,7 @@ def _labelled(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str)
     index = index.join(parts.withColumnRenamed("node", "cid"), "cid", "left").withColumn(
         "root", F.coalesce("root", "cid"))
     index = scratch.write(index, "rooted")
+    scratch.drop("index")
     mixed = index.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
     index = index.join(mixed.select("token"), "token", "left_semi")
     other = index.select("token", F.col("cid").alias("did"), F.col("n").alias("m"), F.col("l").alias("k"),
@@ -297,6 +298,7 @@ def _labelled(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str)
              .where("common >= needed").select("a", "b"))
     pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
     joined = _verified(scratch, pairs, sets, percent, "joined")
+    scratch.drop("sets", "rooted", "tried")
     links = joined.where("linked").select("a", "b").unionByName(
         parts.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
     parts = components(scratch, links, "joined_parts")

@@ -299,9 +299,11 @@ def repeated_lines(docs: DataFrame, most: int = MOST, min_bytes: int = MIN_BYTES
     judged = seen.join(firsts, "id").join(near, "id", "left").select(
         "did", "text_hash", "line", (place != F.col("first")).alias("again"),
         F.coalesce("is_near", F.lit(False)).alias("is_near"))
-    return scratch.write(judged.where("again or is_near").groupBy("did", "text_hash").agg(
+    decisions = scratch.write(judged.where("again or is_near").groupBy("did", "text_hash").agg(
         F.collect_set(F.when(F.col("again"), F.col("line"))).alias("exact"),
         F.collect_set(F.when(~F.col("again"), F.col("line"))).alias("near")), "decisions")
+    scratch.drop("occurrences", "distinct", "settled", "rest")
+    return decisions
 
 
 def _pack(text_name: str):
