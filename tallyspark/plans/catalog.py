@@ -23,6 +23,7 @@ from tallyspark.operators import setops as so
 from tallyspark.operators.money import money_sum
 from tallyspark.session import cut_lineage, read_table
 from tallyspark.sources import fixtures as fx
+from tallyspark.sources.lines import line_counts
 from tallyspark.sources.piles import dropped_rows, minimal_clean
 
 Q: dict = {}
@@ -287,8 +288,7 @@ def q_linearize_delim(spark: SparkSession, sf: str) -> DataFrame:
 @register("line_counts")
 def q_line_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Lines per report file."""
-    return fx.f4_lines(spark, sf, "fixed").groupBy(F.col("file").alias("report_file")).agg(
-        F.count(F.lit(1)).alias("n_lines"))
+    return line_counts(fx.f4_lines(spark, sf, "fixed")).withColumnRenamed("file", "report_file")
 
 
 @register("report_holders")
@@ -587,3 +587,72 @@ def q_key_set_equal(spark: SparkSession, sf: str) -> DataFrame:
     d = fx.f1(spark, sf, "DEBT")
     return _union([so.key_set_equal(d, fx.f1(spark, sf, "CREDIT")).select(F.lit("clean").alias("scenario"), "*"),
                    so.key_set_equal(d, fx.f1(spark, sf, "DEBT")).select(F.lit("self").alias("scenario"), "*")])
+
+
+@register("land_stream")
+def q_land_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """L2, stream form: the DEBT pile dropped in two steps with a run after
+    each, a third run that repeats the second one's epoch (its commit is taken
+    back, as if it had stopped just before), and all landed rows."""
+    p = ld.landing_paths(_os.path.join(checkpoint_dir(spark), f"landing-{_uuid.uuid4().hex}"))
+    rows = fx.f1_raw(spark, sf, "DEBT").select(CARD, OP, AMOUNT)
+    odd = F.coalesce(F.right(F.col(OP), F.lit(1)).isin(*"13579"), F.lit(False))
+
+    def run() -> None:
+        ld.land_stream(spark, p["drop"], p["dest"], p["stream_ckpt"], rows.schema, "csv", "*.csv", {"header": "true"})
+
+    for drop in (rows.where(odd), rows.where(~odd)):
+        drop.write.mode("append").option("header", "true").csv(p["drop"])
+        run()
+    ld.uncommit(spark, p["stream_ckpt"])
+    run()
+    return spark.read.parquet(p["dest"]).select(CARD, OP, AMOUNT)
+
+
+# --- reports as text files (S5, S6, K3, K4, A20) ----------------------------------------------------
+
+import datetime as _dt  # noqa: E402
+
+from tallyspark.plans import linear_report  # noqa: E402
+
+LEAST_SPLIT = 1 << 16  # bytes
+
+
+def _report_folder(spark: SparkSession, sf: str) -> str:
+    """The printed report as text files, lines in order. A nation's report comes
+    in parts of at most 4,096 customer numbers, so a task writes no more than that;
+    a part begins with the lines of a card."""
+    out = _os.path.join(checkpoint_dir(spark), f"reports-{_uuid.uuid4().hex}")
+    lines = fx.f4_lines(spark, sf, "fixed", splits="customer")
+    lines = lines.withColumn("part", F.shiftright("split_start", 12))
+    (lines.repartition("file", "part").sortWithinPartitions("file", "part", "pos")
+          .select("file", "part", "value").write.partitionBy("file", "part").text(out))
+    return out
+
+
+def _linear_run(spark: SparkSession, sf: str) -> tuple[str, int]:
+    """E3 over the text files, read in 64 byte splits or more (smaller than the
+    session's where the files are small, so that splits cut files)."""
+    folder = _report_folder(spark, sf)
+    size = _inventory(spark, folder, "*.txt").agg(F.sum("length")).first()[0] or 0
+    setting = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(setting)
+    if size // 64 < (128 << 20):
+        spark.conf.set(setting, str(max(LEAST_SPLIT, size // 64)))
+    try:
+        return linear_report.run(spark, folder, f"{folder}-out", _dt.date(2026, 1, 5))
+    finally:
+        spark.conf.set(setting, before)
+
+
+@register("report_run")
+def q_report_run(spark: SparkSession, sf: str) -> DataFrame:
+    """The records of all report files, as written."""
+    path, _ = _linear_run(spark, sf)
+    return spark.read.parquet(path).withColumn("report_file", F.regexp_extract("report_file", "^file=([^/]*)/", 1))
+
+
+@register("report_run_count")
+def q_report_run_count(spark: SparkSession, sf: str) -> DataFrame:
+    """How many records E3 counted while it wrote them."""
+    return spark.range(1).select(F.lit(_linear_run(spark, sf)[1]).cast("long").alias("records"))

@@ -420,6 +420,8 @@ FROM f4"""
 SQL["linearize_fixed"] = _records(True)
 SQL["linearize_split"] = _records(True)
 SQL["linearize_delim"] = _records(False)
+SQL["report_run"] = _records(True)
+SQL["report_run_count"] = f"SELECT count(*) AS records FROM ({_records(True)}) r"
 
 SQL["line_counts"] = "WITH " + _F4J + ", " + _CUSTF + """
 SELECT report_file, CAST(sum(n) AS BIGINT) AS n_lines FROM (
@@ -529,6 +531,8 @@ UNION ALL SELECT 'm2d-recu corrupt.xlsx', 'unreadable'"""
 
 SQL["land_latest"] = with_(*F1) + 'SELECT "Card", "Operation Number", "Original Amount" FROM debt_raw'
 
+SQL["land_stream"] = SQL["land_latest"]
+
 SQL["key_set_equal"] = _scen(lambda s, a, b: f"""SELECT '{s}' AS scenario,
   ((SELECT count(*) FROM (SELECT DISTINCT {K} FROM {a})) = (SELECT count(*) FROM (SELECT DISTINCT {K} FROM {b}))
    AND (SELECT count(*) FROM (SELECT DISTINCT {K} FROM {a})) =

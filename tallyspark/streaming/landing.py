@@ -79,5 +79,17 @@ def land_stream(spark: SparkSession, src: str, dest: str, checkpoint: str, schem
     return q
 
 
+def uncommit(spark: SparkSession, checkpoint: str) -> None:
+    """Takes back the last commit of a stream that has stopped: its next run
+    repeats that epoch, with the files it had, before it takes new ones."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    commits = hadoop.Path(checkpoint, "commits")
+    fs = commits.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    epochs = [s.getPath().getName() for s in fs.listStatus(commits)] if fs.exists(commits) else []
+    epochs = [int(n) for n in epochs if n.isdigit()]
+    if epochs:
+        fs.delete(hadoop.Path(commits, str(max(epochs))), False)
+
+
 def landing_paths(base: str) -> dict:
     return {k: os.path.join(base, k) for k in ("drop", "dest", "manifest", "stream_ckpt")}
