@@ -32,6 +32,7 @@ first place, and makes its keys once.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -129,12 +130,14 @@ def index_columns(content: str, most: int) -> list[Column]:
     return keys
 
 
-def probe_columns(content: str, most: int) -> list[Column]:
-    """The keys under which the lines near a line and not longer are found, null
-    where the line has no such place."""
+def probe_columns(content: str, most: int, segment: int | None = None) -> list[Column]:
+    """The keys under which the lines near a line and not longer are found, by
+    one segment or by all, null where the line has no such place."""
     size = F.octet_length(content)
     keys = []
     for longer, i, shift in probe_shifts(most):
+        if segment not in (None, i):
+            continue
         length = size - longer
         at, n = _segment(length, i, most)
         at = at + shift
@@ -248,8 +251,10 @@ def _first_pairs(scratch: Scratch, lines: DataFrame, most: int) -> DataFrame:
     ))).where(_close(most)).select(F.col("id").alias("a"), F.col("id_b").alias("b"))
 
 
-def _all_pairs(lines: DataFrame, settled: DataFrame, most: int) -> DataFrame:
-    """Each line that is not settled with all that share a key, settled or not."""
+def _all_pairs(scratch: Scratch, lines: DataFrame, settled: DataFrame, most: int) -> DataFrame:
+    """Each line that is not settled with all that share a key, settled or not.
+    The segments are joined one after another, so that the disks hold the keys
+    of one of them at a time and the tasks' code stays small."""
     marked = lines.join(settled.withColumn("settled", F.lit(True)), "id", "left").select(
         "id", "content", "profile", F.coalesce("settled", F.lit(False)).alias("settled"))
 
@@ -259,16 +264,20 @@ def _all_pairs(lines: DataFrame, settled: DataFrame, most: int) -> DataFrame:
     def settled_probes(key: Column) -> Column:
         return key.bitwiseOR(F.lit(1))
 
-    def hashed(columns: list[Column]) -> DataFrame:
-        return marked.select("id", "profile", "settled", F.explode(F.array(*columns)).alias("key")).where("key is not null")
-
     key, done = F.col("key"), F.col("settled")
-    index = hashed(index_columns("content", most)).select("id", "profile", F.explode(
-        F.when(done, F.array(open_probes(key))).otherwise(F.array(open_probes(key), settled_probes(key)))).alias("key"))
-    probes = hashed(probe_columns("content", most)).select(
-        F.col("id").alias("id_b"), F.col("profile").alias("profile_b"),
-        F.when(done, settled_probes(key)).otherwise(open_probes(key)).alias("key"))
-    return index.join(probes, "key").where(_close(most)).select(F.col("id").alias("a"), F.col("id_b").alias("b"))
+    found = []
+    for segment in range(most + 1):
+        index = marked.select("id", "profile", "settled", index_columns("content", most)[segment].alias("key"))
+        index = index.select("id", "profile", F.explode(
+            F.when(done, F.array(open_probes(key))).otherwise(F.array(open_probes(key), settled_probes(key)))).alias("key"))
+        probes = marked.select("id", "profile", "settled", F.explode(F.array(
+            *probe_columns("content", most, segment))).alias("key")).where("key is not null")
+        probes = probes.select(
+            F.col("id").alias("id_b"), F.col("profile").alias("profile_b"),
+            F.when(done, settled_probes(key)).otherwise(open_probes(key)).alias("key"))
+        found.append(scratch.write(index.join(probes, "key").where(_close(most)).select(
+            F.least("id", "id_b").alias("a"), F.greatest("id", "id_b").alias("b")).distinct(), f"segment_{segment}"))
+    return reduce(DataFrame.unionByName, found)
 
 
 def repeated_lines(docs: DataFrame, most: int = MOST, min_bytes: int = MIN_BYTES, id_col: str = "doc_id",
@@ -292,7 +301,7 @@ def repeated_lines(docs: DataFrame, most: int = MOST, min_bytes: int = MIN_BYTES
 
     settled = _later(scratch, _first_pairs(scratch, lines, most), lines, most, "settled")
     scratch.drop("shared", "entries")
-    rest = _later(scratch, _all_pairs(lines, settled, most), lines, most, "rest")
+    rest = _later(scratch, _all_pairs(scratch, lines, settled, most), lines, most, "rest")
     near = settled.union(rest).distinct().withColumn("is_near", F.lit(True))
 
     firsts = lines.select("id", place.alias("first"))
@@ -302,7 +311,7 @@ def repeated_lines(docs: DataFrame, most: int = MOST, min_bytes: int = MIN_BYTES
     decisions = scratch.write(judged.where("again or is_near").groupBy("did", "text_hash").agg(
         F.collect_set(F.when(F.col("again"), F.col("line"))).alias("exact"),
         F.collect_set(F.when(~F.col("again"), F.col("line"))).alias("near")), "decisions")
-    scratch.drop("occurrences", "distinct", "settled", "rest")
+    scratch.drop("occurrences", "distinct", "settled", "rest", *(f"segment_{i}" for i in range(most + 1)))
     return decisions
 
 
