@@ -62,6 +62,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on ``documents``: the pieces of ``best_fit`` over what is kept.
+
+    Null, empty and short texts fail the quality rules. A text whose lines line
+    dedup has cut altogether is empty from there on, passes the later stages
+    and is packed as one end token. Null ids come last where documents are
+    ordered; rows of equal id and text are one document, of which the Jaccard
+    join keeps one. Further columns go along to the last stage. An empty table
+    gives no rows; an empty benchmark takes no document away.
+    """
     scratch = Scratch(spark, "pipeline")
     docs = documents(spark, sf_dir)
     for i, (name, stage) in enumerate(STAGES):

@@ -10,7 +10,7 @@ import __spark_entry__ as entry
 import corpus_pipeline
 from tallyspark.llm import decontaminate, line_dedup, quality_rules
 from tallyspark.llm.best_fit import best_fit
-from tallyspark.llm.common import documents
+from tallyspark.llm.common import Scratch, documents
 from tallyspark.llm.jaccard_join import jaccard_classes
 from tallyspark.llm.line_dedup import line_dedup as dedup_lines
 from tallyspark.llm.quality_classifier import NAMES, fit, isotonic, quality_scores, score, vectors
@@ -135,3 +135,12 @@ def test_pipeline_against_brute_force(spark, docs, tmp_path):
     result = corpus_pipeline.run(spark, str(tmp_path)).collect()
     packed(result)
     assert Counter(r.doc_id for r in result if r.piece == 0) == Counter(d for d, _ in kept)
+
+
+def test_pipeline_on_empty_tables(spark, docs, tmp_path):
+    before = spark.conf.get(Scratch.CLEANUP)
+    docs([]).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.count() == 0 and {"doc_id", "sequence_id", "offset"} <= set(out.columns)
+    assert spark.conf.get(Scratch.CLEANUP) == before
