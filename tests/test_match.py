@@ -109,3 +109,26 @@ def test_hot_key_breakdown_without_blow_up(spark):
     assert sum(r["Count_Operations"] for r in rows) == 20000 * 10000
     assert sum(r["Total_Conciliated_Amount"] for r in rows) == 20000 * 10000 * 1.25
     assert len(rows) == 4
+
+
+def test_pairs_of_a_hot_null_key_are_made_by_many_tasks(spark):
+    """Every pair once, rows without a partner none, and no task makes a big
+    share of the pairs of one key (one did before)."""
+    d = pile(spark, [("", None, float(i), "D", "d.xlsx") for i in range(600)] + [("c", "o", 1.0, "D", "d.xlsx")] * 2
+             + [("x", "y", 1.0, "D", "d.xlsx")])
+    c = pile(spark, [("", None, float(i), "C", "c.xlsx") for i in range(40)] + [("c", "o", 2.0, "C", "c.xlsx")] * 3)
+    for most in (1 << 20, 500):
+        rows = mt.match(d, c, null_keys="match", hot_pairs=most)
+        got = [(r["Operation Number"], r["Amt_Float_DEBT"], r["Amt_Float_CREDIT"]) for r in rows.collect()]
+        want = [(None, float(i), float(j)) for i in range(600) for j in range(40)] + [("o", 1.0, 2.0)] * 6
+        assert sorted(got, key=str) == sorted(want, key=str)
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        made = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sum(made) == 24_006 and max(made) < 12_000
