@@ -161,3 +161,19 @@ def test_empty_results_leave_the_last_report(spark, tmp_path):
     assert sinks.write_match(rows.where("id > 0"), path) == 2
     assert spark.read.parquet(path).count() == 2
     assert list(sinks.write_report(None, None, rows, str(tmp_path / "report"))) == ["Detailed_Audit_Log"]
+
+
+def test_csv_lines_are_written_once(spark, tmp_path, monkeypatch):
+    """Lines that are records already are not written again; what is read of the
+    files' first records is, as the names, the errors and the rows need it."""
+    from tallyspark.sources import piles
+    put(tmp_path / "m2d-recu a.csv", "Card,Operation Number,Original Amount\n1,2,3\n")
+    put(tmp_path / "m2d-recu b.csv", "Original Amount,Card,Operation Number\n6,4,5\n")
+    put(tmp_path / "m2d-recu c.csv", "Card,Original Amount\n7,8\n")
+    written, cut = [], piles.cut_lineage
+    monkeypatch.setattr(piles, "cut_lineage", lambda df: written.append(df.columns) or cut(df))
+    rows, errors = read_pile(spark, str(tmp_path), "m2d-recu", fmt="csv")
+    assert sorted((r["Card"], r["Operation Number"], r["Original Amount"]) for r in rows.collect()) == [
+        ("1", "2", "3"), ("4", "5", "6")]
+    assert [(r["file"], r["reason"]) for r in errors.collect()] == [("m2d-recu c.csv", "missing_key_columns")]
+    assert written == [["path", "block", "row", "value", "open_out", "open_in"], ["path", "value", "at"]]
