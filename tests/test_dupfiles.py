@@ -182,3 +182,18 @@ def test_a_cluster_of_a_thousand_files_is_linear(spark, monkeypatch):
     got = clusters(spark, rows)
     assert got == {f"f{f:04d}": ("f0000", n) for f in range(n)}
     assert 0 < sum(compared) <= 12 * n
+
+
+def test_only_keys_of_comparable_files_are_scored(spark, monkeypatch):
+    """A file whose row count no other file has is compared with none."""
+    rows = [(str(i), f"o{i}", 1.0, "R", f) for f, n in (("a", 21), ("b", 30), ("c", 30), ("d", 12)) for i in range(n)]
+    rows[-13] = ("x", "y", 1.0, "R", "c")
+    seen, candidates = [], dfl.overlap_candidates
+
+    def recorded(fk, *args):
+        seen.extend(r[0] for r in fk.select("source_file").distinct().collect())
+        return candidates(fk, *args)
+
+    monkeypatch.setattr(dfl, "overlap_candidates", recorded)
+    assert verdicts(spark, rows) == [("b", "c", "WARNING", round(100 * 29 / 30, 6))]
+    assert sorted(seen) == ["b", "c"]
