@@ -81,3 +81,49 @@ def test_land_stream_versioned_names(spark, tmp_path):
     ld.land_stream(spark, drop, dest, ck, schema, "csv", "*.csv", {"header": "true"})
     got = sorted((r["source_name"], r["k"]) for r in spark.read.parquet(dest).collect())
     assert got == [("report_v1.csv", "1"), ("report_v2.csv", "2")]
+
+
+def test_workbooks_are_written_and_read_in_passing(spark, tmp_path):
+    rows = [(f"{i}", None if i % 7 == 0 else f"<{i}> & co", f"${i}.50", f"m2d-recu {i % 3}.xlsx") for i in range(500)]
+    pile = spark.createDataFrame(rows, ", ".join(f"`{c}` string" for c in [*HDR, "source_file"]))
+    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.autoBroadcastJoinThreshold")
+    before = {n: spark.conf.get(n) for n in names}
+    for n, v in zip(names, ("64", "-1")):
+        spark.conf.set(n, v)
+    try:
+        written = wbk.write_workbooks(pile, str(tmp_path / "wb"), HDR)
+        plan = written._jdf.queryExecution().executedPlan().toString()
+        assert "FlatMapGroups" not in plan  # no file's rows are held at once
+        assert sorted(written.collect()) == [(f"m2d-recu {k}.xlsx", len(range(k, 500, 3))) for k in range(3)]
+        got, errors = wbk.read_workbooks(spark, str(tmp_path / "wb"))
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan  # no file's rows meet in a task
+        assert sorted(got.select(*HDR, "source_file").na.fill("").collect()) == sorted(
+            (c, o or "", a, f) for c, o, a, f in rows)
+        assert errors.count() == 0
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v)
+
+
+def test_batches_are_rendered_like_rows():
+    import pyarrow as pa
+
+    rows = [("1", None, "a&b"), (None, None, None), ("x<y>", "", " z ")]
+    assert wbk._rows_xml(9, [pa.array(c, pa.string()) for c in zip(*rows)]) == "".join(
+        wbk._row_xml(9 + i, r) for i, r in enumerate(rows))
+
+
+def test_parsing_does_not_grow_with_the_sheet():
+    import tracemalloc
+
+    def peak(n):
+        data = wbk.workbook_bytes(HDR, [[f"{i}", f"{i}-1", "$1.00"] for i in range(n)])
+        tracemalloc.start()
+        assert sum(1 for _ in wbk.parse_workbook(data)) == n + 1
+        _, most = tracemalloc.get_traced_memory()
+        tracemalloc.stop()
+        return most - len(data)
+
+    small, large = peak(2000), peak(20000)
+    assert large < 2 * small
