@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import id_and_text, slices
+from tallyspark.llm.common import id_and_text, lean, slices
 from tallyspark.llm.words import WordHashes, shingles
 
 K = 5
@@ -236,7 +236,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, id_col:
     schema = f"doc_id {id_type}, item_id {item_type}, first_word long, n_words long, similarity double"
     out = spark.createDataFrame([], schema)
     for items in item_blocks(benchmark, item_col, item_text_col):
-        out = out.unionByName(rows.mapInArrow(_scan(spark.sparkContext.broadcast(items), percent), schema))
+        out = out.unionByName(rows.mapInArrow(lean(_scan(spark.sparkContext.broadcast(items), percent)), schema))
     return out
 
 
@@ -257,5 +257,5 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT,
         return run
 
     for items in item_blocks(benchmark, item_col, item_text_col):
-        docs = docs.mapInArrow(keep(docs.sparkSession.sparkContext.broadcast(items)), docs.schema)
+        docs = docs.mapInArrow(lean(keep(docs.sparkSession.sparkContext.broadcast(items))), docs.schema)
     return docs

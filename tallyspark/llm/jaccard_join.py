@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from tallyspark.llm.common import Scratch, as_bytes, free_name, id_and_text, slices, unpacked
+from tallyspark.llm.common import Scratch, as_bytes, free_name, id_and_text, lean, slices, unpacked
 from tallyspark.llm.components import components
 from tallyspark.llm.words import as_longs, shingles, words_by_text
 
@@ -85,7 +85,7 @@ def _count(k: int):
 def frequent_shingles(texts: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent shingles, sorted, and their counts. All documents are
     counted; the table is bounded, whatever their number."""
-    counts = texts.mapInArrow(_count(k), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    counts = texts.mapInArrow(lean(_count(k)), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     counts = counts.where(F.col("n") >= LEAST_FREQUENT)
     scratch = Scratch(texts.sparkSession, "frequent")
     counts = scratch.write(counts, "counts")
@@ -247,7 +247,7 @@ def _labelled(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str)
     id_type = texts.schema["doc_id"].dataType.simpleString()
     table = spark.sparkContext.broadcast(frequent_shingles(texts.select("text"), k))
     rows = scratch.write(texts.mapInArrow(
-        _sets(k, table, percent), f"doc_id {id_type}, n long, key binary, l int, rare long, tokens array<long>"), "rows")
+        lean(_sets(k, table, percent)), f"doc_id {id_type}, n long, key binary, l int, rare long, tokens array<long>"), "rows")
     classes = scratch.write(
         rows.where("tokens is not null").select("key", "n", "l", "rare", "tokens").dropDuplicates(["key"])
         .withColumn("cid", F.monotonically_increasing_id()), "classes")
@@ -263,9 +263,9 @@ def _labelled(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str)
     scratch.drop("classes", "shared", "kept")
 
     wanted = index.select("cid").distinct().join(classes.select("cid", "key"), "cid")
-    words = texts.select("text").mapInArrow(_texts_by_key, "key binary, packed binary")
+    words = texts.select("text").mapInArrow(lean(_texts_by_key), "key binary, packed binary")
     found = words.join(wanted, "key").select("cid", "packed").dropDuplicates(["cid"])
-    sets = scratch.write(found.mapInArrow(_shingle_sets(k), "cid long, own array<long>"), "sets")
+    sets = scratch.write(found.mapInArrow(lean(_shingle_sets(k)), "cid long, own array<long>"), "sets")
 
     # contraction
     member, mix = F.struct("cid", "n", "pos", "rare"), [F.xxhash64("cid", "token", F.lit(i)) for i in range(PARTNERS)]
@@ -340,7 +340,7 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "d
         (F.col("key") == F.col("chosen")) & F.col("doc_id").eqNullSafe(F.col("component"))).select(
         F.col("doc_id").alias("chosen_id"), F.col("key").alias("chosen_key")).distinct()
     schema = StructType([*docs.schema.fields, StructField(key, BinaryType())])
-    keyed = docs.mapInArrow(_with_key(text_col, key), schema)
+    keyed = docs.mapInArrow(lean(_with_key(text_col, key)), schema)
     kept = keyed.join(chosen, (F.col(key) == F.col("chosen_key")) & F.col(id_col).eqNullSafe(F.col("chosen_id")),
                       "left").where(F.col("chosen_key").isNotNull() | F.col(key).isNull())
     kept = kept.withColumn(single, F.when(F.col(key).isNull(), F.monotonically_increasing_id()))

@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from tallyspark.llm.common import Scratch, as_bytes, free_name, packed_texts, slices, unpacked
+from tallyspark.llm.common import Scratch, as_bytes, free_name, lean, packed_texts, slices, unpacked
 from tallyspark.llm.edit_distance import edits
 
 MOST = 2
@@ -225,7 +225,7 @@ def _later(scratch: Scratch, pairs: DataFrame, lines: DataFrame, most: int, name
         F.when(a_first, F.col("a")).otherwise(F.col("b")).alias("earlier"),
         F.when(a_first, F.col("b")).otherwise(F.col("a")).alias("later"),
         F.col("left").alias("content_a"), F.col("right").alias("content_b"),
-    ).mapInArrow(_verify(most), "earlier long, later long")
+    ).mapInArrow(lean(_verify(most)), "earlier long, later long")
     later = scratch.write(links.select(F.col("later").alias("id")).distinct(), name)
     scratch.drop(f"{name}_pairs", f"{name}_contents")
     return later
@@ -288,7 +288,7 @@ def repeated_lines(docs: DataFrame, most: int = MOST, min_bytes: int = MIN_BYTES
     texts = _identified(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")),
                         "doc_id", "text")
     seen = scratch.write(texts.select("did", "text_hash", "text").mapInArrow(
-        _occurrences(min_bytes), "did long, text_hash long, line int, id long"), "occurrences")
+        lean(_occurrences(min_bytes)), "did long, text_hash long, line int, id long"), "occurrences")
     place = F.struct(*PLACE)
     firsts = seen.groupBy("id").agg(F.min(place).alias("first")).select("id", "first.*")
     by_doc = firsts.groupBy(F.col("did").alias("doc_id"), "text_hash").agg(
@@ -297,7 +297,7 @@ def repeated_lines(docs: DataFrame, most: int = MOST, min_bytes: int = MIN_BYTES
     packed = packed_texts(texts.select(F.col("did").alias("doc_id"), "text_hash", "text")).dropDuplicates(
         ["doc_id", "text_hash"])
     lines = scratch.write(packed.join(by_doc, ["doc_id", "text_hash"]).mapInArrow(
-        _fetch, "id long, content binary, profile long, did long, text_hash long, line int"), "distinct")
+        lean(_fetch), "id long, content binary, profile long, did long, text_hash long, line int"), "distinct")
 
     settled = _later(scratch, _first_pairs(scratch, lines, most), lines, most, "settled")
     scratch.drop("shared", "entries")
@@ -366,11 +366,11 @@ def _joined(docs: DataFrame, most: int, min_bytes: int, id_col: str, text_col: s
         F.col("near").alias(near))
     rows = _identified(docs, id_col, text_col, did, text_hash)
     packed = StructType([StructField(f.name, BinaryType()) if f.name == text_col else f for f in rows.schema])
-    joined = rows.mapInArrow(_pack(text_col), packed).join(decisions, [did, text_hash], "left").select(
+    joined = rows.mapInArrow(lean(_pack(text_col)), packed).join(decisions, [did, text_hash], "left").select(
         *docs.columns, exact, near)
     keep = [*docs.columns, exact, near] if counts else docs.columns
     schema = StructType([docs.schema[c] if c in docs.columns else joined.schema[c] for c in keep])
-    return joined.mapInArrow(_cut(text_col, exact, near, keep), schema), (exact, near)
+    return joined.mapInArrow(lean(_cut(text_col, exact, near, keep)), schema), (exact, near)
 
 
 def line_dedup(docs: DataFrame, most: int = MOST, min_bytes: int = MIN_BYTES, id_col: str = "doc_id",

@@ -17,7 +17,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from tallyspark.llm.common import SPACES, as_bytes, id_and_text
+from tallyspark.llm.common import SPACES, as_bytes, id_and_text, lean
 
 # (from so many bytes on, least ratio, greatest ratio). Short texts compress
 # badly because of the frame's overhead, hence no upper limit for them.
@@ -124,7 +124,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     rows = id_and_text(docs, id_col, text_col)
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(_scan(bands, chunk_bytes, level), f"doc_id {id_type}, {_DDL}")
+    return rows.mapInArrow(lean(_scan(bands, chunk_bytes, level)), f"doc_id {id_type}, {_DDL}")
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", bands: tuple = BANDS,
@@ -137,4 +137,4 @@ def keep_good(docs: DataFrame, text_col: str = "text", bands: tuple = BANDS,
             texts = as_bytes(batch.column(text_col))
             yield batch.filter(pa.array([measure(t, compressor, bands, chunk_bytes)[6] for t in texts], pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(lean(keep), docs.schema)
