@@ -23,9 +23,10 @@ lengths, however many, are split between ranges by their ids.
 
 from __future__ import annotations
 
+import struct
 import unicodedata
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import Scratch, id_and_text, slices
+from tallyspark.llm.common import Scratch, id_and_text, lean, slices
 
 CAPACITY = 4096
 END_ID = 1
@@ -47,6 +48,18 @@ SMALL_REST = 0.02  # of the pieces: such a rest is cut in its sorted order
 _PIECES = "piece int, start long, length long, ids_crc32 long"
 
 
+class _WordIds(dict):
+    """word -> its ids; a word that is not there yet is encoded when it is asked for."""
+
+    def __init__(self, encode: Callable[[str], bytes]):
+        super().__init__({"": b""})
+        self.encode = encode
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self[word] = self.encode(word)
+        return ids
+
+
 class WordEncoder:
     """Ids of texts, as little-endian unsigned 32-bit bytes, by a tokenizer
     whose tokens never cross a blank or a line feed: every word is encoded once
@@ -61,15 +74,16 @@ class WordEncoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.bytes_as_letters = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.limit = cache_words
-        self.ids: dict[str, bytes] = {}
+        self.ids = _WordIds(self._word)
         self.marks = {m: self._whole(m) for m in ".,"}
 
     @staticmethod
-    def _pack(ids: Iterable[int]) -> bytes:
-        return np.fromiter(ids, "<u4").tobytes()
+    def _pack(ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _whole(self, text: str) -> bytes:
         return self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
@@ -77,10 +91,10 @@ class WordEncoder:
     def _word(self, word: str) -> bytes:
         if word[-1:] in self.marks and word[:-1].isalpha():
             stem, mark = word[:-1], self.marks[word[-1]]
-            return (self.ids.get(stem) or self._word(stem)) + mark
+            return self.ids[stem] + mark  # the bare word is remembered too
         if word.isalpha():  # one pre-token, in lower case and composed already
             letters = word if word.isascii() else self.bytes_as_letters.pre_tokenize_str(word)[0][0]
-            return self._pack(t.id for t in self.tokenizer.model.tokenize(letters))
+            return self._pack([t.id for t in self.model.tokenize(letters)])
         return self._whole(word)
 
     def encode(self, text: str) -> bytes:
@@ -92,9 +106,7 @@ class WordEncoder:
         words = text.lower().replace("\n", " ").split(" ")
         ids = self.ids
         if len(ids) > self.limit:
-            ids.clear()
-        for word in set(words).difference(ids):
-            ids[word] = self._word(word) if word else b""
+            ids = self.ids = _WordIds(self._word)
         return b"".join(map(ids.__getitem__, words))
 
 
@@ -133,7 +145,7 @@ def cut_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_i
     """The pieces of every document: doc_id, piece, start, length, ids_crc32."""
     rows = id_and_text(docs, id_col, text_col)
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(_cut(vocabulary, capacity, end_id), f"doc_id {id_type}, {_PIECES}")
+    return rows.mapInArrow(lean(_cut(vocabulary, capacity, end_id)), f"doc_id {id_type}, {_PIECES}")
 
 
 # --- one sweep -------------------------------------------------------------

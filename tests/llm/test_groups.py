@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .llm_cases import ODD, prose
 from .test_rows import all_windows, distance
 
-from tallyspark.llm import best_fit, decontaminate, jaccard_join, line_dedup, suffix_dedup
+from tallyspark.llm import best_fit, common, decontaminate, jaccard_join, line_dedup, suffix_dedup
 from tallyspark.llm.common import Scratch
 from tallyspark.llm.components import components
 from tallyspark.llm.sharding import interleave
@@ -460,3 +460,23 @@ def test_components_of_paths_and_stars(spark):
     got = {r.node: r.root for r in components(Scratch(spark, "test"), spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(61)}, **{i: 100 for i in range(100, 140)}, 200: 200, 201: 200}
     assert components(Scratch(spark, "test"), spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_a_word_is_encoded_once_whatever_mark_follows():
+    encoder = best_fit.WordEncoder(VOCABULARY)
+    asked, word = [], encoder._word
+    encoder.ids.encode = lambda w: (asked.append(w), word(w))[1]
+    ids = encoder.encode("linden. linden, linden.")
+    assert sorted(asked) == ["linden", "linden,", "linden."]  # the marked ones by the bare one's ids
+    assert ids == encoder._whole("linden. linden, linden.")
+    assert encoder.encode("linden") == encoder._whole("linden") and len(asked) == 3
+
+
+def test_workers_give_memory_back_when_a_function_ends(monkeypatch):
+    released = []
+    monkeypatch.setattr(common, "release", lambda: released.append(True))
+    running = common.lean(lambda batches: (2 * b for b in batches))([1, 2])
+    assert next(running) == 2 and not released
+    assert list(running) == [4] and released == [True]
+    monkeypatch.undo()
+    common.release()
