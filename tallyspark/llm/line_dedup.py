@@ -5,34 +5,37 @@ earlier (smaller document id, or further up in the document). Lines are
 compared without surrounding white space; lines of fewer than MIN_BYTES bytes
 always stay. Edits are insertions, deletions and replacements of bytes.
 
-1. Every line is cut into ``most + 1`` segments. Of two lines within ``most``
-   edits the longer one holds a segment of the shorter one unchanged, near its
-   place: the shorter one is indexed by (length, number of the segment,
-   segment), the longer one probes the indexes of the lengths that it can reach
-   with the substrings that the multi-match-aware rule selects.
-2. Candidates must also have nearly the same counts of bytes in eight classes,
-   a bound that needs no text and is tested inside the join, so that a common
-   segment of many unlike lines makes no pairs.
-3. The texts of the candidates alone are fetched, and verified by banded
-   bit-parallel edit distance.
-4. For each line the first occurrence is known; later ones go, and so does the
-   first if a linked line has an earlier one.
-
-A line needs only one earlier near line to go. So the lines of equal length that
-share a segment are first compared with the earliest and a random one of them
-alone; the lines that this settles are not compared with each other any more,
-and the join of steps 1 to 3 takes the others against all. A group of n near
-copies of one length makes some n pairs then, not n (n - 1) / 2; copies that are
-near only to a line of another length are still compared with each other.
+1. Every line is cut into zones of nearly equal size. ``most`` edits fall into
+   ``most`` zones at most; what lies before, between and after these is the same
+   in both lines, at a shift that the edits before it bound. A choice of zones is
+   a cell; its key is the hash of all that lies outside. Lines within ``most``
+   edits share a key of some cell, the shorter one unshifted. The first cells
+   are those of ``most + 1`` zones, where one zone remains to be hashed.
+2. Of the lines that share a key each is compared with the earliest and a random
+   one. A line needs only one earlier near line to go, so those that this
+   settles ask no more.
+3. The other lines of a key are compared with all earlier ones of it if at most
+   CROWD of them are open. If more are, the key says too little: its cell is cut
+   into zones of half the size, the lines are keyed anew by its finer cells, and
+   step 2 follows again. So a group of n like lines makes at most CROWD * n
+   comparisons for a key, not n * n, and lines that agree in all but ever
+   smaller zones either settle or part. At ``finest`` zones all open ones are
+   compared, however many.
+4. Compared lines must have nearly the same length and the same counts of bytes in
+   eight classes, bounds that need no text and are tested inside the join. The
+   texts of the pairs that remain are fetched and verified by banded bit-parallel
+   edit distance.
 
 Lines are known by 64-bit hashes; every distinct line is written once, with its
-first place, and makes its keys once.
+first place and the keys of its first cells.
 """
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterable, Iterator
-from functools import reduce
+from functools import lru_cache, reduce
+from itertools import combinations, product
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +50,7 @@ from tallyspark.llm.edit_distance import edits
 
 MOST = 2
 MIN_BYTES = 20
+CROWD = 256  # open lines that a key is asked for one by one
 _NO_ID = np.iinfo(np.int64).max  # null ids come last
 
 
@@ -146,6 +150,113 @@ def probe_columns(content: str, most: int, segment: int | None = None) -> list[C
     return keys
 
 
+def rung(length: int) -> int:
+    """``length`` cut to its six leading bits: lines of like length are cut alike."""
+    low = max(0, length.bit_length() - 6)
+    return length >> low << low
+
+
+def finest(most: int) -> int:
+    """The most zones: a cell's number, of a rung and ``most`` zones, fits 63 bits."""
+    return min(1024, 1 << 32 // most)
+
+
+def cell_number(size: int, zones: tuple[int, ...], n: int) -> int:
+    for zone in zones:
+        size = size * n + zone
+    return size & ((1 << 63) - 1)
+
+
+def cell_of(number: int, n: int, most: int) -> tuple[int, tuple[int, ...]]:
+    zones = []
+    for _ in range(most):
+        number, zone = divmod(number, n)
+        zones.append(zone)
+    return number, tuple(reversed(zones))
+
+
+def cell_places(length: int, size: int, zones: tuple[int, ...], n: int) -> list[tuple[int, bool, tuple]]:
+    """(cell, own, runs) for each way in which a line of ``length`` can hold what
+    lies outside of ``zones``, of ``n``, of a line of rung ``size`` that is near
+    and not longer. ``own``: unshifted, at the line's own rung. As many edits
+    as zones precede a run at most, so that is the range of its shift; the last
+    run ends with the line. Of ``-left`` or less, ``left`` edits being left after
+    the run, all of them insert and the lines are of one length: then the other
+    one, taken as the shorter, meets this one at another shift."""
+    most = len(zones)
+
+    def at(i: int) -> int:
+        return i * size // n
+
+    start, tail = at(zones[0]), size - at(zones[-1] + 1)
+    between = [(k + 1, at(z + 1), at(after)) for k, (z, after) in enumerate(zip(zones, zones[1:]))
+               if at(z + 1) < at(after)]
+    number, places = cell_number(size, zones, n), []
+    for shifts in product(*(sorted(range(max(-k, k - most + 1), k + 1), key=abs) for k, _, _ in between)):
+        runs = [(0, start), *((a + s, b + s) for (_, a, b), s in zip(between, shifts)), (length - tail, length)]
+        runs = tuple((a, b) for a, b in runs if a < b)
+        if all(a >= 0 and b <= length for a, b in runs):
+            places.append((number, size == rung(length) and not any(shifts), runs))
+    return places
+
+
+@lru_cache(1 << 12)
+def first_places(length: int, most: int) -> list[tuple[int, bool, tuple]]:
+    """``cell_places`` of all cells of ``most + 1`` zones; the longer of two near
+    lines also takes the rungs of the lengths that it can reach."""
+    sizes = sorted({rung(length - less) for less in range(min(most, length) + 1)})
+    return [place for size in sizes for zones in combinations(range(most + 1), most)
+            for place in cell_places(length, size, zones, most + 1)]
+
+
+def finer_places(length: int, cells: Iterable[int], n: int, most: int) -> list[tuple[int, bool, tuple]]:
+    """``cell_places`` of the cells of ``2 * n`` zones inside ``cells``, of ``n``."""
+    finer = set()
+    for cell in cells:
+        size, zones = cell_of(cell, n, most)
+        halves = [half for zone in zones for half in (2 * zone, 2 * zone + 1)]
+        finer.update((size, chosen) for chosen in combinations(halves, most))
+    return [place for size, zones in sorted(finer) for place in cell_places(length, size, zones, 2 * n)]
+
+
+def cell_keys(line: bytes, places: list[tuple[int, bool, tuple]]) -> dict[int, tuple[int, bool]]:
+    """{key: (cell, own)}; of equal keys the unshifted one."""
+    keys: dict[int, tuple[int, bool]] = {}
+    for cell, own, runs in places:
+        held = line[runs[0][0]:runs[0][1]] if len(runs) == 1 else b"".join([line[a:b] for a, b in runs])
+        keys.setdefault(xxhash.xxh3_64_intdigest(held, cell) - (1 << 63), (cell, own))
+    return keys
+
+
+KEYS = "key: long, cell: long, own: boolean"
+
+
+def _key_columns(keyed: Iterable[dict[int, tuple[int, bool]]]) -> tuple[np.ndarray, list[pa.Array]]:
+    """Where each line's keys end, from 0, and the keys' columns."""
+    ends, columns = array("q", [0]), (array("q"), array("q"), array("b"))
+    for keys in keyed:
+        for key, (cell, own) in keys.items():
+            columns[0].append(key), columns[1].append(cell), columns[2].append(own)
+        ends.append(len(columns[0]))
+    key, cell, own = (np.array(c) for c in columns)
+    return np.array(ends), [pa.array(key), pa.array(cell), pa.array(own.astype(bool))]
+
+
+def _finer(n: int, most: int):
+    """(id, key, cell, own) of each line's cells of ``2 * n`` zones inside the given ones."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices([batch], "content", 1 << 18):
+                ends, columns = _key_columns(
+                    cell_keys(line, finer_places(len(line), cells, n, most))
+                    for line, cells in zip(part.column("content").to_pylist(), part.column("cells").to_pylist()))
+                at = pa.array(np.repeat(np.arange(part.num_rows), np.diff(ends)))
+                yield pa.RecordBatch.from_arrays([part.column("id").take(at), *columns],
+                                                 names=["id", "key", "cell", "own"])
+
+    return run
+
+
 def _occurrences(min_bytes: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,22 +285,28 @@ def _profile_distance(a: str, b: str) -> Column:
     return total
 
 
-def _fetch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, content, profile, did, text_hash, line) of the wanted lines of each document."""
-    for batch in slices(batches, "packed"):
-        rows, ids, contents, numbers = [], [], [], []
-        for row, (packed, wanted) in enumerate(zip(batch.column("packed").to_pylist(),
-                                                   batch.column("wanted").to_pylist())):
-            lines = (unpacked(packed) or b"").split(b"\n")
-            for w in wanted:
-                rows.append(row), ids.append(w["id"]), numbers.append(w["line"])
-                contents.append(lines[w["line"]].strip())
-        at = pa.array(rows, pa.int64())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(contents, pa.binary()),
-             pa.array(profiles(contents), pa.int64()), batch.column("doc_id").take(at),
-             batch.column("text_hash").take(at), pa.array(numbers, pa.int32())],
-            names=["id", "content", "profile", "did", "text_hash", "line"])
+def _fetch(most: int):
+    """(id, content, profile, keys, did, text_hash, line, repeated) of the wanted lines of each document."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "packed", 1 << 18):
+            rows, ids, contents, numbers, repeated = [], [], [], [], []
+            for row, (packed, wanted) in enumerate(zip(batch.column("packed").to_pylist(),
+                                                       batch.column("wanted").to_pylist())):
+                lines = (unpacked(packed) or b"").split(b"\n")
+                for w in wanted:
+                    rows.append(row), ids.append(w["id"]), numbers.append(w["line"])
+                    contents.append(lines[w["line"]].strip()), repeated.append(w["repeated"])
+            at = pa.array(rows, pa.int64())
+            ends, columns = _key_columns(cell_keys(line, first_places(len(line), most)) for line in contents)
+            keys = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(
+                columns, names=["key", "cell", "own"]))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), pa.array(contents, pa.binary()),
+                 pa.array(profiles(contents), pa.int64()), keys, batch.column("doc_id").take(at),
+                 batch.column("text_hash").take(at), pa.array(numbers, pa.int32()), pa.array(repeated, pa.bool_())],
+                names=["id", "content", "profile", "keys", "did", "text_hash", "line", "repeated"])
+
+    return run
 
 
 def _verify(most: int):
@@ -232,52 +349,79 @@ def _later(scratch: Scratch, pairs: DataFrame, lines: DataFrame, most: int, name
 
 
 def _close(most: int) -> Column:
-    return (F.col("id") != F.col("id_b")) & (_profile_distance("profile", "profile_b") <= 2 * most)
-
-
-def _first_pairs(scratch: Scratch, lines: DataFrame, most: int) -> DataFrame:
-    """Each line with the earliest and a random one of those that have its length
-    and one of its segments (line ids are hashes, so the least is any). Only keys
-    of two lines or more are looked at; a line has each key once."""
-    entries = lines.select("id", "profile", "did", F.explode(F.array(*index_columns("content", most))).alias("key"))
-    shared = scratch.write(entries.groupBy("key").count().where("count > 1").select("key"), "shared")
-    entries = scratch.write(entries.join(shared, "key"), "entries")
-    chosen = entries.groupBy("key").agg(
-        F.min("id").alias("any"), F.min_by("profile", "id").alias("any_profile"),
-        F.min_by("id", "did").alias("earliest"), F.min_by("profile", "did").alias("earliest_profile"))
-    return entries.join(chosen, "key").select("id", "profile", F.inline(F.array(
-        F.struct(F.col("earliest").alias("id_b"), F.col("earliest_profile").alias("profile_b")),
-        F.struct(F.col("any").alias("id_b"), F.col("any_profile").alias("profile_b")),
-    ))).where(_close(most)).select(F.col("id").alias("a"), F.col("id_b").alias("b"))
-
-
-def _all_pairs(scratch: Scratch, lines: DataFrame, settled: DataFrame, most: int) -> DataFrame:
-    """Each line that is not settled with all that share a key, settled or not.
-    The segments are joined one after another, so that the disks hold the keys
-    of one of them at a time and the tasks' code stays small."""
-    marked = lines.join(settled.withColumn("settled", F.lit(True)), "id", "left").select(
-        "id", "content", "profile", F.coalesce("settled", F.lit(False)).alias("settled"))
-
-    def open_probes(key: Column) -> Column:
-        return key.bitwiseAND(F.lit(-2))
-
-    def settled_probes(key: Column) -> Column:
-        return key.bitwiseOR(F.lit(1))
-
-    key, done = F.col("key"), F.col("settled")
-    found = []
-    for segment in range(most + 1):
-        index = marked.select("id", "profile", "settled", index_columns("content", most)[segment].alias("key"))
-        index = index.select("id", "profile", F.explode(
-            F.when(done, F.array(open_probes(key))).otherwise(F.array(open_probes(key), settled_probes(key)))).alias("key"))
-        probes = marked.select("id", "profile", "settled", F.explode(F.array(
-            *probe_columns("content", most, segment))).alias("key")).where("key is not null")
-        probes = probes.select(
-            F.col("id").alias("id_b"), F.col("profile").alias("profile_b"),
-            F.when(done, settled_probes(key)).otherwise(open_probes(key)).alias("key"))
-        found.append(scratch.write(index.join(probes, "key").where(_close(most)).select(
-            F.least("id", "id_b").alias("a"), F.greatest("id", "id_b").alias("b")).distinct(), f"segment_{segment}"))
-    return reduce(DataFrame.unionByName, found)
+    return ((F.col("id") != F.col("id_b")) & (F.abs(F.col("size") - F.col("size_b")) <= most)
+            & (_profile_distance("profile", "profile_b") <= 2 * most))
+
+
+def _members(scratch: Scratch, rows: DataFrame, name: str) -> DataFrame:
+    """(key, cell, id) of the keys that several lines hold, one of them as its own."""
+    shared = scratch.write(rows.groupBy("key").agg(F.count("*").alias("n"), F.max("own").alias("own")).where(
+        "n > 1 and own").select("key"), f"{name}_shared")
+    members = scratch.write(rows.join(shared, "key").select("key", "cell", "id"), f"{name}_members")
+    scratch.drop(f"{name}_shared")
+    return members
+
+
+def _first_pairs(members: DataFrame, most: int) -> DataFrame:
+    """Each line with the earliest and a random one of those that share a key
+    (line ids are hashes, so the least is any)."""
+    line = F.struct(F.col("id").alias("id_b"), F.col("profile").alias("profile_b"), F.col("size").alias("size_b"))
+    chosen = members.groupBy("key").agg(F.min_by(line, F.struct(*PLACE)).alias("earliest"),
+                                        F.min_by(line, "id").alias("any"))
+    return members.join(chosen, "key").select("id", "profile", "size", F.inline(F.array("earliest", "any"))).where(
+        _close(most)).select(F.col("id").alias("a"), F.col("id_b").alias("b"))
+
+
+def _open_members(scratch: Scratch, members: DataFrame, settled: DataFrame, name: str) -> DataFrame:
+    """The members of keys that hold open lines (not settled, and not the key's
+    earliest, which none of its lines can settle): whether each is open, and
+    whether the key is crowded with them."""
+    marked = members.join(settled.withColumn("settled", F.lit(True)), "id", "left").withColumn(
+        "open", F.col("settled").isNull()).drop("settled")
+    is_open = F.col("open").cast("long")
+    keys = scratch.write(marked.groupBy("key").agg(
+        (F.sum(is_open) - F.min_by(is_open, F.struct(*PLACE))).alias("n")).where("n > 0").select(
+        "key", (F.col("n") > CROWD).alias("crowded")), f"{name}_keys")
+    return scratch.write(marked.join(keys, "key"), f"{name}_open")
+
+
+def _all_pairs(members: DataFrame, most: int) -> DataFrame:
+    """Each open line with all earlier ones that share a key, settled or not."""
+    earlier = members.select("key", F.col("id").alias("id_b"), F.col("profile").alias("profile_b"),
+                             F.col("size").alias("size_b"), F.struct(*PLACE).alias("place_b"))
+    later = members.where("open").select("key", "id", "profile", "size", F.struct(*PLACE).alias("place"))
+    return later.join(earlier, "key").where(_close(most) & (F.col("place_b") < F.col("place"))).select(
+        F.col("id").alias("a"), F.col("id_b").alias("b"))
+
+
+def _near_lines(scratch: Scratch, lines: DataFrame, most: int) -> DataFrame:
+    """(id) of the lines within ``most`` edits of an earlier one."""
+    n, found = most + 1, []
+    members = _members(scratch, lines.select("id", F.inline("keys")), f"cells_{n}")
+    ids = scratch.write(members.select("id").distinct(), "known_ids")
+    known = scratch.write(lines.drop("keys").join(ids, "id", "left_semi"), "known")
+    facts = known.select("id", "profile", F.octet_length("content").alias("size"), *PLACE)
+    while True:
+        name = f"cells_{n}"
+        members = scratch.write(members.join(facts, "id"), f"{name}_facts")
+        found.append(_later(scratch, _first_pairs(members, most), known, most, f"{name}_settled"))
+        left = _open_members(scratch, members, reduce(DataFrame.unionByName, found).distinct(), name)
+        crowded = F.col("crowded") & F.lit(2 * n <= finest(most))
+        found.append(_later(scratch, _all_pairs(left.where(~crowded), most), known, most, f"{name}_near"))
+        cells = scratch.write(left.where(crowded).groupBy("id").agg(F.collect_set("cell").alias("cells")),
+                              f"{name}_crowded")
+        done = cells.isEmpty()
+        if not done:
+            rows = scratch.write(known.select("id", "content").join(cells, "id").mapInArrow(
+                lean(_finer(n, most)), f"id: long, {KEYS}"), f"{name}_finer")
+            members = _members(scratch, rows, f"cells_{2 * n}")
+        scratch.drop(*(f"{name}_{x}" for x in ("members", "facts", "keys", "open", "crowded", "finer")))
+        if done:
+            break
+        n *= 2
+    near = scratch.write(reduce(DataFrame.unionByName, found).distinct(), "near")
+    scratch.drop("known", "known_ids")
+    return near
 
 
 def repeated_lines(docs: DataFrame, most: int = MOST, min_bytes: int = MIN_BYTES, id_col: str = "doc_id",
@@ -290,28 +434,29 @@ def repeated_lines(docs: DataFrame, most: int = MOST, min_bytes: int = MIN_BYTES
     seen = scratch.write(texts.select("did", "text_hash", "text").mapInArrow(
         lean(_occurrences(min_bytes)), "did long, text_hash long, line int, id long"), "occurrences")
     place = F.struct(*PLACE)
-    firsts = seen.groupBy("id").agg(F.min(place).alias("first")).select("id", "first.*")
+    firsts = seen.groupBy("id").agg(F.min(place).alias("first"), (F.count("*") > 1).alias("repeated")).select(
+        "id", "first.*", "repeated")
     by_doc = firsts.groupBy(F.col("did").alias("doc_id"), "text_hash").agg(
-        F.collect_list(F.struct("id", "line")).alias("wanted"))
+        F.collect_list(F.struct("id", "line", "repeated")).alias("wanted"))
     # rows that are one document (equal id and text) are read once
     packed = packed_texts(texts.select(F.col("did").alias("doc_id"), "text_hash", "text")).dropDuplicates(
         ["doc_id", "text_hash"])
     lines = scratch.write(packed.join(by_doc, ["doc_id", "text_hash"]).mapInArrow(
-        lean(_fetch), "id long, content binary, profile long, did long, text_hash long, line int"), "distinct")
+        lean(_fetch(most)), f"id long, content binary, profile long, keys array<struct<{KEYS}>>, "
+        "did long, text_hash long, line int, repeated boolean"), "distinct")
 
-    settled = _later(scratch, _first_pairs(scratch, lines, most), lines, most, "settled")
-    scratch.drop("shared", "entries")
-    rest = _later(scratch, _all_pairs(scratch, lines, settled, most), lines, most, "rest")
-    near = settled.union(rest).distinct().withColumn("is_near", F.lit(True))
+    near = _near_lines(scratch, lines, most).withColumn("is_near", F.lit(True))
 
-    firsts = lines.select("id", place.alias("first"))
-    judged = seen.join(firsts, "id").join(near, "id", "left").select(
+    # a line that occurs once and is near no other stays
+    asked = scratch.write(lines.select("id", "repeated", place.alias("first")).join(near, "id", "left").where(
+        "repeated or is_near").drop("repeated"), "asked")
+    judged = seen.join(asked, "id").select(
         "did", "text_hash", "line", (place != F.col("first")).alias("again"),
         F.coalesce("is_near", F.lit(False)).alias("is_near"))
     decisions = scratch.write(judged.where("again or is_near").groupBy("did", "text_hash").agg(
         F.collect_set(F.when(F.col("again"), F.col("line"))).alias("exact"),
         F.collect_set(F.when(~F.col("again"), F.col("line"))).alias("near")), "decisions")
-    scratch.drop("occurrences", "distinct", "settled", "rest", *(f"segment_{i}" for i in range(most + 1)))
+    scratch.drop("occurrences", "distinct", "near", "asked")
     return decisions
 
 

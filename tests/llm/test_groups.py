@@ -290,6 +290,69 @@ def test_near_copies_make_pairs_in_proportion(spark, docs, monkeypatch):
     assert sum(made) < 10 * len(rows)
 
 
+def test_cells_meet_every_near_line_at_every_size():
+    rng = random.Random(25)
+    for most, pairs, last in ((1, 200, 32), (2, 60, 24), (3, 30, 8)):
+        for _ in range(pairs):
+            a = bytes(rng.choices(b"ab", k=rng.choice((rng.randrange(4, 30), rng.randrange(60, 70), 127))))
+            b = bytearray(a)
+            for _ in range(rng.randrange(most + 1)):
+                at = rng.choice((0, len(b) // 2, len(b), rng.randrange(len(b) + 1)))
+                b[at:at + rng.randrange(2)] = bytes(rng.choices(b"ab", k=rng.randrange(2)))
+            a, b = sorted((a, bytes(b)), key=len)
+            n, places = most + 1, [line_dedup.first_places(len(x), most) for x in (a, b)]
+            while True:
+                own, other = (line_dedup.cell_keys(x, p) for x, p in zip((a, b), places))
+                met = {cell for key, (cell, mine) in own.items() if mine and key in other}
+                if len(a) == len(b):
+                    met |= {cell for key, (cell, mine) in other.items() if mine and key in own}
+                assert met, (a, b, most, n)
+                if n >= last:
+                    break
+                places = [line_dedup.finer_places(len(x), met, n, most) for x in (a, b)]
+                n *= 2
+
+
+def like_lines(n):
+    """Lines like a common one that lacks among them, with edits at two places,
+    of several bytes in some: few are within two edits of an earlier one, and
+    those mostly not of the earliest one that shares a part."""
+    rng = random.Random(26)
+    base = prose(rng, 12, lines=False)
+    rows = []
+    for d in range(n):
+        line = base if d % 3 or not rows else rng.choice(rows)[1]
+        for _ in range(2):
+            at = rng.randrange(len(line))
+            line = line[:at] + "".join(rng.choices("0123456789", k=rng.randrange(4))) + line[at + rng.randrange(3):]
+        rows.append((d, line))
+    return rows
+
+
+@pytest.mark.parametrize("crowd", [2, 256])
+def test_groups_of_like_lines_make_pairs_in_proportion(docs, monkeypatch, crowd):
+    made, sizes = [], []
+    later, finer = line_dedup._later, line_dedup._finer
+
+    def counted(scratch, pairs, *more):
+        made.append(pairs.distinct().count())
+        return later(scratch, pairs, *more)
+
+    def noted(n, most):
+        sizes.append(n)
+        return finer(n, most)
+
+    monkeypatch.setattr(line_dedup, "_later", counted)
+    monkeypatch.setattr(line_dedup, "_finer", noted)
+    monkeypatch.setattr(line_dedup, "CROWD", crowd)
+    monkeypatch.setattr(line_dedup, "finest", lambda most: 12)
+    rows = like_lines(150)
+    got = {r.doc_id: (r.text, r.n_exact, r.n_near) for r in line_dedup.line_dedup(docs(rows), 2).collect()}
+    assert got == cut_lines(rows, 2, line_dedup.MIN_BYTES)
+    assert 10 < sum(v[2] for v in got.values()) < 100
+    assert sizes == ([3, 6] if crowd == 2 else []) and sum(made) < 12 * len(rows)
+
+
 def test_lines_keep_columns_even_with_clashing_names(spark):
     rows = spark.createDataFrame([(1, "a line that is long enough\nx", 7, "n"), (2, "a line that is long enough", 8, "m"),
                                   (2, "a line that is long enough", 8, "m")], "doc_id long, text string, near int, did string")
