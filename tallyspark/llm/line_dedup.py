@@ -41,7 +41,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
@@ -354,12 +354,12 @@ def _close(most: int) -> Column:
 
 
 def _members(scratch: Scratch, rows: DataFrame, name: str) -> DataFrame:
-    """(key, cell, id) of the keys that several lines hold, one of them as its own."""
-    shared = scratch.write(rows.groupBy("key").agg(F.count("*").alias("n"), F.max("own").alias("own")).where(
-        "n > 1 and own").select("key"), f"{name}_shared")
-    members = scratch.write(rows.join(shared, "key").select("key", "cell", "id"), f"{name}_members")
-    scratch.drop(f"{name}_shared")
-    return members
+    """(key, cell, id) of the keys that several lines hold, one of them as its
+    own. One shuffle of the rows serves both the count and the filter."""
+    same = Window.partitionBy("key")
+    return scratch.write(rows.withColumns({
+        "n": F.count("*").over(same), "owned": F.max("own").over(same)}).where("n > 1 and owned").select(
+            "key", "cell", "id"), f"{name}_members")
 
 
 def _first_pairs(members: DataFrame, most: int) -> DataFrame:
@@ -399,7 +399,7 @@ def _near_lines(scratch: Scratch, lines: DataFrame, most: int) -> DataFrame:
     n, found = most + 1, []
     members = _members(scratch, lines.select("id", F.inline("keys")), f"cells_{n}")
     ids = scratch.write(members.select("id").distinct(), "known_ids")
-    known = scratch.write(lines.drop("keys").join(ids, "id", "left_semi"), "known")
+    known = scratch.write(lines.drop("keys", "repeated").hint("merge").join(ids, "id", "left_semi"), "known")
     facts = known.select("id", "profile", F.octet_length("content").alias("size"), *PLACE)
     while True:
         name = f"cells_{n}"
