@@ -132,3 +132,17 @@ def test_pairs_of_a_hot_null_key_are_made_by_many_tasks(spark):
         for k, v in before.items():
             spark.conf.set(k, v)
     assert sum(made) == 24_006 and max(made) < 12_000
+
+
+def test_rows_of_a_hot_key_are_copied_few_times(spark):
+    """The credit rows of a hot key went to every part of its debt rows: with the
+    square of the key's rows. Now either side is copied to the other's parts,
+    some square root of that, and never more than MOST_COPIES times."""
+    d = pile(spark, [("", None, float(i), "D", "d.xlsx") for i in range(900)] + [("x", "y", 1.0, "D", "d.xlsx")])
+    c = pile(spark, [("", None, float(i), "C", "c.xlsx") for i in range(400)] + [("x", "y", 1.0, "C", "c.xlsx")])
+    for pairs, most in ((1000, 2 + 900 * 16 + 400 * 32), (1, 2 + 900 * mt.MOST_COPIES + 400 * mt.MOST_COPIES)):
+        a, b = mt._dealt_sides(d, c, mt._hot_keys(d, c, mt.KEYS, pairs), mt.KEYS)
+        assert 1300 < a.count() + b.count() <= most
+        assert a.where("Card = 'x'").count() == b.where("Card = 'x'").count() == 1
+        got = mt.match(d, c, null_keys="match", hot_pairs=pairs)
+        assert got.count() == got.distinct().count() == 360_001
