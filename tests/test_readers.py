@@ -177,3 +177,30 @@ def test_csv_lines_are_written_once(spark, tmp_path, monkeypatch):
         ("1", "2", "3"), ("4", "5", "6")]
     assert [(r["file"], r["reason"]) for r in errors.collect()] == [("m2d-recu c.csv", "missing_key_columns")]
     assert written == [["path", "block", "row", "value", "open_out", "open_in"], ["path", "value", "at"]]
+
+
+def test_records_are_found_over_small_windows(spark, monkeypatch):
+    """A window holds a part of a split, not all its lines, and gives the same
+    records: cells open over many parts, quotes in text, a file left open."""
+    import random
+
+    from tallyspark.sources import records as rec
+    rnd = random.Random(13)
+    rows = []
+    for path in ("a", "b", "c"):
+        for row in range(300):
+            rows.append((path, row // 120, row + (row // 120 << 33), rnd.choice(
+                ['"x","y"', '"x","open', 'more text', 'closed","z"', '"q ""z"" ","', '', 'plain,1', '"","'])))
+    df = spark.createDataFrame(rows, "path string, block long, row long, value string")
+    out, within = rec.open_after(df["value"])
+    df = df.withColumns({"open_out": out, "open_in": within})
+
+    def found():
+        text, unclosed = rec.records(df)
+        return sorted(map(tuple, text.select("path", "block", "row", "value").collect())), sorted(map(tuple, unclosed.collect()))
+
+    want = found()
+    assert len(want[0]) > 50 and any("\n" in r[3] for r in want[0])
+    for bits in (1, 4):
+        monkeypatch.setattr(rec, "CHUNK_BITS", bits)
+        assert found() == want
